@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns, union_all
 from tablewright.operators.metrics import evaluate
+from tablewright.session import materialise
 
 _TRIALS_PER_JOB = 100
 
@@ -215,11 +216,12 @@ def search_blend(
     if task_type not in ("classification", "regression"):
         raise ValueError(f"Unknown task_type: {task_type}")
     k = len(predictions)
-    aligned = align(predictions, key, labels, target)
+    aligned = materialise(align(predictions, key, labels, target))  # read by every step below
     tried = [list(w) for w in candidates or candidate_weights(k, n_trials, seed)]
     vote = task_type == "classification" and not _zero_one(aligned)
-    trials = score_candidates(aligned, tried, task_type, k, vote)
-    best = trials.orderBy("objective", "trial").first()["trial"]
+    scores = score_candidates(aligned, tried, task_type, k, vote).collect()  # one row per trial
+    trials = aligned.sparkSession.createDataFrame(scores, "trial int, objective double")
+    best = min(scores, key=lambda row: (row["objective"], row["trial"]))["trial"]
     weights = tried[best]
     mixed = weighted_vote(weights, k) if vote else weighted_sum(weights, k)
     blended = aligned.select(col(key), mixed.alias("prediction"))

@@ -193,14 +193,11 @@ def fit(
             raise ValueError(f"Target {target} needs at least two classes")
         index: Column = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target)) - 1
         common = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
-        booster = GBTClassifier(
-            cacheNodeIds=True,
-            probabilityCol="_probability",
-            rawPredictionCol="_raw",
-            **common,
-            **params,
-        )
-        estimator = booster if len(classes) == 2 else OneVsRest(classifier=booster, **common)
+        booster = GBTClassifier(cacheNodeIds=True, **common, **params)
+        if len(classes) == 2:
+            estimator = booster.setProbabilityCol("_probability").setRawPredictionCol("_raw")
+        else:
+            estimator = OneVsRest(classifier=booster, **common)
     else:
         index = col(target)
         estimator = GBTRegressor(
