@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, require_columns, union_all
+from tablewright.functions.columns import as_rows, col, require_columns, union_all
 from tablewright.operators.metrics import evaluate
 from tablewright.session import materialise
 
-_TRIALS_PER_JOB = 100
+_VOTES_PER_JOB = 10
 
 
 def normalised(weights: Sequence[float]) -> list[float]:
@@ -139,8 +141,8 @@ def score_candidates(
     """``(trial, objective)`` for every candidate; smaller is better.
 
     Regression needs the means of products once: the squared error of any
-    weights follows from them.  Classification counts hits of all candidates in
-    one pass; hard labels are first collapsed to their distinct combinations.
+    weights follows from them.  Classification counts hits; hard labels are first
+    collapsed to their distinct combinations.
     """
     spark = aligned.sparkSession
     if task_type == "regression":
@@ -166,34 +168,70 @@ def score_candidates(
         rows = aligned.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     else:
         rows = aligned.select(*names, F.lit(1).cast("bigint").alias("_n"))
+    if vote:
+        return union_all(
+            [
+                _vote_hits(rows, candidates, range(start, min(start + _VOTES_PER_JOB, len(candidates))), k)
+                for start in range(0, len(candidates), _VOTES_PER_JOB)
+            ]
+        )
+    return _threshold_hits(rows, candidates, k)
+
+
+def _vote_hits(rows: DataFrame, candidates, block: range, k: int) -> DataFrame:
+    """Share of right votes per candidate of the block, in one pass."""
     weight = F.col("_n")
-    parts = []
-    for start in range(0, len(candidates), _TRIALS_PER_JOB):
-        block = list(enumerate(candidates))[start : start + _TRIALS_PER_JOB]
-        hits = []
-        for t, w in block:
-            if vote:
-                right = weighted_vote(w, k) == F.col("label")
-            else:
-                right = (weighted_sum(w, k) > 0.5) == (F.col("label").cast("double") == 1)
-            hits.append(F.sum(F.when(right, weight).otherwise(0)).alias(f"h{t}"))
-        counted = rows.agg(F.sum(weight).alias("n"), *hits)
-        parts.append(
-            counted.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(t).alias("trial"),
-                                (-F.try_divide(F.col(f"h{t}"), F.col("n"))).alias("objective"),
-                            )
-                            for t, _ in block
-                        ]
-                    )
-                )
-            )
+    hits = [
+        F.sum(
+            F.when(weighted_vote(candidates[t], k) == F.col("label"), weight).otherwise(0)
+        ).alias(f"h{t}")
+        for t in block
+    ]
+    return as_rows(
+        rows.agg(F.sum(weight).alias("n"), *hits),
+        [
+            {"trial": F.lit(t), "objective": -F.try_divide(F.col(f"h{t}"), F.col("n"))}
+            for t in block
+        ],
+    )
+
+
+def _threshold_hits(rows: DataFrame, candidates, k: int) -> DataFrame:
+    """Share of rows on the right side of one half, for all candidates in one pass.
+
+    A hundred conditional sums would leave compiled code, so tasks count with
+    arrays, candidates across and rows down, and emit one row per candidate.
+    """
+    weights = np.array(candidates, dtype=float).reshape(-1, k)
+    plain = rows.select(
+        *[F.col(f"p{i}").cast("double").alias(f"p{i}") for i in range(k)],
+        (F.col("label").cast("double") == 1).alias("positive"),
+        "_n",
+    ).where(" AND ".join(["positive IS NOT NULL", *[f"p{i} IS NOT NULL" for i in range(k)]]))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros(len(weights), dtype=np.int64)
+        total = 0
+        for batch in batches:
+            *values, positive, n = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            mixed = np.multiply.outer(weights[:, 0], values[0])
+            for i in range(1, k):
+                mixed = mixed + np.multiply.outer(weights[:, i], values[i])
+            hits += ((mixed > 0.5) == positive.astype(bool)) @ n
+            total += int(n.sum())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(len(weights)), pa.int32()),
+                pa.array(hits),
+                pa.array([total] * len(weights), pa.int64()),
+            ],
+            names=["trial", "hits", "n"],
         )
-    return union_all(parts)
+
+    counted = plain.mapInArrow(partial, "trial int, hits bigint, n bigint")
+    return counted.groupBy("trial").agg(
+        (-F.try_divide(F.sum("hits"), F.sum("n"))).alias("objective")
+    )
 
 
 def search_blend(

@@ -18,11 +18,13 @@ from tablewright.functions.columns import (
     NUMERIC_TYPES,
     as_rows,
     col,
+    one_row,
     require_columns,
     union_all,
 )
 from tablewright.functions.expressions import key_hash
-from tablewright.operators.metrics import evaluate
+from tablewright.operators.metrics import evaluate, roc_auc
+from tablewright.session import checkpoint_dir
 
 MAX_CLASSES = 1_000
 TASKS = ("classification", "regression")
@@ -208,6 +210,7 @@ def fit(
             **params,
         )
     ready = ready.withColumn("_label", index.cast("double"))
+    checkpoint_dir(train_df.sparkSession)  # tree growing cuts its lineage there
     if key_cols:
         keys = [col(k) for k in key_cols]
         parts = int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -226,20 +229,27 @@ def train(
     family: str = "gbt_a",
     exclude: Sequence[str] | None = None,
     seed: int = 42,
+    use_probability: bool = False,
     **options: Any,
 ) -> TrainResult:
-    """Fit, measure on train, score test, and measure there too when it has the target."""
+    """Fit, measure on train, score test, and measure there too when it has the target.
+
+    The AUC is that of the predicted classes, or with ``use_probability`` that of
+    the probability of the larger class.
+    """
     skipped = list(key_cols) if exclude is None else list(exclude)
     model = fit(train_df, target, task_type, family, skipped, key_cols, seed, **options)
 
+    ranked = use_probability and len(model.classes) == 2
+
     def measured(df: DataFrame) -> DataFrame:
-        return evaluate(
-            model.score(df, key_cols, [target]),
-            task_type,
-            target,
-            "prediction",
-            zero_one=model.zero_one,
-        )
+        scored = model.score(df, key_cols, [target], probability=ranked)
+        found = evaluate(scored, task_type, target, "prediction", zero_one=model.zero_one)
+        if not ranked:
+            return found
+        positive = (col(target) == F.lit(model.classes[1])).cast("int")
+        auc = roc_auc(scored.select(positive.alias("label"), "probability"), score="probability")
+        return one_row([found.drop("roc_auc"), auc])
 
     test_metrics = measured(test_df) if target in test_df.columns else None
     return TrainResult(model, measured(train_df), test_metrics, model.score(test_df, key_cols))
@@ -292,7 +302,9 @@ def cross_validate(
     for fold in range(k):
         rest = folded.where(F.col("fold") != fold).drop("fold")
         held = folded.where(F.col("fold") == fold).drop("fold")
-        result = train(rest, held, target, task_type, key_cols, family, None, seed, **options)
+        result = train(
+            rest, held, target, task_type, key_cols, family, seed=seed, **options
+        )
         parts.append(metrics_long(result.test_metrics, fold=str(fold)))
     return union_all(parts)
 
@@ -311,7 +323,7 @@ def tune(
     parts = []
     for trial, options in enumerate(grid):
         result = train(
-            train_df, valid_df, target, task_type, key_cols, family, None, seed, **options
+            train_df, valid_df, target, task_type, key_cols, family, seed=seed, **options
         )
         parts.append(
             metrics_long(result.test_metrics, trial=str(trial), options=repr(sorted(options.items())))

@@ -59,6 +59,16 @@ class _Search:
         self.answer, self.done = value, True
 
 
+def _sample_size(rows: int, small: int) -> int:
+    """Sample whose pivots should leave about half of ``small`` rows between them.
+
+    The pivots lie four standard errors, ``2 / sqrt(sample)`` of the rows, to
+    either side.  Past the upper limit another round is cheaper than a larger sample.
+    """
+    wanted = (8 * rows / small) ** 2
+    return int(min(max(5_000, wanted), 500_000, max(small, 100)))
+
+
 def _groups(searches: Sequence[_Search]) -> list[list[_Search]]:
     grouped: dict[tuple, list[_Search]] = {}
     for search in searches:
@@ -80,69 +90,63 @@ def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
             search.settle(value)
 
 
-def _pivots(df: DataFrame, searches: Sequence[_Search], sample: int, seed: int) -> dict[int, tuple]:
-    """Two values per search that bracket its rank with high probability."""
-    groups = _groups(searches)
-    sampled = df.withColumn("_r", F.rand(seed))
+def _pivots(df: DataFrame, groups: Sequence[list[_Search]], small: int, seed: int) -> list[list]:
+    """Per interval, increasing values that bracket its ranks with high probability."""
+    shares, sizes = [], []
+    for group in groups:
+        sizes.append(_sample_size(group[0].within, small))
+        shares.append(min(1.0, sizes[-1] / group[0].within))
+    # rows that no interval draws are dropped before anything is gathered
+    drawn = df.withColumn("_r", F.rand(seed)).where(F.col("_r") < F.lit(max(shares)))
     aggregates = []
     for g, group in enumerate(groups):
         first = group[0]
-        share = min(1.0, sample / first.within)
-        keep = first.inside() & (F.col("_r") < F.lit(share))
+        keep = first.inside() & (F.col("_r") < F.lit(shares[g]))
         values = F.sort_array(F.collect_list(F.when(keep, F.col(first.column))))
         size = F.size(values)
         picks = []
         for search in group:
-            fraction = (search.rank - search.below + 0.5) / search.within
-            margin = 4 * math.sqrt(max(fraction * (1 - fraction), 1 / sample) / sample) + 2 / sample
-            for f in (fraction - margin, fraction + margin):
-                index = F.least(F.greatest(F.floor(size * F.lit(f)), F.lit(0)), size - 1)
+            f = (search.rank - search.below + 0.5) / search.within
+            margin = 4 * math.sqrt(max(f * (1 - f), 1 / sizes[g]) / sizes[g]) + 2 / sizes[g]
+            for edge in (f - margin, f + margin):
+                index = F.least(F.greatest(F.floor(size * F.lit(edge)), F.lit(0)), size - 1)
                 picks.append(F.get(values, index.cast("int")))
-        aggregates.append(F.array(*picks).alias(f"g{g}"))
-    row = sampled.agg(*aggregates).first()
-    found = {}
-    for g, group in enumerate(groups):
-        for i, search in enumerate(group):
-            found[id(search)] = (row[f"g{g}"][2 * i], row[f"g{g}"][2 * i + 1])
-    return found
+        aggregates.append(F.array_sort(F.array_distinct(F.array(*picks))).alias(f"g{g}"))
+    row = drawn.agg(*aggregates).first()
+    return [[v for v in row[f"g{g}"] if v is not None] for g in range(len(groups))]
 
 
-def _narrow(df: DataFrame, searches: Sequence[_Search], sample: int, seed: int) -> None:
-    pivots = _pivots(df, searches, sample, seed)
-    usable = [s for s in searches if pivots[id(s)][0] is not None]
-    if not usable:
-        return
+def _narrow(df: DataFrame, searches: Sequence[_Search], small: int, seed: int) -> None:
+    """Shrink every interval to the stretch between pivots that holds its rank."""
+    groups = _groups(searches)
+    pivots = _pivots(df, groups, small, seed)
     aggregates = []
-    for i, search in enumerate(usable):
-        low, high = pivots[id(search)]
-        value, inside = F.col(search.column), search.inside()
-        aggregates += [
-            F.count(F.when(inside & (value < F.lit(low)), 1)).alias(f"a{i}"),
-            F.count(F.when(inside & (value == F.lit(low)), 1)).alias(f"b{i}"),
-            F.count(F.when(inside & (value > F.lit(low)) & (value < F.lit(high)), 1)).alias(f"c{i}"),
-            F.count(F.when(inside & (value == F.lit(high)), 1)).alias(f"d{i}"),
-        ]
+    for g, group in enumerate(groups):
+        value, inside = F.col(group[0].column), group[0].inside()
+        for j, pivot in enumerate(pivots[g]):
+            aggregates += [
+                F.count(F.when(inside & (value < F.lit(pivot)), 1)).alias(f"lt{g}_{j}"),
+                F.count(F.when(inside & (value <= F.lit(pivot)), 1)).alias(f"le{g}_{j}"),
+            ]
+    if not aggregates:
+        return
     row = df.agg(*aggregates).first()
-    for i, search in enumerate(usable):
-        low, high = pivots[id(search)]
-        parts = [
-            (row[f"a{i}"], None, (search.low, low)),
-            (row[f"b{i}"], low, None),
-        ]
-        if high != low and not (high != high and low != low):  # NaN equals NaN
-            parts += [(row[f"c{i}"], None, (low, high)), (row[f"d{i}"], high, None)]
-        counted = sum(p[0] for p in parts)
-        parts.append((search.within - counted, None, (high, search.high)))
-        offset = search.below
-        for size, exact, bounds in parts:
-            if search.rank < offset + size:
-                if bounds is None:
-                    search.settle(exact)
+    for g, group in enumerate(groups):
+        for search in group:
+            low, start, offset = search.low, 0, search.rank - search.below
+            high, end = search.high, search.within
+            for j, pivot in enumerate(pivots[g]):
+                less, upto = row[f"lt{g}_{j}"], row[f"le{g}_{j}"]
+                if less <= offset < upto:
+                    search.settle(pivot)
+                    break
+                if upto <= offset:
+                    low, start = pivot, upto
                 else:
-                    search.low, search.high = bounds
-                    search.below, search.within = offset, size
-                break
-            offset += size
+                    high, end = pivot, less
+                    break
+            search.low, search.high = low, high
+            search.below, search.within = search.below + start, end - start
 
 
 def kth_values(
@@ -175,9 +179,7 @@ def kth_values(
             ready = [s for s in open_searches if s.within <= small]
             wide = [s for s in open_searches if s.within > small]
             if wide:
-                largest = max(s.within for s in wide)
-                sample = int(min(max(20_000, 40 * math.sqrt(largest)), 500_000, max(small, 100)))
-                _narrow(frame, wide, sample, seed)
+                _narrow(frame, wide, small, seed)
                 seed += 1
             elif ready:
                 _finish(frame, ready)
@@ -196,11 +198,12 @@ def quantile_values(
     interpolation: str = "nearest",
     small: int = SMALL_ROWS,
     accuracy: int = 10_000,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, dict[float, Any]]:
     """Quantiles per column as driver values (a few numbers per column).
 
     ``nearest`` and ``linear`` are exact; ``approx`` is one pass with a sketch.
-    A column without values yields ``None``.
+    A column without values yields ``None``.  Known non-null ``counts`` save a scan.
     """
     columns = require_columns(df, columns)
     if interpolation == "approx":
@@ -216,7 +219,7 @@ def quantile_values(
         }
     if interpolation not in ("nearest", "linear"):
         raise ValueError(f"Unknown interpolation: {interpolation}")
-    counts = non_null_counts(df, columns)
+    counts = counts or non_null_counts(df, columns)
     ranks: dict[str, list[int]] = {}
     for c in columns:
         n = counts[c]
@@ -265,6 +268,11 @@ def quantiles(
     return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
 
 
-def medians(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROWS) -> dict[str, Any]:
-    values = quantile_values(df, columns, [0.5], "linear", small)
+def medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    small: int = SMALL_ROWS,
+    counts: dict[str, int] | None = None,
+) -> dict[str, Any]:
+    values = quantile_values(df, columns, [0.5], "linear", small, counts=counts)
     return {c: v[0.5] for c, v in values.items()}

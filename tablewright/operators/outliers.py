@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_rows, col, require_columns, require_numeric
-from tablewright.operators.order_stats import SMALL_ROWS, quantile_values
+from tablewright.operators.order_stats import SMALL_ROWS, non_null_counts, quantile_values
 from tablewright.operators.profile import require_rows
 
 
@@ -18,9 +18,12 @@ def iqr_bounds(
     iqr_multiplier: float = 1.5,
     interpolation: str = "nearest",
     small: int = SMALL_ROWS,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, tuple[float, float] | None]:
     """Lower and upper bound per column; ``None`` where a column has no value."""
-    quartiles = quantile_values(df, columns, [0.25, 0.75], interpolation, small)
+    quartiles = quantile_values(
+        df, columns, [0.25, 0.75], interpolation, small, counts=counts
+    )
     bounds: dict[str, tuple[float, float] | None] = {}
     for c, q in quartiles.items():
         low, high = q[0.25], q[0.75]
@@ -45,8 +48,10 @@ def detect_outliers(
     percentage.
     """
     columns = require_columns(df, columns) if columns else require_numeric(df)
-    require_rows(df)
-    bounds = iqr_bounds(df, columns, iqr_multiplier, interpolation, small)
+    counts = non_null_counts(df, columns)
+    if not any(counts.values()):
+        require_rows(df)
+    bounds = iqr_bounds(df, columns, iqr_multiplier, interpolation, small, counts)
     aggregates = [F.count(F.lit(1)).alias("n")]
     rows = []
     for i, c in enumerate(columns):

@@ -34,6 +34,12 @@ _WIDTHS = {
 }
 
 
+_DISTRIBUTION = (
+    "column string, dtype string, count bigint, null_count bigint, mean double, std double, "
+    "min double, max double, median double"
+)
+
+
 def require_rows(df: DataFrame) -> None:
     if df.isEmpty():
         raise ValueError("Dataset is empty")
@@ -133,7 +139,6 @@ def numeric_distributions(
     columns = require_columns(df, columns) if columns else numeric_columns(df)
     if not columns:
         raise ValueError("No numerical columns found")
-    require_rows(df)
     dtypes = dict(df.dtypes)
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
@@ -145,25 +150,24 @@ def numeric_distributions(
             F.min(value).cast("double").alias(f"min{i}"),
             F.max(value).cast("double").alias(f"max{i}"),
         ]
-    middle = medians(df, columns, small)
-    stats = as_rows(
-        df.agg(*aggregates),
-        [
-            {
-                "column": F.lit(c),
-                "dtype": F.lit(dtypes[c]),
-                "count": F.col(f"count{i}"),
-                "null_count": F.col("n") - F.col(f"count{i}"),
-                "mean": F.col(f"mean{i}"),
-                "std": F.col(f"std{i}"),
-                "min": F.col(f"min{i}"),
-                "max": F.col(f"max{i}"),
-                "median": F.lit(middle[c]).cast("double"),
-            }
-            for i, c in enumerate(columns)
-        ],
-    )
-    return stats.join(distinct_counts(df, columns), "column")
+    row = df.agg(*aggregates).first()
+    if row["n"] == 0:
+        raise ValueError("Dataset is empty")
+    counts = {c: row[f"count{i}"] for i, c in enumerate(columns)}
+    middle = medians(df, columns, small, counts)
+    stats = [
+        (
+            c,
+            dtypes[c],
+            counts[c],
+            row["n"] - counts[c],
+            *[row[f"{name}{i}"] for name in ("mean", "std", "min", "max")],
+            None if middle[c] is None else float(middle[c]),
+        )
+        for i, c in enumerate(columns)
+    ]
+    frame = df.sparkSession.createDataFrame(stats, _DISTRIBUTION)
+    return frame.join(distinct_counts(df, columns), "column")
 
 
 def categorical_distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -19,21 +19,25 @@ def quality_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_report(df: DataFrame) -> DataFrame:
-    """Columns with at least one null: count and percentage of all rows."""
-    counts = missing_counts(df).where("missing > 0")
-    return counts.select(
+def _missing(counts: DataFrame) -> DataFrame:
+    return counts.where("missing > 0").select(
         "column",
         F.col("missing").alias("count"),
         (F.col("missing") / F.col("total") * 100).alias("percentage"),
     )
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
-    """Columns holding a single value (all null counts, one value plus nulls does not).
+def missing_report(df: DataFrame) -> DataFrame:
+    """Columns with at least one null: count and percentage of all rows."""
+    return _missing(missing_counts(df))
+
 
-    Needs only the extremes and the null count, hence one scan and no shuffle of
-    values.
+def column_facts(df: DataFrame) -> DataFrame:
+    """``(column, missing, total, constant)`` for every column, one scan.
+
+    A column is constant when it holds a single value: all null counts, one value
+    plus nulls does not.  The extremes and the null count tell, so no values are
+    shuffled.
     """
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
@@ -41,11 +45,13 @@ def constant_columns(df: DataFrame) -> DataFrame:
             F.count(col(c)).alias(f"c{i}"),
             F.min(col(c)).eqNullSafe(F.max(col(c))).alias(f"same{i}"),
         ]
-    flags = as_rows(
+    return as_rows(
         df.agg(*aggregates),
         [
             {
                 "column": F.lit(c),
+                "missing": F.col("n") - F.col(f"c{i}"),
+                "total": F.col("n"),
                 "constant": (F.col("n") > 0)
                 & F.col(f"same{i}")
                 & ((F.col(f"c{i}") == 0) | (F.col(f"c{i}") == F.col("n"))),
@@ -53,7 +59,10 @@ def constant_columns(df: DataFrame) -> DataFrame:
             for i, c in enumerate(df.columns)
         ],
     )
-    return flags.where("constant").select("column")
+
+
+def constant_columns(df: DataFrame) -> DataFrame:
+    return column_facts(df).where("constant").select("column")
 
 
 def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
@@ -80,10 +89,13 @@ def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> D
 def quality_report(df: DataFrame) -> DataFrame:
     """One row with the totals and the number of issues found."""
     require_rows(df)
-    totals = quality_totals(df)
-    missing = missing_report(df).agg(F.count(F.lit(1)).alias("missing_columns"))
-    constant = constant_columns(df).agg(F.count(F.lit(1)).alias("constant_columns"))
-    return one_row([totals, missing, constant, duplicate_rows(df)]).withColumn(
+    facts = column_facts(df).agg(
+        F.max("total").alias("total_rows"),
+        F.count(F.lit(1)).alias("total_columns"),
+        F.count(F.when(F.col("missing") > 0, 1)).alias("missing_columns"),
+        F.count(F.when(F.col("constant"), 1)).alias("constant_columns"),
+    )
+    return one_row([facts, duplicate_rows(df)]).withColumn(
         "issues",
         F.col("missing_columns")
         + F.col("constant_columns")

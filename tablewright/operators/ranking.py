@@ -20,25 +20,30 @@ from tablewright.functions.columns import col
 
 SMALL_ROWS = 100_000
 MAX_BUCKETS = 4_096
+_POINT_CHARS = 256
 
 
 def split_points(df: DataFrame, key: str, buckets: int, per_bucket: int = 8) -> list[Any]:
     """At most ``buckets - 1`` increasing key values that cut ``df`` evenly.
 
     ``df`` has one row per key; the keys with the smallest hashes are an even
-    draw from them, found by a bounded top-k.
+    draw from them, found by a bounded top-k.  Where to cut is free, so long text
+    is cut at its first characters, which keeps the points small.
     """
     value = col(key)
+    shown = F.substring(value, 1, _POINT_CHARS) if dict(df.dtypes)[key] == "string" else value
     drawn = (
-        df.select(value.alias("k"))
-        .where(value.isNotNull())
-        .orderBy(F.xxhash64("k"), "k")
+        df.select(value.alias("v"), shown.alias("k"))
+        .where(F.col("v").isNotNull())
+        .orderBy(F.xxhash64("v"), "k")
+        .select("k")
         .limit(buckets * per_bucket)
         .orderBy("k")
         .collect()
     )
     step = max(1, len(drawn) // buckets)
-    return [row["k"] for row in drawn[step::step]][: buckets - 1]
+    points = [row["k"] for row in drawn[step::step]][: buckets - 1]
+    return list(dict.fromkeys(points))
 
 
 def bucket_of(value: Column, points: Sequence[Any]) -> Column:

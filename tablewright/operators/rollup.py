@@ -119,27 +119,38 @@ def dataset_facts(df: DataFrame, target: str) -> DataFrame:
 def iteration_outcome(
     log: DataFrame, threshold: float = 0.75, by: Sequence[str] = ("run_id",)
 ) -> DataFrame:
-    """Per run: the iteration it ends with, whether accepted, and the scores up to there.
+    """Per run: the iteration it ends with, its score, and whether it was accepted.
 
     A run ends at its first score at or above ``threshold``, else at its last
-    iteration.
+    iteration.  Only the two candidate steps of a run are kept while grouping.
     """
     require_columns(log, [*by, "iteration", "score"])
-    keys = [col(c) for c in by]
-    accepted = F.col("score") >= threshold
-    first_accepted = F.min(F.when(accepted, F.col("iteration")))
-    steps = F.array_sort(F.collect_list(F.struct("iteration", "score")))
-    grouped = log.groupBy(*keys).agg(
-        first_accepted.alias("_first"), F.max("iteration").alias("_last"), steps.alias("_steps")
+    step = F.struct("iteration", "score")
+    first = F.min(F.when(F.col("score") >= threshold, step))
+    grouped = log.groupBy(*[col(c) for c in by]).agg(
+        first.alias("_first"), F.max(step).alias("_last")
     )
     final = F.coalesce("_first", "_last")
-    history = F.filter("_steps", lambda s: s["iteration"] <= final)
     return grouped.select(
-        *keys,
-        final.alias("final_iteration"),
+        *[col(c) for c in by],
+        final["iteration"].alias("final_iteration"),
         F.col("_first").isNotNull().alias("accepted"),
-        F.element_at(history, -1)["score"].alias("final_score"),
-        F.transform(history, lambda s: s["score"]).alias("score_history"),
+        final["score"].alias("final_score"),
+    )
+
+
+def score_history(
+    log: DataFrame, threshold: float = 0.75, by: Sequence[str] = ("run_id",)
+) -> DataFrame:
+    """The steps of every run up to the one it ends with, one row each."""
+    keys = list(by)
+    ends = iteration_outcome(log, threshold, by).select(*[col(c) for c in keys], "final_iteration")
+    steps = log.join(ends, keys).where(F.col("iteration") <= F.col("final_iteration"))
+    return steps.select(
+        *[col(c) for c in keys],
+        "iteration",
+        "score",
+        (F.col("score") >= threshold).alias("accepted"),
     )
 
 

@@ -41,8 +41,15 @@ def _cut_level(counted: DataFrame, part: str, need: str) -> DataFrame:
     )
 
 
-def _maybe_broadcast(cuts: DataFrame, groups: int) -> DataFrame:
-    return F.broadcast(cuts) if groups <= BROADCAST_LABELS else cuts
+def _settled(cuts: DataFrame) -> DataFrame:
+    """One row per group, kept apart from the plan that found it.
+
+    Few groups become a broadcast literal table, many a checkpointed one.
+    """
+    rows = cuts.limit(BROADCAST_LABELS + 1).collect()
+    if len(rows) > BROADCAST_LABELS:
+        return materialise(cuts)
+    return F.broadcast(cuts.sparkSession.createDataFrame(rows, cuts.schema))
 
 
 def find_cuts(digests: DataFrame, test_size: float, small: int = SMALL_ROWS) -> DataFrame:
@@ -57,11 +64,11 @@ def find_cuts(digests: DataFrame, test_size: float, small: int = SMALL_ROWS) ->
     )
     total = F.sum("_n").over(Window.partitionBy("_group"))
     counted = counted.withColumn("_want", total - F.floor(total * F.lit(test_size)))
-    cuts = materialise(_cut_level(counted, "_part", "_want"))
+    cuts = _settled(_cut_level(counted, "_part", "_want"))
     while True:
-        groups, largest = cuts.agg(F.count(F.lit(1)), F.max("_n")).first()
+        largest = cuts.agg(F.max("_n")).first()[0]
         inside = digests.withColumn("_part", F.substring("_digest", 1, level)).join(
-            _maybe_broadcast(cuts.drop("_n"), groups), ["_group", "_part"]
+            cuts.drop("_n"), ["_group", "_part"]
         )
         level = level + _DIGITS if (largest or 0) > small and level < 32 else 32
         finer = inside.groupBy(
@@ -69,13 +76,15 @@ def find_cuts(digests: DataFrame, test_size: float, small: int = SMALL_ROWS) ->
         ).agg(F.count(F.lit(1)).alias("_n"))
         cuts = _cut_level(finer, "_part", "_need")
         if level == 32:
-            return cuts.select(
-                "_group",
-                F.col("_part").alias("_cut"),
-                F.col("_need").alias("_take"),
-                F.col("_n").alias("_same"),
+            return _settled(
+                cuts.select(
+                    "_group",
+                    F.col("_part").alias("_cut"),
+                    F.col("_need").alias("_take"),
+                    F.col("_n").alias("_same"),
+                )
             )
-        cuts = materialise(cuts)
+        cuts = _settled(cuts)
 
 
 def train_test_split(
@@ -101,17 +110,15 @@ def train_test_split(
     columns = [col(c) for c in df.columns]
     group = F.lit("") if stratify is None else F.to_json(F.struct(col(stratify)))
     marked = df.withColumns({"_group": group, "_digest": key_hash([col(k) for k in keys], seed)})
-    cuts = materialise(find_cuts(marked.select("_group", "_digest"), test_size, small))
-    groups, tied = cuts.agg(
-        F.count(F.lit(1)), F.count(F.when(F.col("_take") < F.col("_same"), 1))
-    ).first()
+    cuts = find_cuts(marked.select("_group", "_digest"), test_size, small)
+    tied = not cuts.where(F.col("_take") < F.col("_same")).isEmpty()
     if stratify is None:
         edge = cuts.first()
         placed = marked.withColumns(
             {f: F.lit(edge[f]) for f in ("_cut", "_take", "_same")}
         )
     else:
-        placed = marked.join(_maybe_broadcast(cuts, groups), "_group")
+        placed = marked.join(cuts, "_group")
     digest, cut = F.col("_digest"), F.col("_cut")
     whole = F.col("_take") == F.col("_same")
     train = placed.where((digest < cut) | ((digest == cut) & whole)).select(*columns)

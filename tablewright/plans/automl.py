@@ -114,8 +114,7 @@ def automl_loop(
             task_type,
             key_cols,
             recipe.family,
-            None,
-            seed,
+            seed=seed,
             **recipe.options,
         )
         scores = rubric(result.test_metrics, task_type)

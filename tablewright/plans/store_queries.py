@@ -174,20 +174,25 @@ def iteration_log(spark, folder) -> DataFrame:
     )
 
 
+_ENDS = f"""WITH {_LOG}, ends AS (SELECT run_id AS run,
+  min(CASE WHEN score >= 0.75 THEN iteration END) AS first_ok, max(iteration) AS last
+  FROM log GROUP BY run_id)"""
+
+
 @query(
-    f"""WITH {_LOG}, ends AS (SELECT run_id,
-      min(CASE WHEN score >= 0.75 THEN iteration END) AS first_ok, max(iteration) AS last
-      FROM log GROUP BY run_id)
-    SELECT log.run_id, coalesce(first_ok, last) AS final_iteration, first_ok IS NOT NULL AS accepted,
-      max(CASE WHEN iteration = coalesce(first_ok, last) THEN score END) AS final_score,
-      string_agg(round(score * 100)::BIGINT::VARCHAR, ',' ORDER BY iteration) AS history
-    FROM log JOIN ends ON log.run_id = ends.run_id AND iteration <= coalesce(first_ok, last)
-    GROUP BY log.run_id, first_ok, last"""
+    f"""{_ENDS} SELECT run_id, iteration AS final_iteration, first_ok IS NOT NULL AS accepted,
+    score AS final_score FROM log JOIN ends ON run_id = run AND iteration = coalesce(first_ok, last)"""
 )
 def iteration_outcome(spark, folder):
-    outcome = rollup.iteration_outcome(iteration_log(spark, folder))
-    percents = F.transform("score_history", lambda s: F.round(s * 100).cast("bigint").cast("string"))
-    return outcome.withColumn("history", F.concat_ws(",", percents)).drop("score_history")
+    return rollup.iteration_outcome(iteration_log(spark, folder))
+
+
+@query(
+    f"""{_ENDS} SELECT run_id, iteration, score, score >= 0.75 AS accepted
+    FROM log JOIN ends ON run_id = run AND iteration <= coalesce(first_ok, last)"""
+)
+def score_history(spark, folder):
+    return rollup.score_history(iteration_log(spark, folder))
 
 
 @query(

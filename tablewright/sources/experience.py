@@ -47,7 +47,9 @@ def parse_evaluations(entries: DataFrame) -> DataFrame:
     defaults to false.
     """
     require_columns(entries, ["critic_evaluation", "critic_score", "accepted"])
-    parsed = entries.withColumn("_e", F.from_json("critic_evaluation", EVALUATION))
+    # a generator is evaluated once per row; a plain column would be parsed again by every user
+    once = F.explode(F.array(F.from_json("critic_evaluation", EVALUATION)))
+    parsed = entries.select("*", once.alias("_e"))
     readable = F.col("_e.score").isNotNull() & F.col("_e.feedback").isNotNull()
     return parsed.where(readable).select(
         *entries.columns,

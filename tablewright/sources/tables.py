@@ -62,12 +62,12 @@ def read_csv(spark: SparkSession, path: str, infer_rows: int = 1_000) -> DataFra
         raise ValueError(f"infer_rows must be > 0, got {infer_rows}")
     path = os.path.expanduser(path)
     try:
-        head = spark.read.text(path).limit(infer_rows + 1)
+        head = spark.read.text(path).head(infer_rows + 1)  # stops after the first files
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"Dataset file not found: {path}") from error
         raise
-    lines = head.rdd.map(lambda row: row[0])
+    lines = spark.sparkContext.parallelize([row["value"] for row in head], 1)
     options = {"header": True, "mode": "FAILFAST"}
     inferred = spark.read.options(**options).option("inferSchema", True).csv(lines).schema
     return spark.read.options(**options).schema(inferred).csv(path)

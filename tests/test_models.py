@@ -73,6 +73,10 @@ def test_train_saves_and_scores(spark, points, tmp_path):
         points, points, "target", "classification", ["id"], iterations=3, depth=2
     )
     assert result.test_metrics.first()["accuracy"] == 1.0
+    ranked = models.train(
+        points, points, "target", "classification", ["id"], iterations=2, use_probability=True
+    )
+    assert ranked.test_metrics.first()["roc_auc"] == 1.0
     assert result.predictions.columns == ["id", "prediction"]
     assert dict(result.predictions.dtypes)["prediction"] == "int"
     path = model_files.save_model(result.model, str(tmp_path))

@@ -172,7 +172,9 @@ def test_iterations(spark):
         "run_id int, iteration int, score double",
     )
     done = {r["run_id"]: r for r in rollup.iteration_outcome(log).collect()}
-    assert done[1]["final_iteration"] == 2 and done[1]["score_history"] == [0.4, 0.8]
+    assert done[1]["final_iteration"] == 2 and done[1]["accepted"]
+    history = sorted((r["run_id"], r["score"]) for r in rollup.score_history(log).collect())
+    assert history == [(1, 0.4), (1, 0.8), (2, 0.3), (2, 0.5)]
     assert not done[2]["accepted"] and done[2]["final_score"] == 0.3
     best = {r["run_id"]: r["best_iteration"] for r in rollup.best_iteration(log).collect()}
     assert best == {1: 3, 2: 1}
