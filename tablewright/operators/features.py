@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns
-from tablewright.operators.encode import BROADCAST_BYTES
-from tablewright.session import materialise
+from tablewright.session import broadcast_if_small, materialise
 
 
 @dataclass
@@ -21,7 +20,6 @@ class TargetEncoding:
     column: str
     means: DataFrame
     overall: float
-    broadcast: bool
 
     @classmethod
     def fit(
@@ -35,15 +33,12 @@ class TargetEncoding:
         means = materialise(
             df.where(y.isNotNull()).groupBy(col(column).alias("_value")).agg(mean.alias("_mean"))
         )
-        text = F.coalesce(F.octet_length(F.col("_value").cast("string")), F.lit(0)) + 64
-        size = means.agg(F.sum(text)).first()[0] or 0
-        return cls(column, means, overall, size <= BROADCAST_BYTES)
+        return cls(column, broadcast_if_small(means), overall)
 
     def transform(self, df: DataFrame, output: str | None = None) -> DataFrame:
         require_columns(df, [self.column])
         order = df.columns
-        means = F.broadcast(self.means) if self.broadcast else self.means
-        joined = df.join(means, col(self.column).eqNullSafe(F.col("_value")), "left")
+        joined = df.join(self.means, col(self.column).eqNullSafe(F.col("_value")), "left")
         name = output or self.column
         encoded = F.coalesce("_mean", F.lit(self.overall))
         kept = order if name in order else [*order, name]

@@ -13,8 +13,10 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tablewright.functions.columns import col
 
@@ -46,8 +48,25 @@ def split_points(df: DataFrame, key: str, buckets: int, per_bucket: int = 8) ->
     return list(dict.fromkeys(points))
 
 
-def bucket_of(value: Column, points: Sequence[Any]) -> Column:
-    """Number of split points at or below ``value`` (0 for NULL), in two short searches."""
+def with_bucket(df: DataFrame, key: str, points: Sequence[Any]) -> DataFrame:
+    """Add ``_bucket``, the number of split points at or below the key (0 for NULL)."""
+    if not isinstance(df.schema[key].dataType, NumericType):
+        return df.withColumn("_bucket", _text_bucket(col(key), points))
+    # as doubles, neighbouring large integers may meet, but never change places
+    edges = sorted({float(p) for p in points if math.isfinite(p)})
+    bucketizer = Bucketizer(
+        splits=[-math.inf, *edges, math.inf] if edges else [-math.inf, 0.0, math.inf],
+        inputCol="_number",
+        outputCol="_bucket",
+        handleInvalid="keep",
+    )
+    placed = bucketizer.transform(df.withColumn("_number", col(key).cast("double")))
+    bucket = F.when(col(key).isNull(), 0).otherwise(F.col("_bucket").cast("int"))
+    return placed.withColumn("_bucket", bucket).drop("_number")
+
+
+def _text_bucket(value: Column, points: Sequence[Any]) -> Column:
+    """The bucket of a text value, found in two short searches."""
     if not points:
         return F.lit(0)
 
@@ -85,7 +104,7 @@ def running_before(
     else:
         buckets = min(MAX_BUCKETS, max(2, math.ceil(rows / small) * 2))
         points = split_points(df, key, buckets)
-        valued = valued.withColumn("_bucket", bucket_of(col(key), points))
+        valued = with_bucket(valued, key, points)
         side = F.desc("_bucket") if descending else F.asc("_bucket")
         earlier = (
             Window.partitionBy(F.lit(0)).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns
+from tablewright.session import broadcast_if_small
 
 PER_TOKENS = 1_000_000
 
@@ -18,7 +19,8 @@ def token_cost(usage: DataFrame, prices: DataFrame, model: str = "model") -> Dat
     ``usage`` holds ``model`` as ``provider/name`` (split at the first slash),
     ``input_tokens`` and ``output_tokens``; ``prices`` holds ``provider``,
     ``name``, ``input_price`` and ``output_price`` per million tokens.  Missing
-    tokens count as 0; an unknown or malformed model costs 0.
+    tokens count as 0; an unknown or malformed model costs 0.  A model priced
+    twice is an error.
     """
     require_columns(usage, [model, "input_tokens", "output_tokens"])
     require_columns(prices, ["provider", "name", "input_price", "output_price"])
@@ -31,9 +33,12 @@ def token_cost(usage: DataFrame, prices: DataFrame, model: str = "model") -> Dat
         F.col("input_price").cast("double").alias("_in"),
         F.col("output_price").cast("double").alias("_out"),
     )
+    repeated = table.groupBy("_provider", "_name").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("prices hold a model more than once")
     split = usage.withColumns({"_p": provider, "_n": name})
     joined = split.join(
-        table, (F.col("_p") == F.col("_provider")) & (F.col("_n") == F.col("_name")), "left"
+        broadcast_if_small(table), (F.col("_p") == F.col("_provider")) & (F.col("_n") == F.col("_name")), "left"
     )
     tokens_in = F.coalesce(col("input_tokens"), F.lit(0)).cast("bigint")
     tokens_out = F.coalesce(col("output_tokens"), F.lit(0)).cast("bigint")

@@ -65,12 +65,16 @@ def find_cuts(digests: DataFrame, test_size: float, small: int = SMALL_ROWS) ->
     total = F.sum("_n").over(Window.partitionBy("_group"))
     counted = counted.withColumn("_want", total - F.floor(total * F.lit(test_size)))
     cuts = _settled(_cut_level(counted, "_part", "_want"))
+    before = None
     while True:
         largest = cuts.agg(F.max("_n")).first()[0]
         inside = digests.withColumn("_part", F.substring("_digest", 1, level)).join(
             cuts.drop("_n"), ["_group", "_part"]
         )
-        level = level + _DIGITS if (largest or 0) > small and level < 32 else 32
+        # a part that stays large holds one digest many times, which more digits cannot split
+        shrinking = before is None or largest < before / 2
+        level = min(32, level + _DIGITS) if largest > small and shrinking else 32
+        before = largest
         finer = inside.groupBy(
             "_group", "_need", F.substring("_digest", 1, level).alias("_part")
         ).agg(F.count(F.lit(1)).alias("_n"))
@@ -108,7 +112,9 @@ def train_test_split(
     if df.isEmpty():
         raise ValueError("Dataset is empty")
     columns = [col(c) for c in df.columns]
-    group = F.lit("") if stratify is None else F.to_json(F.struct(col(stratify)))
+    group = F.lit("")
+    if stratify is not None:  # NULL is a group of its own
+        group = F.coalesce(F.concat(F.lit("="), col(stratify).cast("string")), F.lit("null"))
     marked = df.withColumns({"_group": group, "_digest": key_hash([col(k) for k in keys], seed)})
     cuts = find_cuts(marked.select("_group", "_digest"), test_size, small)
     tied = not cuts.where(F.col("_take") < F.col("_same")).isEmpty()
@@ -121,7 +127,7 @@ def train_test_split(
         placed = marked.join(cuts, "_group")
     digest, cut = F.col("_digest"), F.col("_cut")
     whole = F.col("_take") == F.col("_same")
-    train = placed.where((digest < cut) | ((digest == cut) & whole)).select(*columns)
+    train = placed.where(F.when(whole, digest <= cut).otherwise(digest < cut)).select(*columns)
     test = placed.where(digest > cut).select(*columns)
     if tied:
         ties = placed.where((digest == cut) & ~whole)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.functions.columns import col
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +37,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_OVERHEAD = 64
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated size of a row: text at its length, everything else at eight bytes."""
+    size = F.lit(_ROW_OVERHEAD + 8 * len(df.columns)).cast("bigint")
+    for name, dtype in df.dtypes:
+        if dtype in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(col(name)), F.lit(0))
+    return size
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its measured size allows, else as it is.
+
+    Left unmarked, a join shuffles and adaptive execution splits hot keys.
+    """
+    measured = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path for a scratch table in the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

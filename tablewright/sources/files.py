@@ -26,7 +26,7 @@ def list_files(
     return files.select(
         "path",
         name.alias("name"),
-        F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("extension"),
+        F.regexp_extract(name, r".(\.[^.]+)$", 1).alias("extension"),
         F.regexp_replace("path", "/[^/]*$", "").alias("parent"),
         F.col("length").alias("size_bytes"),
         F.round(F.col("length") / 1024, 2).alias("size_kb"),
