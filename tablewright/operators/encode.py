@@ -7,14 +7,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns, union_all
 from tablewright.operators.ranking import SMALL_ROWS, ordered_codes
-from tablewright.session import materialise
+from tablewright.session import BROADCAST_BYTES, materialise
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 _ENTRY_OVERHEAD = 64
 _SCHEMA = "column string, value string, code bigint"
 
@@ -77,7 +76,7 @@ class LabelEncoding:
             raise ValueError(f"Unknown unseen policy: {unseen}")
         order = df.columns
         for c in require_columns(df, columns or list(self._sizes)):
-            text = col(c).cast("string")
+            text = _as_text(df, c)
             joined = df.join(self._part(c), text.eqNullSafe(F.col("_value")), "left")
             code = F.col("_code")
             if unseen == "minus_one":
@@ -147,6 +146,15 @@ class OneHot:
         return df.select(*output)
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """Text of a value; the two floating zeros are one value, as in grouping."""
+    dtype = dict(df.dtypes)[name]
+    value = col(name)
+    if dtype in ("float", "double"):
+        value = value + F.lit(0.0).cast(dtype)
+    return value.cast("string")
+
+
 def _label(value: Any) -> str:
     if value is None:
         return "null"

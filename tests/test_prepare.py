@@ -55,6 +55,12 @@ def test_label_buckets_equal_one_window(spark, kind):
     assert [found[str(v)] for v in known] == list(range(1, len(values)))
 
 
+def test_label_of_both_zeros(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "x double")
+    coded = encode.LabelEncoding.fit(df, ["x"]).transform(df, unseen="error")
+    assert sorted(r["x"] for r in coded.collect()) == [0, 0, 1]
+
+
 def test_label_shuffle_join_when_large(spark, monkeypatch):
     monkeypatch.setattr(encode, "BROADCAST_BYTES", 10)
     df = spark.createDataFrame([("hot",)] * 50 + [(f"v{i}",) for i in range(20)], "c string")

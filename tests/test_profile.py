@@ -122,6 +122,12 @@ def test_duplicates_with_a_hot_row(spark, limit):
     assert found == len(data) - len(set(data))
 
 
+def test_duplicates_of_both_zeros(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.0,), (-0.0,), (nan,), (nan,), (1.0,)], "x double")
+    assert quality.duplicate_rows(df).first()[0] == 2
+
+
 def test_observed_rows(spark, mixed):
     watched, watch = quality.observed(mixed, "rows_seen")
     watched.collect()
