@@ -67,7 +67,8 @@ def align(
     n = len(frames)
     # the squares tell n sources once each from any other way to reach n rows
     square = sum(i * i for i in range(n))
-    together = merged.groupBy(col(key)).agg(
+    # keys are unique per input, so combining before the shuffle would only cost
+    together = merged.repartition(col(key)).groupBy(col(key)).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_src").alias("_s"),
         F.sum(F.col("_src") * F.col("_src")).alias("_q"),
