@@ -77,10 +77,11 @@ def exact_duplicates(
         )
     marked = stored(marked, "dedup-rows")
 
-    groups = (
+    groups = stored(  # so that both sides of the join below are plain exchanges, which can be split
         marked.where("content is not null")
         .groupBy("content")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")),
+        "dedup-groups",
     )
     alone = marked.where("content is null").withColumns(
         {"keep_id": F.col("id"), "group_size": F.lit(1).cast("bigint")}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, hilbert, simhash
+from tablewright.llm import exact_dedup, hilbert, piece_bpe, simhash, token_counts, token_store
 from tablewright.llm.common import documents
 
 QUERIES: dict = {}
@@ -17,6 +18,17 @@ def query(function):
     return function
 
 
+def model_path(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine."""
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_files(spark, folder) -> DataFrame:
+    manifest = token_store.write_token_files(documents(spark, folder), model_path("word_bpe_49k.json"))
+    return token_store.read_token_files(manifest).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op2_exact_dedup(spark, folder) -> DataFrame:
     found = exact_dedup.exact_duplicates(documents(spark, folder), digests=True)
@@ -57,3 +69,23 @@ def op7_simhash(spark, folder) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op8_piece_encoding(spark, folder) -> DataFrame:
+    path = model_path("piece_bpe_32k.model")
+    encoded = piece_bpe.encode_texts(documents(spark, folder), path)
+    both = piece_bpe.decode_ids(encoded, path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_token_counts(spark, folder) -> DataFrame:
+    counted = token_counts.token_counts(documents(spark, folder), model_path("piece_bpe_32k.model"))
+    return counted.withColumnRenamed("id", "doc_id")
