@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,43 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = stop
 
 
+class SpanMemory:
+    """Values of text spans, computed once for each distinct span that a worker meets.
+
+    ``learn`` maps a list of new spans to all their values in one array and the
+    number of values of each.  Beyond ``limit`` spans the memory starts anew, which
+    costs time only.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self._learn, self._limit = learn, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self._slot: dict[str, int] = {}
+        self._values, self._counts = self._learn([])
+        self._begin = np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all spans of all texts in order, and where each text ends."""
+        new = list(set(chain.from_iterable(texts)).difference(self._slot))
+        if len(self._slot) + len(new) > self._limit:
+            self._forget()
+            new = list(set(chain.from_iterable(texts)))
+        if new:
+            values, counts = self._learn(new)
+            self._slot.update(zip(new, range(len(self._slot), len(self._slot) + len(new))))
+            self._begin = np.concatenate([self._begin, len(self._values) + np.cumsum(counts) - counts])
+            self._counts = np.concatenate([self._counts, counts])
+            self._values = np.concatenate([self._values, values])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        slots = np.fromiter(map(self._slot.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        counts = self._counts[slots]
+        ends = np.r_[0, np.cumsum(counts)]
+        places = np.repeat(self._begin[slots] - ends[:-1], counts) + np.arange(ends[-1])
+        return self._values[places], ends[np.cumsum(sizes)]
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id`` (bigint) and ``text`` (null: empty), whatever else ``df`` holds."""
     require_columns(df, [id_col, text_col])

@@ -23,7 +23,7 @@ def write_new(folder: str, suffix: str, data: bytes) -> str:
     uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
     system, path = place(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(data)
     return uri
 

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tablewright.llm.common import id_and_text, slices
+from tablewright.llm.common import SpanMemory, id_and_text, slices
 from tablewright.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load
 
 #: Distinct spans that a worker remembers; beyond it the memory starts anew.
@@ -148,40 +147,17 @@ class Encoder:
     def __init__(self, path: str):
         self.model = load(path)
         self.table = PairTable(self.model)
-        self._forget()
+        self._ids_of = SpanMemory(self._learn, MEMORY)
 
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.pool = np.zeros(0, np.int32)
-        self.begin = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def _learn(self, keys: list[str]) -> None:
-        ids, lengths = merge_rounds([self.model.symbols(k) for k in keys], self.model, self.table)
-        self.slot.update(zip(keys, range(len(self.slot), len(self.slot) + len(keys))))
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.pool = np.concatenate([self.pool, ids])
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return merge_rounds([self.model.symbols(k) for k in keys], self.model, self.table)
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text ends in it."""
-        keys = [self.model.keys(t) for t in texts]
-        new = list(set(chain.from_iterable(keys)).difference(self.slot))
-        if len(self.slot) + len(new) > MEMORY:
-            self._forget()
-            new = list(set(chain.from_iterable(keys)))
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(keys)), np.int64, counts.sum())
-        lengths = self.length[slots]
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.begin[slots] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        text_ends = np.r_[0, ends][np.cumsum(counts)]
-        if end_id is not None:
-            ids = np.insert(ids, text_ends, end_id)
-            text_ends = text_ends + np.arange(1, len(texts) + 1)
-        return ids, text_ends
+        ids, ends = self._ids_of([self.model.keys(t) for t in texts])
+        if end_id is None:
+            return ids, ends
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(texts) + 1)
 
 
 class Decoder:

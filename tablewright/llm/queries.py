@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, hilbert, piece_bpe, simhash, token_counts, token_store
+from tablewright.llm import exact_dedup, hilbert, piece_bpe, simhash, token_counts, token_store, warc
 from tablewright.llm.common import documents
 
 QUERIES: dict = {}
@@ -61,6 +61,14 @@ def op4_hilbert_shards(spark, folder) -> DataFrame:
     )
 
 
+@query
+def op6_warc(spark, folder) -> DataFrame:
+    manifest = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"))
+    return warc.read_archives(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op7_simhash(spark, folder) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))

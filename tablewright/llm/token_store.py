@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import id_and_text, slices
+from tablewright.llm.common import SpanMemory, id_and_text, slices
 from tablewright.llm.files import read_all, write_new
 from tablewright.llm.wavelet import WaveletFile, build
 from tablewright.session import scratch_path
@@ -47,7 +47,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self._check()
-        self._forget()
+        self._ids_of = SpanMemory(self._learn, MEMORY)
 
     def _check(self) -> None:
         samples = ["a b", "Ab\ncd 12", "x. y", "é è"]
@@ -57,38 +57,15 @@ class WordEncoder:
             if whole != [i for p in parts for i in p]:
                 raise ValueError("the tokenizer joins words over white space")
 
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.pool = np.zeros(0, np.int32)
-        self.begin = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, lengths.sum())
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.pool = np.concatenate([self.pool, ids])
+        return np.fromiter(chain.from_iterable(found), np.int32, lengths.sum()), lengths
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and where each text ends."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.slot))
-        if len(self.slot) + len(new) > MEMORY:
-            self._forget()
-            new = list(set(chain.from_iterable(words)))
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
-        lengths = self.length[slots]
-        ends = np.cumsum(lengths)
-        total = ends[-1] if len(ends) else 0
-        ids = self.pool[np.repeat(self.begin[slots] - (ends - lengths), lengths) + np.arange(total)]
-        text_ends = np.r_[0, ends][np.cumsum(counts)]
-        return np.insert(ids, text_ends, end_id), text_ends + np.arange(1, len(texts) + 1)
+        ids, ends = self._ids_of([t.replace("\n", " ").split(" ") for t in texts])
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(texts) + 1)
 
 
 @functools.lru_cache(maxsize=2)
