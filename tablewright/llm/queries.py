@@ -6,8 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, hilbert, piece_bpe, simhash, token_counts, token_store, warc
-from tablewright.llm.common import documents
+from tablewright.llm import (
+    decontaminate,
+    exact_dedup,
+    hilbert,
+    piece_bpe,
+    quality,
+    simhash,
+    token_counts,
+    token_store,
+    toxicity,
+    warc,
+)
+from tablewright.llm.common import documents, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,6 +57,12 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id,
 FROM rows"""
 
 
+@query
+def op3_decontamination(spark, folder) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, folder), benchmark).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op4_hilbert_shards(spark, folder) -> DataFrame:
     placed = hilbert.hilbert_shards(documents(spark, folder), shards=40)
@@ -61,6 +78,29 @@ def op4_hilbert_shards(spark, folder) -> DataFrame:
     )
 
 
+def id_remainder(divisor: int):
+    """CRC-32 of the id as text, modulo a number: decides which labels may be learnt from."""
+    return F.crc32(F.col("id").cast("string").cast("binary")) % divisor
+
+
+def with_verdict(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_toxicity(spark, folder) -> DataFrame:
+    docs = documents(spark, folder)
+    marks = quality.one_label_each(spark.read.parquet(f"{folder}/labels.parquet"), "toxic")
+    held_out = id_remainder(5) == 0
+    texts, labels = toxicity.training_sample(docs, marks.where(~held_out))
+    return with_verdict(toxicity.score(docs, toxicity.fit(texts, labels)), held_out)
+
+
 @query
 def op6_warc(spark, folder) -> DataFrame:
     manifest = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"))
@@ -97,3 +137,12 @@ def op8_piece_encoding(spark, folder) -> DataFrame:
 def op9_token_counts(spark, folder) -> DataFrame:
     counted = token_counts.token_counts(documents(spark, folder), model_path("piece_bpe_32k.model"))
     return counted.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_quality(spark, folder) -> DataFrame:
+    marks = quality.one_label_each(spark.read.parquet(f"{folder}/labels.parquet"), "quality")
+    held_out = id_remainder(3) == 1
+    statistics = stored(quality.document_statistics(documents(spark, folder)), "quality-statistics")
+    model = quality.train(statistics, marks.where(~held_out))
+    return with_verdict(quality.score(statistics, model), held_out)
