@@ -4,18 +4,17 @@ Fingerprint: a text is lower-cased (A-Z only) and cut into words at ASCII white
 space; XXH64 (seed 42) of every run of ``words`` words, repeats included; a bit of
 the fingerprint is one when it is set in over half of the hashes.
 
-Search: fingerprints within three bits of each other, cut into only two halves,
-agree in one half up to a single bit.  Each distinct fingerprint is indexed under
-each half as it is, and under the half with each single bit wiped out (33
-signatures a half).  Equal signatures give candidates, and the bit count of the
-whole decides.
+Search: fingerprints within ``d`` bits of each other, cut into only ``d // 2 + 1``
+parts (two for three bits), agree in one part up to a single bit.  Each distinct
+fingerprint is indexed under each part as it is, and under the part with each single
+bit wiped out.  Equal signatures give candidates, and the bit count of the whole
+decides.
 
 Hot signatures: a signature held by more than ``BUCKET`` fingerprints is not
-paired.  Its members are indexed again by the other half, cut in two, the same
-way, and once more below that.  After three levels at most eight bits are free, so
-a signature has at most 2,048 members by construction; those that still exceed
-``BUCKET`` get a spanning forest of their links.  No link is lost on the way and no
-unbounded group reaches a task.
+paired.  Its members are indexed again by the bits that are still free, cut the same
+way, until at most ``FREE`` bits are left.  Then a signature has a bounded number of
+members by construction (2,048 for three bits), and gives a spanning forest of their
+links.  No link is lost on the way and no unbounded group reaches a task.
 
 Components are found by alternating star contractions (each node's neighbours are
 attached to its smallest neighbour), every round written to the shared folder.
@@ -23,21 +22,27 @@ attached to its smallest neighbour), every round written to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import id_and_text, is_small, slices, stored, without
 from tablewright.functions.columns import col
+from tablewright.llm.common import id_and_text, is_small, slices, stored, without
 
 SEED = 42
 DISTANCE = 3
 BUCKET = 200
+FREE = 8
+#: For documents alike in their shingle sets: fingerprints of each, over runs of so many
+#: words, and the bits in which one of them may differ.
+FINGERPRINTS = 4
+CANDIDATE_WORDS = 2
+CANDIDATE_DISTANCE = 5
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _BYTE_PLACES = np.arange(8) * 256
@@ -57,7 +62,12 @@ def fingerprint(text: str, words: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, count) + 1) - 1
         starts = [0, *(ends[: count - words] + 1).tolist()]
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    places = np.array(hashes, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE_PLACES
+    return _majority(np.array(hashes, np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
+    places = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE_PLACES
     counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS_OF_BYTE
     bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int.from_bytes(np.packbits(bits, axis=1).tobytes(), "little")
@@ -75,112 +85,155 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return id_and_text(df, id_col, text_col).mapInArrow(work, "id bigint, fp bigint")
 
 
-def _part(fp: Column, shift: int, width: int) -> Column:
+def _bits(value: Column, shift: int, width: int) -> Column:
     mask = -1 if width == 64 else (1 << width) - 1
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(mask))
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit(mask))
 
 
-def _signatures(part: Column, width: int, which: Column) -> Column:
+def _signatures(part: Column, width: int, which: int) -> Column:
     """The part as it is, and with each of its bits wiped out; tagged by part and bit."""
-    tag = which * 64
-    whole = F.struct((tag + width).alias("tag"), part.alias("rest"))
+    tag = F.lit(which * 64 + width)
+    whole = F.struct(tag.alias("tag"), part.alias("rest"))
     wiped = [
-        F.struct((tag + bit).alias("tag"), part.bitwiseAND(F.lit(~(1 << bit))).alias("rest"))
+        F.struct(F.lit(which * 64 + bit).alias("tag"), part.bitwiseAND(F.lit(~(1 << bit))).alias("rest"))
         for bit in range(width)
     ]
     return F.array(whole, *wiped)
 
 
-def _indexed(members: DataFrame, keys: list[str], level: int, spans: list[Column], width: int) -> DataFrame:
-    """Index members under the signatures of two parts of ``width`` bits.
+def _widths(width: int, parts: int) -> list[int]:
+    return [width // parts + (i < width % parts) for i in range(parts)]
+
+
+def _entry(level: int, free: Column, left: int) -> Callable[[Column], Column]:
+    return lambda s: F.struct(
+        s["tag"].alias(f"t{level}"),
+        s["rest"].alias(f"r{level}"),
+        free.alias("free"),
+        F.lit(left).alias("left"),
+    )
+
+
+def _indexed(members: DataFrame, keys: list[str], level: int, width: int, parts: int) -> DataFrame:
+    """Index members under the signatures of the parts of ``free``, their free bits.
 
-    ``spans`` are the lowest bits of the two parts; the new key is ``(tN, rN)`` and
-    ``sN`` says where the bits that stay free begin.
+    The new key is ``(tN, rN)``; ``free`` and ``left`` become the bits outside the part.
     """
-    fp = F.col("fp")
-    entries = []
-    for i, (shift, other) in enumerate((spans, spans[::-1])):
+    free = F.col("free")
+    entries, shift = [], 0
+    for i, own in enumerate(_widths(width, parts)):
+        others = _bits(free, 0, shift)
+        if shift + own < width:
+            above = F.shiftrightunsigned(free, shift + own)
+            others = others.bitwiseOR(F.shiftleft(above, shift))
         entries.append(
             F.transform(
-                _signatures(_part(fp, shift, width), width, F.lit(i)),
-                lambda s, other=other: F.struct(
-                    s["tag"].alias(f"t{level}"), s["rest"].alias(f"r{level}"), F.lit(other).alias(f"s{level}")
-                ),
+                _signatures(_bits(free, shift, own), own, i),
+                _entry(level, others, width - own),
             )
         )
+        shift += own
     return members.select("fp", *keys, F.inline(F.concat(*entries)))
 
 
-def _pairs(indexed: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(indexed: DataFrame, keys: list[str], by: list[str], distance: int) -> DataFrame:
     """Verified links among members with equal signatures, each pair once per signature."""
     left = indexed.select(F.col("fp").alias("a"), *keys)
     right = indexed.select(F.col("fp").alias("b"), *keys)
     joined = left.join(right, keys).where("a < b")
-    return joined.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
-
-
-def _forest(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    """Spanning forest of the links inside each signature; for groups bounded by construction."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.unique(pdf["fp"].to_numpy())
-        bits = fps.view(np.uint64)
-        left = np.arange(len(fps))
-        links: list[tuple[int, int]] = []
-        while len(left):
-            frontier, left = left[:1], left[1:]
-            while len(frontier) and len(left):
-                at = int(frontier[0])
-                near = np.bitwise_count(bits[left] ^ bits[at]) <= DISTANCE
-                links += [(int(fps[at]), int(fps[i])) for i in left[near]]
-                frontier = np.concatenate([frontier[1:], left[near]])
-                left = left[~near]
-        return pd.DataFrame(
-            {"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64"
-        )
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    return joined.where(near).select(*by, "a", "b")
+
+
+def _spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Places of links that connect the fingerprints as all links within the distance do."""
+    left = np.arange(len(fps))
+    found: list[tuple[int, int]] = []
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]) <= distance
+            found += [(at, i) for i in left[near].tolist()]
+            frontier += left[near].tolist()
+            left = left[~near]
+    return found
+
+
+def _forest(indexed: DataFrame, keys: list[str], by: list[str], distance: int) -> DataFrame:
+    """Spanning forest of the links inside each signature; for signatures of bounded size."""
+    kinds = dict(indexed.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", " * bool(by) + "a bigint, b bigint"
 
-    return indexed.groupBy(*keys).applyInPandas(work, "a bigint, b bigint")
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect the distinct fingerprints ``fp`` as all pairs within the distance do."""
-    spark = distinct.sparkSession
-    found = []
-    members = distinct.select("fp")
-    keys: list[str] = []
-    # width of the parts that each level cuts, and where they may begin
-    for level, width in enumerate((32, 16, 8)):
-        if level == 0:
-            indexed = _indexed(members, keys, 0, [0, 32], width)
-        else:
-            base = f"s{level - 1}"
-            starts = (0, 32) if level == 1 else (0, 16, 32, 48)
-            choices = [
-                _indexed(members.where(F.col(base) == s), [*keys, base], level, [s, s + width], width)
-                for s in starts
-            ]
-            indexed = choices[0]
-            for more in choices[1:]:
-                indexed = indexed.unionByName(more)
-            indexed = indexed.drop(base)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:  # a signature may go on in the next batch
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            change = np.zeros(held.num_rows - 1, bool)
+            for key in keys:
+                column = held.column(key).to_numpy()
+                change |= column[1:] != column[:-1]
+            starts = np.r_[0, np.flatnonzero(change) + 1]
+            if batch is not None:
+                last = int(starts[-1])
+                done, held = held.slice(0, last), held.slice(last)
+                starts = starts[:-1]
+            else:
+                done, held = held, None
+            sizes = np.diff(starts, append=done.num_rows)
+            fps = done.column("fp").to_numpy()
+            bits = fps.view(np.uint64)
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= distance]
+            links = list(zip(two.tolist(), (two + 1).tolist()))
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                links += [(start + i, start + j) for i, j in _spanning(bits[start : start + size], distance)]
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            values = [done.column(c).take(pa.array(ends[:, 0])) for c in by]
+            a, b = fps[ends[:, 0]], fps[ends[:, 1]]
+            values += [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+            yield pa.RecordBatch.from_arrays(values, [*by, "a", "b"])
+
+    runs = indexed.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    return runs.mapInArrow(work, schema)
+
+
+def links(
+    distinct: DataFrame, distance: int = DISTANCE, by: list[str] | None = None, all_pairs: bool = True
+) -> DataFrame:
+    """Links ``(*by, a, b)`` that connect the distinct fingerprints ``fp`` of each ``by`` as
+    all pairs within the distance do: these pairs, or with ``all_pairs=False`` a spanning
+    forest of each signature."""
+    by = by or []
+    parts = distance // 2 + 1
+    join = _pairs if all_pairs else _forest
+    found: DataFrame | None = None
+    members = distinct.select(*by, "fp", F.col("fp").alias("free"), F.lit(64).alias("left"))
+    keys, widths, level = list(by), {64}, 0
+    while True:
+        indexed = None
+        for width in sorted(widths):
+            own = _indexed(members.where(F.col("left") == width), keys, level, width, parts)
+            indexed = own if indexed is None else indexed.unionByName(own)
         keys = [*keys, f"t{level}", f"r{level}"]
         hot = stored(
             indexed.groupBy(*keys).count().where(F.col("count") > BUCKET).select(*keys), "simhash-hot"
         )
         if hot.isEmpty():
-            found.append(_pairs(indexed, keys))
-            break
+            final = join(indexed, keys, by, distance)
+            return (final if found is None else found.unionByName(final)).distinct()
         marked = F.broadcast(hot) if is_small(hot) else hot
-        found.append(_pairs(indexed.join(marked, keys, "left_anti"), keys))
+        cool = join(indexed.join(marked, keys, "left_anti"), keys, by, distance)
+        found = cool if found is None else found.unionByName(cool)
         members = indexed.join(marked, keys, "left_semi")
-        if level == 2:
-            found.append(_forest(members, keys))
-        else:
-            members = stored(members, "simhash-members")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges.distinct() if spark else edges
+        widths = {width - own for width in widths for own in _widths(width, parts)}
+        if max(widths) <= FREE:
+            return found.unionByName(_forest(members, keys, by, distance)).distinct()
+        members = stored(members, "simhash-members")
+        level += 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,15 +293,128 @@ def near_duplicates(
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
-def keep_one_of_each(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5
+def _several_fingerprints(text: str, words: int) -> list[int]:
+    """``FINGERPRINTS`` independent fingerprints of a text over runs of ``words`` words."""
+    found = text.encode("utf-8", "replace").lower().split()
+    line = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    last = max(1, len(found) - words + 1)
+    starts = [0, *(ends[: last - 1] + 1).tolist()]
+    stops = ends[words - 1 :].tolist() if len(found) >= words else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return [_majority(mixed(hashes, k)) for k in range(FINGERPRINTS)]
+
+
+def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other 64-bit hashes from hashes, one family for each seed."""
+    out = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``words`` words; of the whole text when it has fewer."""
+    found = text.encode("utf-8", "replace").lower().split()
+    runs = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64)).view(np.int64)
+
+
+def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, component``: documents joined by links of any of their fingerprints."""
+    kinds = ", ".join(["id bigint", *(f"f{k} bigint" for k in range(FINGERPRINTS))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [_several_fingerprints(t, CANDIDATE_WORDS) for t in batch.column("text").to_pylist()]
+            table = np.array(rows, np.uint64).view(np.int64).reshape(-1, FINGERPRINTS)
+            columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(FINGERPRINTS)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *columns], ["id", *(f"f{k}" for k in range(FINGERPRINTS))]
+            )
+
+    texts = id_and_text(df, id_col, text_col).where("id is not null")
+    prints = stored(texts.mapInArrow(work, kinds), "near-prints")
+    tagged = [F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("fp")) for k in range(FINGERPRINTS)]
+    long = prints.select("id", F.inline(F.array(*tagged)))
+    distinct = stored(long.groupBy("k", "fp").agg(F.min("id").alias("least")), "near-distinct")
+    near = links(distinct, CANDIDATE_DISTANCE, ["k"], all_pairs=False)
+    end = lambda name: distinct.select(
+        "k", F.col("fp").alias(name), F.col("least").alias(f"{name}_id")
+    )
+    between = near.join(end("a"), ["k", "a"]).join(end("b"), ["k", "b"])
+    edges = between.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = long.join(distinct, ["k", "fp"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return components(edges.unionByName(same))
+
+
+def near_duplicates_of_kept(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``df`` with all its columns and, of each component, only the row with the smallest id.
+    """``id, keep_id`` of each document that a kept one stands for.
+
+    Both have a Jaccard similarity of at least ``similarity`` over their sets of
+    ``words``-word shingles.  Candidates are the components of documents of which
+    one of ``FINGERPRINTS`` fingerprints over ``CANDIDATE_WORDS`` words lies within
+    ``CANDIDATE_DISTANCE`` bits.  In every component the smallest id is kept and
+    compared with the others; those unlike it go on among themselves in the same
+    way, until none is left.
 
-    Rows that share this smallest id stay together when their texts link.
+    Blank texts are alike.  Documents without an id are left alone.  An empty table
+    gives no rows.
     """
-    found = near_duplicates(df, id_col, text_col, words)
-    dropped = stored(
-        found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct(), "simhash-dropped"
+    parts = stored(_candidates(df, id_col, text_col), "near-parts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "shingles"])
+
+    texts = id_and_text(df, id_col, text_col)
+    members = parts.select(F.col("node").alias("id"))
+    chosen = texts.join(F.broadcast(members) if is_small(members) else members, "id", "left_semi")
+    sets = chosen.mapInArrow(work, "id bigint, shingles array<bigint>")
+    open_ones = stored(
+        sets.join(parts.withColumnRenamed("node", "id"), "id").select("id", "component", "shingles"),
+        "near-open-0",
     )
+    found: list[DataFrame] = []
+    while not open_ones.isEmpty():
+        heads = open_ones.groupBy("component").agg(F.min("id").alias("keep_id"))
+        heads = heads.join(
+            open_ones.select(
+                "component", F.col("id").alias("keep_id"), F.col("shingles").alias("kept")
+            ).dropDuplicates(["component", "keep_id"]),
+            ["component", "keep_id"],
+        )
+        heads = stored(heads, "near-heads")
+        common = F.size(F.array_intersect("shingles", "kept"))
+        share = common / (F.size("shingles") + F.size("kept") - common)
+        judged = stored(
+            open_ones.join(heads, "component")
+            .where("id <> keep_id")
+            .select("id", "component", "shingles", "keep_id", (share >= similarity).alias("alike")),
+            "near-judged",
+        )
+        found.append(judged.where("alike").select("id", "keep_id"))
+        open_ones = judged.where("not alike").select("id", "component", "shingles")
+    if not found:
+        return open_ones.select("id", F.col("component").alias("keep_id"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def keep_one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``df`` with all its columns, less the rows of ``near_duplicates_of_kept``."""
+    found = near_duplicates_of_kept(df, id_col, text_col, words, similarity)
+    dropped = stored(found.select("id").distinct(), "near-dropped")
     return without(df, dropped, {"id": col(id_col).cast("bigint")})
