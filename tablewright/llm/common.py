@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -62,7 +63,8 @@ def without(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataF
     ``keys`` maps columns of ``dropped`` to expressions over ``df``.  Every
     column of ``df`` is kept, whatever its name.
     """
-    names = {name: f"__{name}_{i}" for i, name in enumerate(keys)}
+    mark = uuid.uuid4().hex
+    names = {name: f"{name}_{mark}" for name in keys}
     left = df.select("*", *[expr.alias(names[name]) for name, expr in keys.items()])
     right = dropped.select(*[F.col(name).alias(names[name] + "r") for name in keys]).distinct()
     right = F.broadcast(right) if is_small(right) else right

@@ -45,11 +45,11 @@ NUMBER_WORDS = frozenset(
 )
 UNIT_WORDS = frozenset(
     "% ° $ € £ ¥ percent mm cm m km inch inches foot feet ft yard yards mile miles mg g kg "
-    "gram grams kilogram kilograms ton tons lb lbs pound pounds oz ounce ounces ml l liter "
-    "liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours "
+    "gram grams kilogram kilograms ton tons lb lbs pound pounds oz ounce ounces ml liter "
+    "liters litre litres gallon gallons sec second seconds min minute minutes hour hours "
     "day days week weeks month months year years dollar dollars cent cents euro euros mph kmh "
     "km/h m/s degree degrees meter meters metre metres kilometer kilometers kilometre "
-    "kilometres w kw mw v a hz khz mhz ghz kb mb gb tb".split()
+    "kilometres kw mw hz khz mhz ghz kb mb gb tb".split()
 )
 
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’/][^\W\d_]+)*|[%°$€£¥]")
