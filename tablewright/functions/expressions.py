@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 
 def key_hash(keys: Sequence[Column], seed: int) -> Column:
-    """Hex digest that orders rows pseudo-randomly but repeatably: md5(seed:key[:key...])."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    """Hex digest that orders rows pseudo-randomly but repeatably.
+
+    Each key enters with its length and NULL with a mark of its own, so different
+    keys never give the same text.
+    """
+    parts = [F.lit(str(seed))]
+    for key in keys:
+        text = key.cast("string")
+        parts.append(
+            F.when(text.isNull(), ":n").otherwise(
+                F.concat(F.lit(":"), F.length(text).cast("string"), F.lit("="), text)
+            )
+        )
+    return F.md5(F.concat(*parts))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -65,23 +65,18 @@ def align(
     for frame in frames[1:]:
         merged = merged.unionByName(frame, allowMissingColumns=True)
     n = len(frames)
-    # the squares tell n sources once each from any other way to reach n rows
-    square = sum(i * i for i in range(n))
+    # as many rows as inputs, and every input among them
+    present = [F.count(F.when(F.col("_src") == i, 1)).alias(f"_c{i}") for i in range(n)]
     # keys are unique per input, so combining before the shuffle would only cost
-    together = merged.repartition(col(key)).groupBy(col(key)).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("_src").alias("_s"),
-        F.sum(F.col("_src") * F.col("_src")).alias("_q"),
-        F.max("_src").alias("_m"),
-        *[F.max(c).alias(c) for c in names],
+    together = (
+        merged.repartition(col(key))
+        .groupBy(col(key))
+        .agg(*present, *[F.max(c).alias(c) for c in names])
     )
-    complete = (
-        (F.col("_n") == n)
-        & (F.col("_s") == n * (n - 1) // 2)
-        & (F.col("_q") == square)
-        & (F.col("_m") == n - 1)
-    )
-    message = F.concat(F.lit("inputs do not match at key "), col(key).cast("string"))
+    complete = F.lit(True)
+    for i in range(n):
+        complete = complete & (F.col(f"_c{i}") == 1)
+    message = F.concat(F.lit("not once in every input: key "), col(key).cast("string"))
     checked = F.when(complete, col(key)).otherwise(F.raise_error(message))
     return together.withColumn(key, checked.cast(merged.schema[key].dataType)).select(
         col(key), *names
@@ -204,21 +199,27 @@ def _threshold_hits(rows: DataFrame, candidates, k: int) -> DataFrame:
     arrays, candidates across and rows down, and emit one row per candidate.
     """
     weights = np.array(candidates, dtype=float).reshape(-1, k)
+    missing = F.lit(False)
+    for i in range(k):
+        missing = missing | F.col(f"p{i}").isNull()
     plain = rows.select(
         *[F.col(f"p{i}").cast("double").alias(f"p{i}") for i in range(k)],
-        (F.col("label").cast("double") == 1).alias("positive"),
+        # 1 or 0; a NULL label is neither, so that no prediction hits it
+        F.coalesce((F.col("label").cast("double") == 1).cast("int"), F.lit(-1)).alias("positive"),
+        F.when(missing, 1).otherwise(0).alias("missing"),
         "_n",
-    ).where(" AND ".join(["positive IS NOT NULL", *[f"p{i} IS NOT NULL" for i in range(k)]]))
+    )
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(len(weights), dtype=np.int64)
         total = 0
         for batch in batches:
-            *values, positive, n = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            *values, positive, missing, n = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             mixed = np.multiply.outer(weights[:, 0], values[0])
             for i in range(1, k):
                 mixed = mixed + np.multiply.outer(weights[:, i], values[i])
-            hits += ((mixed > 0.5) == positive.astype(bool)) @ n
+            # a NULL prediction is a miss, as in the metrics
+            hits += ((mixed > 0.5) == positive) @ np.where(missing, 0, n)
             total += int(n.sum())
         yield pa.RecordBatch.from_arrays(
             [

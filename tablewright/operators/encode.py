@@ -119,19 +119,38 @@ class OneHot:
     categories: dict[str, list[Any]] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], max_categories: int = 1_000) -> OneHot:
+    def fit(
+        cls, df: DataFrame, columns: Sequence[str], max_categories: int | None = None
+    ) -> OneHot:
         """Distinct values per column, NULL included, in order of their column names.
 
-        Every category becomes a column, so more than ``max_categories`` is an
-        error; ``one_hot_vector`` has no such limit.
+        Every category becomes a column, whose name must be new; NULL is ``null``,
+        or ``<null>`` where the text ``null`` is a category too.  For very many
+        values use ``one_hot_vector``; ``max_categories`` makes more an error.
         """
         categories = {}
         for c in require_columns(df, columns):
-            values = df.select(col(c).alias("v")).distinct().limit(max_categories + 1).collect()
-            if len(values) > max_categories:
-                raise ValueError(f"Column {c} has more than {max_categories} categories")
-            categories[c] = sorted((r["v"] for r in values), key=_label)
-        return cls(categories)
+            values = df.select(col(c).alias("v")).distinct()
+            if max_categories is not None:
+                values = values.limit(max_categories + 1)
+            found = [r["v"] for r in values.collect()]  # each becomes a column of the plan
+            if max_categories is not None and len(found) > max_categories:
+                raise ValueError(f"{c} has over {max_categories} categories")
+            categories[c] = sorted(found, key=_label)
+        fitted = cls(categories)
+        names = [c for c in df.columns if c not in categories]
+        names += [name for c in categories for name in fitted.names(c)]
+        clashes = sorted({n for n in names if names.count(n) > 1})
+        if clashes:
+            raise ValueError(f"categories give the same column name: {clashes}")
+        return fitted
+
+    def names(self, column: str) -> list[str]:
+        """Names of the columns that stand for a column's categories."""
+        labels = [_label(v) for v in self.categories[column]]
+        if labels.count("null") > 1:
+            labels = ["<null>" if v is None else _label(v) for v in self.categories[column]]
+        return [f"{column}_{label}" for label in labels]
 
     def transform(self, df: DataFrame) -> DataFrame:
         require_columns(df, self.categories)
@@ -140,9 +159,9 @@ class OneHot:
             if name not in self.categories:
                 output.append(col(name))
                 continue
-            for value in self.categories[name]:
+            for value, label in zip(self.categories[name], self.names(name)):
                 hit = col(name).eqNullSafe(F.lit(value))
-                output.append(F.when(hit, 1).otherwise(0).alias(f"{name}_{_label(value)}"))
+                output.append(F.when(hit, 1).otherwise(0).alias(label))
         return df.select(*output)
 
 
@@ -163,7 +182,9 @@ def _label(value: Any) -> str:
     return str(value)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1_000) -> DataFrame:
+def one_hot(
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
+) -> DataFrame:
     return OneHot.fit(df, columns, max_categories).transform(df)
 
 

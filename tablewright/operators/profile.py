@@ -222,41 +222,26 @@ def feature_types(
     df: DataFrame,
     categorical_threshold: int = 20,
     types: Sequence[str] = NUMERIC_TYPES,
-    probe_rows: int = 2_000,
 ) -> DataFrame:
     """``(column, feature_type)``: binary, categorical or numerical.
 
-    A numeric column that already shows more than ``categorical_threshold``
-    values in a short look at the table is numerical whatever the rest holds, so
-    only the other columns, whose distinct values are few as far as known, are
-    counted exactly over the whole table.
+    Decided by the exact number of distinct values, NULL and NaN each counting
+    as one; columns that are not numeric are categorical.
     """
     if categorical_threshold <= 0:
-        raise ValueError(f"categorical_threshold must be > 0, got {categorical_threshold}")
-    numeric = [c for c in df.columns if dict(df.dtypes)[c] in types]
-    decided: dict[str, str] = {c: "categorical" for c in df.columns if c not in numeric}
-    if numeric:
-        seen = df.select(*[col(c).alias(f"v{i}") for i, c in enumerate(numeric)]).head(probe_rows)
-        enough = max(categorical_threshold, 2)
-        for i, c in enumerate(numeric):
-            if len({row[f"v{i}"] for row in seen}) > enough:
-                decided[c] = "numerical"
-    spark = df.sparkSession
-    schema = "column string, feature_type string"
-    settled = [(c, t) for c, t in decided.items()]
-    remaining = [c for c in numeric if c not in decided]
+        raise ValueError(f"categorical_threshold must be positive, not {categorical_threshold}")
+    kinds = dict(df.dtypes)
+    numeric = [c for c in df.columns if kinds[c] in types]
+    other = [(c, "categorical") for c in df.columns if c not in numeric]
     frames = []
-    if settled:
-        frames.append(spark.createDataFrame(settled, schema))
-    if remaining:
+    if other:
+        frames.append(df.sparkSession.createDataFrame(other, "column string, feature_type string"))
+    if numeric:
         unique = F.col("unique")
+        kind = F.when(unique == 2, "binary").when(unique <= categorical_threshold, "categorical")
         frames.append(
-            distinct_counts(df, remaining).select(
-                "column",
-                F.when(unique == 2, "binary")
-                .when(unique <= categorical_threshold, "categorical")
-                .otherwise("numerical")
-                .alias("feature_type"),
+            distinct_counts(df, numeric).select(
+                "column", kind.otherwise("numerical").alias("feature_type")
             )
         )
     return union_all(frames)

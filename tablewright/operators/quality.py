@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tablewright.functions.columns import as_rows, col, one_row
 from tablewright.operators.profile import missing_counts, require_rows
-from tablewright.session import materialise
-
-BROADCAST_HASHES = 1_000_000
+from tablewright.session import broadcast_if_small, materialise
 
 
 def quality_totals(df: DataFrame) -> DataFrame:
@@ -65,7 +64,18 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return column_facts(df).where("constant").select("column")
 
 
-def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def _comparable(df: DataFrame) -> DataFrame:
+    """``df`` with maps as sorted entries, which can be hashed and grouped."""
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, MapType)}
+    return df.select(
+        *[
+            F.array_sort(F.map_entries(col(c))).alias(c) if c in maps else col(c)
+            for c in df.columns
+        ]
+    )
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows beyond the first copy of each distinct row.
 
     Rows are first grouped by a 64-bit hash, so eight bytes per row are shuffled
@@ -73,15 +83,13 @@ def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> D
     alone are compared in full, which keeps the count exact under collisions.
     Copies collapse before each shuffle, so a row repeated very often is cheap.
     """
+    df = _comparable(df)
     keys = [col(c) for c in df.columns]
     hashed = df.withColumn("_hash", F.xxhash64(*keys))
     repeated = materialise(
         hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
     )
-    if repeated.count() <= broadcast_hashes:
-        suspects = hashed.join(F.broadcast(repeated), "_hash", "left_semi")
-    else:  # mostly copies: grouping shrinks them before the shuffle
-        suspects = hashed
+    suspects = hashed.join(broadcast_if_small(repeated), "_hash", "left_semi")
     copies = suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 

@@ -1,86 +1,23 @@
 """Distributed ranks and running totals over an ordered key.
 
-A window without partitions would sort every row in one task.  Here the key
-range is cut into buckets at split points taken from the data, bucket totals are
-accumulated (one row per bucket), and only then does a window run inside each
-bucket.  The bucket of a row depends on its key alone, so a repeated task puts
-it in the same place.
+A window without partitions would sort every row in one task.  Here rows are
+spread by ranges of the key, as many as the row count asks for, and the number of
+its range is stored with each row.  Range totals are accumulated (one row per
+range), and only then does a window run inside each range.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from typing import Any
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from tablewright.functions.columns import col
+from tablewright.session import broadcast_if_small, materialise
 
+#: Rows of a range, about; fewer rows in all are one range.
 SMALL_ROWS = 100_000
-MAX_BUCKETS = 4_096
-_POINT_CHARS = 256
-
-
-def split_points(df: DataFrame, key: str, buckets: int, per_bucket: int = 8) -> list[Any]:
-    """At most ``buckets - 1`` increasing key values that cut ``df`` evenly.
-
-    ``df`` has one row per key; the keys with the smallest hashes are an even
-    draw from them, found by a bounded top-k.  Where to cut is free, so long text
-    is cut at its first characters, which keeps the points small.
-    """
-    value = col(key)
-    shown = F.substring(value, 1, _POINT_CHARS) if dict(df.dtypes)[key] == "string" else value
-    drawn = (
-        df.select(value.alias("v"), shown.alias("k"))
-        .where(F.col("v").isNotNull())
-        .orderBy(F.xxhash64("v"), "k")
-        .select("k")
-        .limit(buckets * per_bucket)
-        .orderBy("k")
-        .collect()
-    )
-    step = max(1, len(drawn) // buckets)
-    points = [row["k"] for row in drawn[step::step]][: buckets - 1]
-    return list(dict.fromkeys(points))
-
-
-def with_bucket(df: DataFrame, key: str, points: Sequence[Any]) -> DataFrame:
-    """Add ``_bucket``, the number of split points at or below the key (0 for NULL)."""
-    if not isinstance(df.schema[key].dataType, NumericType):
-        return df.withColumn("_bucket", _text_bucket(col(key), points))
-    # as doubles, neighbouring large integers may meet, but never change places
-    edges = sorted({float(p) for p in points if math.isfinite(p)})
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *edges, math.inf] if edges else [-math.inf, 0.0, math.inf],
-        inputCol="_number",
-        outputCol="_bucket",
-        handleInvalid="keep",
-    )
-    placed = bucketizer.transform(df.withColumn("_number", col(key).cast("double")))
-    bucket = F.when(col(key).isNull(), 0).otherwise(F.col("_bucket").cast("int"))
-    return placed.withColumn("_bucket", bucket).drop("_number")
-
-
-def _text_bucket(value: Column, points: Sequence[Any]) -> Column:
-    """The bucket of a text value, found in two short searches."""
-    if not points:
-        return F.lit(0)
-
-    def passed(candidates: Column) -> Column:
-        return F.size(F.filter(candidates, lambda p: p <= value))
-
-    width = max(1, math.isqrt(len(points)))
-    blocks = [points[i : i + width] for i in range(0, len(points), width)]
-    literal = [F.array(*[F.lit(p) for p in block]) for block in blocks]
-    starts = F.array(*[F.lit(block[0]) for block in blocks])
-    block = passed(starts)
-    return F.when(block == 0, 0).otherwise(
-        (block - 1) * width + passed(F.get(F.array(*literal), block - 1))
-    )
 
 
 def running_before(
@@ -93,38 +30,34 @@ def running_before(
 ) -> DataFrame:
     """Add, per name in ``sums``, the total over all rows ordered strictly before.
 
-    ``df`` holds one row per key and is read several times, so callers pass a
-    materialised frame and its row count.  NULL keys come first when ascending.
+    ``df`` holds one row per key.  NULL keys come first when ascending.
     """
     order = F.desc_nulls_last(col(key)) if descending else F.asc_nulls_first(col(key))
     valued = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
-    if rows <= small:
+    ranges = math.ceil(rows / small)
+    if ranges <= 1:
         valued = valued.withColumn("_bucket", F.lit(0))
-        offsets = None
     else:
-        buckets = min(MAX_BUCKETS, max(2, math.ceil(rows / small) * 2))
-        points = split_points(df, key, buckets)
-        valued = with_bucket(valued, key, points)
+        spread = valued.repartitionByRange(ranges, F.asc_nulls_first(col(key)))
+        valued = materialise(spread.withColumn("_bucket", F.spark_partition_id()))
         side = F.desc("_bucket") if descending else F.asc("_bucket")
-        earlier = (
-            Window.partitionBy(F.lit(0)).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-        )
+        earlier = Window.orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
         totals = valued.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-        offsets = totals.select(
-            "_bucket",
-            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        offsets = materialise(  # one row per range
+            totals.select(
+                "_bucket",
+                *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+            )
         )
-        # one row per bucket, at most MAX_BUCKETS
-        valued = valued.join(F.broadcast(offsets), "_bucket")
+        valued = valued.join(broadcast_if_small(offsets), "_bucket")
     inside = (
         Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
     added = {}
     for n in sums:
         before = F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))
-        added[n] = before if offsets is None else before + F.col(f"_o_{n}")
-    ranked = valued.withColumns(added)
-    return ranked.select(*df.columns, *sums)
+        added[n] = before if ranges <= 1 else before + F.col(f"_o_{n}")
+    return valued.withColumns(added).select(*[col(c) for c in df.columns], *sums)
 
 
 def ordered_codes(values: DataFrame, key: str, rows: int, small: int = SMALL_ROWS) -> DataFrame:

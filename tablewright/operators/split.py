@@ -10,15 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns
 from tablewright.functions.expressions import key_hash
-from tablewright.session import materialise
+from tablewright.session import broadcast_if_small, materialise
 
 SMALL_ROWS = 100_000
-BROADCAST_LABELS = 100_000
 _DIGITS = 4
 _COPY_BLOCK = 1_000_000
 
@@ -42,14 +41,8 @@ def _cut_level(counted: DataFrame, part: str, need: str) -> DataFrame:
 
 
 def _settled(cuts: DataFrame) -> DataFrame:
-    """One row per group, kept apart from the plan that found it.
-
-    Few groups become a broadcast literal table, many a checkpointed one.
-    """
-    rows = cuts.limit(BROADCAST_LABELS + 1).collect()
-    if len(rows) > BROADCAST_LABELS:
-        return materialise(cuts)
-    return F.broadcast(cuts.sparkSession.createDataFrame(rows, cuts.schema))
+    """One row per group, kept apart from the plan that found it."""
+    return broadcast_if_small(materialise(cuts))
 
 
 def find_cuts(digests: DataFrame, test_size: float, small: int = SMALL_ROWS) -> DataFrame:
@@ -131,34 +124,39 @@ def train_test_split(
     test = placed.where(digest > cut).select(*columns)
     if tied:
         ties = placed.where((digest == cut) & ~whole)
-        extra_train, extra_test = _split_ties(ties, df.columns, small)
+        extra_train, extra_test = _split_ties(ties, df.columns)
         train, test = train.unionByName(extra_train), test.unionByName(extra_test)
     return train, test
 
 
-def _split_ties(
-    ties: DataFrame, names: Sequence[str], small: int
-) -> tuple[DataFrame, DataFrame]:
-    """Share out rows whose keys are equal at the cut.
+def _split_ties(ties: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Share out rows whose keys are equal at the cut, in the order of a digest of the row.
 
     Equal rows are interchangeable, so they are counted, not moved, and written
-    back as many times as each side needs.
+    back as many times as each side needs.  The rows of a group are ordered in two
+    steps, by the leading digits of the digest and inside these, so that many
+    ties are ranked in many tasks.
     """
     columns = [col(c) for c in names]
-    counted = materialise(
-        ties.groupBy("_group", "_take", *columns).agg(F.count(F.lit(1)).alias("_copies"))
+    counted = ties.groupBy("_group", "_take", *columns).agg(F.count(F.lit(1)).alias("_copies"))
+    digest = key_hash([F.to_json(F.struct(c)) if nested else c for c, nested in _typed(ties, names)], 0)
+    counted = counted.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 3))
+    counted = materialise(counted)
+    ahead = Window.unboundedPreceding, -1
+    parts = counted.groupBy("_group", "_part").agg(F.sum("_copies").alias("_sum"))
+    over_parts = Window.partitionBy("_group").orderBy("_part").rowsBetween(*ahead)
+    parts = parts.select(
+        "_group", "_part", F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)).alias("_start")
     )
-    if counted.count() > small:
-        raise ValueError("key_cols do not identify rows: too many different rows share a key")
-    order = F.to_json(F.struct(*columns))
-    before = (
-        Window.partitionBy("_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_group", "_part").orderBy("_digest").rowsBetween(*ahead)
+    before = F.col("_start") + F.coalesce(F.sum("_copies").over(inside), F.lit(0))
+    room = F.greatest(F.col("_take") - before, F.lit(0))
+    placed = counted.join(parts, ["_group", "_part"]).withColumn(
+        "_share", F.least(room, F.col("_copies"))
     )
-    placed = counted.withColumn("_before", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
-    room = F.greatest(F.col("_take") - F.col("_before"), F.lit(0))
-    share = F.least(room, F.col("_copies"))
+    placed = materialise(placed)  # both sides below read one and the same sharing
 
-    def written(amount) -> DataFrame:
+    def written(amount: Column) -> DataFrame:
         blocks = F.ceil(F.col("_amount") / _COPY_BLOCK).cast("bigint")
         spread = (
             placed.withColumn("_amount", amount)
@@ -169,9 +167,15 @@ def _split_ties(
             F.col("_amount") - (F.col("_block") - 1) * _COPY_BLOCK, F.lit(_COPY_BLOCK)
         )
         return (
-            spread.repartition("_block")
+            spread.repartition("_digest", "_block")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
             .select(*columns)
         )
 
-    return written(share), written(F.col("_copies") - share)
+    return written(F.col("_share")), written(F.col("_copies") - F.col("_share"))
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> list[tuple[Column, bool]]:
+    """Each column, and whether it is nested (its text is then its JSON)."""
+    kinds = dict(df.dtypes)
+    return [(col(c), kinds[c].startswith(("array", "map", "struct"))) for c in names]

@@ -221,7 +221,24 @@ def blend(spark, folder):
     return rounded(blending.blend(parts, [5, 3, 2], "id"), 4)
 
 
-_TRIALS = 30
+@query(
+    "SELECT o_orderkey AS id, round(o_totalprice + 3.0::DOUBLE * o_custkey, 4) "
+    "AS prediction FROM orders"
+)
+def blend_seven(spark, folder):
+    # seven inputs: price + 0 .. 6 times the customer, equal weights
+    orders = table(spark, folder, "orders")
+    parts = [
+        orders.select(
+            F.col("o_orderkey").alias("id"),
+            (F.col("o_totalprice") + i * F.col("o_custkey")).alias("prediction"),
+        )
+        for i in range(7)
+    ]
+    return rounded(blending.blend(parts, [1.0] * 7, "id"), 4)
+
+
+_TRIALS = 100
 
 
 def _candidates(k: int) -> str:
@@ -422,7 +439,7 @@ def run_catalog(spark, folder):
     )
 
 
-_FOLD = "('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT % 5"
+_FOLD = "('0x' || substr(md5('42:' || length(o_orderkey::VARCHAR) || '=' || o_orderkey), 1, 8))::BIGINT % 5"
 
 
 @query(f"SELECT o_orderkey, ({_FOLD})::INTEGER AS fold FROM orders")

@@ -13,6 +13,7 @@ from tablewright.plans.profile_queries import (
     _low,
     skewed,
 )
+from tablewright.operators.ranking import running_before
 from tablewright.plans.registry import query, rounded, table
 from tablewright.session import scratch_path
 from tablewright.sources import tables
@@ -93,6 +94,18 @@ def label_mapping(spark, folder):
     return fitted.mapping
 
 
+@query(
+    """SELECT 'long' AS "column", v AS value, (row_number() OVER (ORDER BY v) - 1)::BIGINT AS code
+    FROM (SELECT DISTINCT repeat('path/', 60) || o_custkey AS v FROM orders)"""
+)
+def label_mapping_long_text(spark, folder):
+    # keys alike in their first 300 characters, ranked in many ranges
+    orders = table(spark, folder, "orders").select(
+        F.concat(F.lit("path/" * 60), F.col("o_custkey").cast("string")).alias("long")
+    )
+    return encode.LabelEncoding.fit(orders, ["long"], small=100).mapping
+
+
 @query(f"WITH {_SEGMENTS} SELECT c_custkey, c_acctbal, segment FROM segments")
 def label_decode(spark, folder):
     df = segments(spark, folder)
@@ -253,7 +266,7 @@ def scale_robust(spark, folder):
 # ---- splits ----------------------------------------------------------------
 
 _RANKED = """ranked AS (SELECT o_orderkey, o_totalprice, o_orderpriority,
-  row_number() OVER (ORDER BY md5('42:' || o_orderkey)) AS rn, count(*) OVER () AS n FROM orders)"""
+  row_number() OVER (ORDER BY md5('42:' || length(o_orderkey::VARCHAR) || '=' || o_orderkey)) AS rn, count(*) OVER () AS n FROM orders)"""
 _CUT = "n - floor(n * 0.2::DOUBLE)"
 
 
@@ -279,7 +292,7 @@ def train_test_split(spark, folder):
 @query(
     """SELECT o_orderkey, o_totalprice, o_orderpriority,
     CASE WHEN rn <= n - floor(n * 0.3::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM (
-      SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderkey))
+      SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || length(o_orderkey::VARCHAR) || '=' || o_orderkey))
         AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"""
 )
 def train_test_split_stratified(spark, folder):
@@ -304,9 +317,30 @@ def train_test_split_copies(spark, folder):
     )
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+@query(
+    """SELECT o_custkey, count(*) - floor(count(*) * 0.3::DOUBLE)::BIGINT AS train,
+      floor(count(*) * 0.3::DOUBLE)::BIGINT AS test FROM orders GROUP BY 1"""
+)
+def train_test_split_many_classes(spark, folder):
+    # very many classes, and whole rows as keys with copies among them
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderstatus")
+    parts = _tagged(split.train_test_split(orders, 0.3, stratify="o_custkey"))
+    return parts.groupBy("o_custkey").agg(
+        F.count(F.when(F.col("part") == "train", 1)).alias("train"),
+        F.count(F.when(F.col("part") == "test", 1)).alias("test"),
+    )
+
+
+@query(
+    "SELECT o_orderkey, o_totalprice, o_orderpriority, (rn - 1)::BIGINT AS position "
+    f"FROM (WITH {_RANKED} SELECT * FROM ranked)"
+)
 def shuffle(spark, folder):
-    return split.shuffle(_orders(spark, folder), ["o_orderkey"])
+    mixed = split.shuffle(_orders(spark, folder), ["o_orderkey"])
+    path = scratch_path(spark, "shuffled")
+    mixed.select("*", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    back = spark.read.parquet(path)  # the order of the written rows, as positions
+    return running_before(back, "at", {"position": F.lit(1).cast("bigint")}, back.count()).drop("at")
 
 
 @query(f"WITH {_RANKED} SELECT o_orderkey, o_totalprice FROM ranked WHERE rn > {_CUT}")

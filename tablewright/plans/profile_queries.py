@@ -62,6 +62,39 @@ def csv_round_trip(spark, folder):
     return back.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
+_TEXTS = """SELECT doc_id AS id, 0 AS turn, CASE WHEN doc_id % 10 = 0 THEN NULL
+    WHEN doc_id % 10 = 1 THEN '' WHEN doc_id % 10 = 2 THEN '  ' || text || ' '
+    ELSE '1,"say ""hi"", ok"' || chr(10) || text END AS text FROM documents
+  UNION ALL SELECT conv_id, turn, text FROM conversations"""
+
+
+@query(_TEXTS)
+def csv_text_round_trip(spark, folder):
+    """Line breaks, quotes, commas, padding, empty text and NULL through both readers."""
+    key, text = F.col("doc_id"), F.col("text")
+    docs = table(spark, folder, "documents").select(
+        key.alias("id"),
+        F.lit(0).alias("turn"),
+        F.when(key % 10 == 0, None)
+        .when(key % 10 == 1, "")
+        .when(key % 10 == 2, F.concat(F.lit("  "), text, F.lit(" ")))
+        .otherwise(F.concat(F.lit('1,"say ""hi"", ok"\n'), text))
+        .alias("text"),
+    )
+    paths = []
+    talk = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("turn"), "text"
+    )
+    for frame in (docs, talk):
+        paths.append(scratch_path(spark, "text_csv"))
+        tables.write_table(frame, paths[-1], "csv")
+    given = tables.read_table(spark, paths[0], "csv", docs.schema)
+    bounded = tables.read_csv(spark, paths[1])
+    return given.unionByName(
+        bounded.select(F.col("id").cast("bigint").alias("id"), F.col("turn").cast("int").alias("turn"), "text")
+    )
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def csv_bounded_inference(spark, folder):
     path = scratch_path(spark, "part_csv")
@@ -81,11 +114,6 @@ def preview(spark, folder):
     return tables.preview(customers, 5, order_by=["c_acctbal", "c_custkey"])
 
 
-@query()
-def list_files(spark, folder):
-    return files.list_files(spark, folder, "*.parquet")
-
-
 # ---- profile ---------------------------------------------------------------
 
 
@@ -99,11 +127,6 @@ def table_info(spark, folder):
     return rounded(profile.table_info(items(spark, folder)))
 
 
-@query()
-def column_types(spark, folder):
-    return profile.column_types(table(spark, folder, "lineitem"))
-
-
 @query()
 def table_metadata(spark, folder):
     return profile.table_metadata(items(spark, folder))
@@ -205,6 +228,43 @@ def correlations_many_columns(spark, folder):
     return rounded(correlation.correlations(items(spark, folder)))
 
 
+# one pair whose second column is known only in one of two distant clusters
+_CLUSTERED = """items AS (
+  SELECT CASE WHEN l_linenumber = 1 THEN -1e9::DOUBLE ELSE 1e9::DOUBLE END + l_quantity AS far,
+         CASE WHEN l_linenumber = 1 THEN NULL ELSE l_extendedprice END AS price,
+         l_discount AS a, l_tax AS b, l_partkey AS c, l_suppkey AS d, l_linenumber AS e
+  FROM lineitem)"""
+
+
+def _clustered_sql() -> str:
+    near = "far - 1e9::DOUBLE"
+    value = f"round(corr({near}, price) FILTER (WHERE price IS NOT NULL), 6)"
+    return f"WITH {_CLUSTERED} " + _union(
+        f"SELECT {n} AS columns, {value} AS corr FROM items" for n in (4, 7)
+    )
+
+
+@query(_clustered_sql())
+def correlations_clustered(spark, folder):
+    """The same pair among four and among seven columns."""
+    line = F.col("l_linenumber")
+    values = table(spark, folder, "lineitem").select(
+        (F.when(line == 1, -1e9).otherwise(1e9) + F.col("l_quantity")).alias("far"),
+        F.when(line != 1, F.col("l_extendedprice")).alias("price"),
+        F.col("l_discount").alias("a"),
+        F.col("l_tax").alias("b"),
+        F.col("l_partkey").alias("c"),
+        F.col("l_suppkey").alias("d"),
+        line.alias("e"),
+    )
+    parts = []
+    for n in (4, 7):
+        found = correlation.correlations(values, values.columns[:n])
+        pair = found.where("col1 = 'far' and col2 = 'price'")
+        parts.append(pair.select(F.lit(n).alias("columns"), "corr"))
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 _SKEWED = """skewed AS (
   SELECT l_extendedprice * l_quantity AS volume, l_tax * l_discount AS levy,
          CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS qty FROM lineitem)"""
@@ -274,6 +334,24 @@ def feature_types(spark, folder):
     return profile.feature_types(items(spark, folder))
 
 
+@query(
+    """WITH v AS (SELECT CASE WHEN value < 50 THEN 'NaN'::DOUBLE ELSE 1.0::DOUBLE END AS two,
+      CASE WHEN value < 50 THEN 'NaN'::DOUBLE ELSE value END AS many FROM events)
+    SELECT "column", CASE WHEN u = 2 THEN 'binary' WHEN u <= 20 THEN 'categorical'
+    ELSE 'numerical' END AS feature_type FROM (
+    SELECT 'two' AS "column", count(DISTINCT two) AS u FROM v UNION ALL
+    SELECT 'many', count(DISTINCT many) FROM v)"""
+)
+def feature_types_nan(spark, folder):
+    value, nan = F.col("value"), F.lit(float("nan"))
+    return profile.feature_types(
+        table(spark, folder, "events").select(
+            F.when(value < 50, nan).otherwise(1.0).alias("two"),
+            F.when(value < 50, nan).otherwise(value).alias("many"),
+        )
+    )
+
+
 @query(
     """SELECT "column", CASE WHEN u = 2 THEN 'binary' WHEN u <= 20 THEN 'categorical'
     ELSE 'numerical' END AS feature_type FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,17 +25,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="tablewright-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path for a scratch table in the session's shared folder.
+
+    The whole folder is removed when the driver's JVM ends in an orderly way.
+    """
+    root = checkpoint_dir(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    The files outlive a lost executor; later reads prune columns.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -42,11 +60,14 @@ _ROW_OVERHEAD = 64
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """Estimated size of a row: text at its length, everything else at eight bytes."""
+    """Estimated size of a row: text at its length, nested values at that of their JSON
+    text, everything else at eight bytes."""
     size = F.lit(_ROW_OVERHEAD + 8 * len(df.columns)).cast("bigint")
     for name, dtype in df.dtypes:
         if dtype in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(col(name)), F.lit(0))
+        elif dtype.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col(name)))), F.lit(0))
     return size
 
 
@@ -57,8 +78,3 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     """
     measured = df.agg(F.sum(row_bytes(df))).first()[0] or 0
     return F.broadcast(df) if measured <= max_bytes else df
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for a scratch table in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

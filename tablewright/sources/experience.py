@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.session import materialise
 from tablewright.functions.columns import require_columns
 from tablewright.functions.expressions import mean_of_map, norm
 
@@ -88,7 +89,8 @@ def similar(
 ) -> DataFrame:
     """The ``k`` entries closest to ``query`` by cosine, with their ``similarity``.
 
-    One scan with a bounded top-k; ties go to the smaller key.
+    One scan with a bounded top-k; ties go to the smaller key.  Entries whose
+    vector has another length, holds a NULL or is zero have no cosine and are no hits.
     """
     if k <= 0:
         raise ValueError(f"k must be > 0, got {k}")
@@ -101,7 +103,8 @@ def similar(
     products = F.zip_with(F.col(vector), target, lambda x, y: x.cast("double") * y)
     product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
     cosine = F.try_divide(product, norm(F.col(vector)) * F.lit(length))
-    scored = entries.withColumn("similarity", cosine)
+    fits = F.size(F.col(vector)) == len(query)
+    scored = entries.where(fits).withColumn("similarity", cosine).where("similarity is not null")
     return scored.orderBy(F.desc_nulls_last("similarity"), F.asc(key)).limit(k)
 
 
@@ -146,7 +149,7 @@ class ExperienceStore:
         self, query: Sequence[float], task_type: str, k: int = 5
     ) -> tuple[DataFrame, DataFrame]:
         """The two views of the ``k`` most similar entries of one task type."""
-        hits = similar(self.entries(), query, k, F.col("task_type") == task_type)
+        hits = materialise(similar(self.entries(), query, k, F.col("task_type") == task_type))
         parsed = parse_evaluations(hits)
         return actor_view(parsed), critic_view(parsed)
 

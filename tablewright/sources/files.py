@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ def catalog_run(
 ) -> DataFrame:
     """``(run_id, kind, path, bytes, text)``: final predictions, models, predictions, report.
 
-    Models are everything under ``model_*`` folders or files of ``directory``,
-    predictions everything under ``predictions_*``.
+    Models are the ``model_*`` files and folders at the top of ``directory``,
+    predictions the ``predictions_*`` ones.
     """
 
     def listed(kind: str, path: str) -> DataFrame:
@@ -54,9 +56,13 @@ def catalog_run(
         )
 
     frames = [listed("final_predictions", final_predictions)]
+    root = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = files.makeQualified(root).toUri().getPath().rstrip("/")
+    below = F.element_at(F.split("path", re.escape(base) + "/", 2), -1)
     inside = list_files(spark, directory, "*", recursive=True)
     for kind, prefix in (("model", "model_"), ("predictions", "predictions_")):
-        part = inside.where(F.col("path").rlike(f"/{prefix}[^/]*"))
+        part = inside.where(below.startswith(prefix))
         frames.append(
             part.select(
                 F.lit(kind).alias("kind"),

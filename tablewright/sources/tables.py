@@ -11,9 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tablewright.functions.columns import col, require_columns
+from tablewright.session import scratch_path
 
 FORMATS = ("csv", "parquet", "json", "orc")
 
+#: Text comes back as it was written: quotes are doubled inside quoted fields, which
+#: may hold line breaks; white space stays; empty text is quoted and NULL is nothing.
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "nullValue": "",
+    "emptyValue": '""',
+}
+#: The reader puts the mark where a field is empty without quotes, and takes it for NULL.
+_CSV_READ = {**_CSV, "multiLine": True, "emptyValue": "", "nullValue": "\u0001null\u0001"}
+
 
 def _format_of(path: str, fmt: str | None) -> str:
     if fmt:
@@ -33,22 +48,25 @@ def read_table(
     """Read a table; the format follows the file name unless given.
 
     CSV has a header and inferred types, which costs one extra pass over the
-    text: give a schema, or keep parquet as the working format.
+    text: give a schema, or keep parquet as the working format.  A value that does
+    not fit the given schema is an error.
     """
     path = os.path.expanduser(path)
     fmt = _format_of(path, fmt)
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**_CSV_READ)
         if schema is None:
             reader = reader.option("inferSchema", True)
+        else:
+            reader = reader.option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     try:
         return reader.load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"Dataset file not found: {path}") from error
+            raise FileNotFoundError(f"No table at {path}") from error
         raise
 
 
@@ -59,24 +77,25 @@ def read_csv(spark: SparkSession, path: str, infer_rows: int = 1_000) -> DataFra
     an error, not a silent NULL.
     """
     if infer_rows <= 0:
-        raise ValueError(f"infer_rows must be > 0, got {infer_rows}")
+        raise ValueError(f"infer_rows must be positive, not {infer_rows}")
     path = os.path.expanduser(path)
     try:
-        head = spark.read.text(path).head(infer_rows + 1)  # stops after the first files
+        records = spark.read.options(**_CSV_READ).csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"Dataset file not found: {path}") from error
+            raise FileNotFoundError(f"No table at {path}") from error
         raise
-    lines = spark.sparkContext.parallelize([row["value"] for row in head], 1)
-    options = {"header": True, "mode": "FAILFAST"}
-    inferred = spark.read.options(**options).option("inferSchema", True).csv(lines).schema
-    return spark.read.options(**options).schema(inferred).csv(path)
+    head = records.limit(infer_rows)  # whole records, quoted line breaks included
+    sample = scratch_path(spark, "csv-head")
+    head.coalesce(1).write.options(**_CSV).csv(sample)
+    inferred = spark.read.options(**_CSV_READ).option("inferSchema", True).csv(sample).schema
+    return spark.read.options(**_CSV_READ).option("mode", "FAILFAST").schema(inferred).csv(path)
 
 
 def preview(df: DataFrame, n_rows: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """First ``n_rows`` rows; with ``order_by`` the choice is repeatable."""
     if n_rows <= 0:
-        raise ValueError(f"n_rows must be > 0, got {n_rows}")
+        raise ValueError(f"n_rows must be positive, not {n_rows}")
     if order_by:
         df = df.orderBy(*[col(c) for c in require_columns(df, order_by)])
     return df.limit(n_rows)
@@ -101,7 +120,7 @@ def write_table(
     fmt = _format_of(path, fmt)
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**_CSV)
     if partition_by:
         writer = writer.partitionBy(*require_columns(df, partition_by))
     writer.save(path)

@@ -192,3 +192,25 @@ def test_loop_stops_when_good_enough(spark, points):
     )
     assert not never.accepted and never.final_iteration == 2
     assert [r["iteration"] for r in never.log.collect()] == [1, 2]
+
+
+def test_seven_inputs_must_each_hold_the_key(spark):
+    def table(i, keys):
+        return spark.createDataFrame([(k, float(i)) for k in keys], "id int, prediction double")
+
+    # counts, sums, squares and maximum of the inputs of key 1 are those of a whole set
+    held = [[2], [1, 1, 2], [1, 1, 2], [1, 2], [2], [2], [1, 1, 2]]
+    with pytest.raises(Exception, match="not once in every input"):
+        blend.align([table(i, keys) for i, keys in enumerate(held)], "id").collect()
+    whole = blend.align([table(i, [1, 2]) for i in range(7)], "id").collect()
+    assert sorted(r["id"] for r in whole) == [1, 2] and all(r["p6"] == 6.0 for r in whole)
+
+
+def test_missing_predictions_are_misses_in_objective_and_metric(spark):
+    rows = [(1, 0.9, 1), (2, 0.1, 0), (3, None, 1), (4, None, 0)]
+    df = spark.createDataFrame(rows, "id int, prediction double, label int")
+    found = blend.search_blend(
+        [df.select("id", "prediction")], df.select("id", "label"), "label", "classification", "id", 3
+    )
+    assert min(r["objective"] for r in found.trials.collect()) == -0.5
+    assert found.metrics.first()["accuracy"] == 0.5

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tablewright.functions.expressions import key_hash
 from tablewright.operators import encode, features, impute, outliers, scale, split
 
 
@@ -13,7 +15,7 @@ def test_one_hot_in_place(spark):
         (1, 0, 0, 3),
         (0, 0, 1, 4),
     ]
-    with pytest.raises(ValueError, match="more than 2"):
+    with pytest.raises(ValueError, match="over 2"):
         encode.one_hot(df, ["cat"], max_categories=2)
     with pytest.raises(ValueError, match="Column missing not found"):
         encode.one_hot(df, ["missing"])
@@ -172,3 +174,28 @@ def test_features(spark):
     assert sorted(r["c"] for r in fitted.transform(new).collect()) == [2.0, 3.0]
     powers = features.polynomial(df.withColumn("z", df.y + 1), ["y", "z"], 2, True)
     assert powers.columns == ["c", "y", "z", "y*z"]
+
+
+def test_one_hot_names_do_not_clash(spark):
+    df = spark.createDataFrame([("null",), (None,), ("x",)], "s string")
+    assert sorted(encode.one_hot(df, ["s"]).columns) == ["s_<null>", "s_null", "s_x"]
+    df = spark.createDataFrame([("b_c", "c")], "a string, a_b string")
+    with pytest.raises(ValueError, match="same column name"):
+        encode.one_hot(df, ["a", "a_b"])
+
+
+def test_ties_at_the_cut_have_no_limit(spark):
+    rows = [(c, "same") for c in range(20) for _ in range(3)]
+    df = spark.createDataFrame(rows, "c int, t string")
+    train, test = split.train_test_split(df, 0.34, stratify="c", small=10)
+    assert (train.count(), test.count()) == (40, 20)
+    different = spark.createDataFrame([(1, i) for i in range(500)], "k int, v int")
+    train, test = split.train_test_split(different, 0.25, ["k"], small=10)
+    kept = sorted([r["v"] for r in train.collect()] + [r["v"] for r in test.collect()])
+    assert kept == list(range(500)) and test.count() == 125
+
+
+def test_digest_tells_keys_apart(spark):
+    rows = [(None, "x"), ("x", None), ("a:b", "c"), ("a", "b:c"), ("", None), (None, "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(key_hash([F.col("a"), F.col("b")], 1).alias("h")).distinct().count() == 6

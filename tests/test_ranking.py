@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators.ranking import running_before, split_points
+from tablewright.operators.ranking import ordered_codes, running_before
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -31,6 +31,8 @@ def test_running_totals_over_buckets(spark, kind, descending):
     assert {str(r["k"]): r["above"] for r in found.collect()} == expected
 
 
-def test_points_of_long_text_stay_short(spark):
-    df = spark.createDataFrame([("x" * 200 + str(i) * 400,) for i in range(10, 60)], "k string")
-    assert all(len(p) <= 256 for p in split_points(df, "k", 5))
+def test_keys_with_a_long_common_prefix(spark):
+    keys = ["x" * 300 + f"{i:04}" for i in range(2_000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
+    codes = ordered_codes(df, "k", len(keys), small=100)
+    assert [r["code"] for r in codes.orderBy("k").collect()] == list(range(len(keys)))

@@ -7,18 +7,57 @@ from tablewright.sources import experience, files, predictions, tables
 
 
 def test_list_files(spark, tmp_path):
-    (tmp_path / "file1.csv").write_text("a,b,c\n1,2,3\n")
-    (tmp_path / "file2.csv").write_text("x,y,z\n")
-    (tmp_path / "readme.txt").write_text("text")
-    (tmp_path / "inner").mkdir()
-    (tmp_path / "inner" / "file3.csv").write_text("q\n")
+    (tmp_path / "apples.csv").write_text("kind,weight\nred,12\n")
+    (tmp_path / "pears.csv").write_text("kind\n")
+    (tmp_path / "notes.md").write_text("nothing")
+    (tmp_path / "older").mkdir()
+    (tmp_path / "older" / "plums.csv").write_text("k\n")
     found = files.list_files(spark, str(tmp_path)).orderBy("name").collect()
-    assert [r["name"] for r in found] == ["file1.csv", "file2.csv"]
-    assert found[0]["size_bytes"] == 12 and found[0]["extension"] == ".csv"
+    assert [r["name"] for r in found] == ["apples.csv", "pears.csv"]
+    assert found[0]["size_bytes"] == 19 and found[0]["extension"] == ".csv"
     assert found[0]["parent"].endswith(str(tmp_path))
     assert files.list_files(spark, str(tmp_path), recursive=True).count() == 3
 
 
+def test_catalogue_of_a_run_below_a_misleading_folder(spark, tmp_path):
+    run = tmp_path / "model_x" / "run"
+    for name in ("model_1/part", "predictions_1/part", "notes.txt", "sub/model_2"):
+        (run / name).parent.mkdir(parents=True, exist_ok=True)
+        (run / name).write_text("x")
+    rows = files.catalog_run(spark, "r", str(run), str(run / "predictions_1"), "done").collect()
+    kinds = sorted((r["kind"], r["path"].rsplit("/run/", 1)[-1]) for r in rows)
+    assert kinds == [
+        ("final_predictions", "predictions_1/part"),
+        ("model", "model_1/part"),
+        ("predictions", "predictions_1/part"),
+        ("report", ""),
+    ]
+
+
+def test_csv_keeps_text(spark, tmp_path):
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, ""), (4, None), (5, " pad "), (6, "a\\b\"\",\r\nc")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    path = tables.write_table(df, str(tmp_path / "t.csv"))
+    for back in (
+        tables.read_table(spark, path),
+        tables.read_table(spark, path, schema=df.schema),
+        tables.read_csv(spark, path),
+    ):
+        assert sorted(map(tuple, back.collect())) == rows and dict(back.dtypes)["id"] == "int"
+    bad = tmp_path / "bad.csv"
+    bad.write_text("v\n1\n2,x\nword\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.read_table(spark, str(bad), schema="v int").collect()
+
+
+def test_hits_have_a_similarity(spark):
+    df = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), ("e", [1.0, 1.0])],
+        "entry_id string, embedding array<float>",
+    )
+    assert [r["entry_id"] for r in experience.similar(df, [1.0, 0.0]).collect()] == ["a", "e"]
+
+
 def test_read_and_write(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b")], "i int, x double, c string")
     path = tables.write_table(df, str(tmp_path / "t.csv"))
@@ -50,7 +89,7 @@ def test_preview(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 6)], "x bigint")
     assert [r["x"] for r in tables.preview(df, 3, ["x"]).collect()] == [1, 2, 3]
     assert tables.preview(df, 50).count() == 5
-    with pytest.raises(ValueError, match="must be > 0"):
+    with pytest.raises(ValueError, match="positive"):
         tables.preview(df, 0)
 
 
