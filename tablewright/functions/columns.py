@@ -22,7 +22,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     present = set(df.columns)
     for name in names:
         if name not in present:
-            raise ValueError(f"Column {name} not found")
+            raise ValueError(f"there is no column {name}")
     return names
 
 
@@ -40,7 +40,7 @@ def require_numeric(df: DataFrame, names: Sequence[str] | None = None) -> list[s
         return require_columns(df, names)
     found = numeric_columns(df)
     if not found:
-        raise ValueError("No numerical columns found")
+        raise ValueError("the table has no numeric column")
     return found
 
 

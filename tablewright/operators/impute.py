@@ -63,7 +63,7 @@ def fit_fill(
 ) -> FillPlan:
     """Find the fill values.  Mean, median and zero concern numeric columns, mode all."""
     if strategy not in STRATEGIES:
-        raise ValueError(f"Unknown strategy: {strategy}")
+        raise ValueError(f"no such filling strategy: {strategy}")
     if strategy == "drop":
         return FillPlan("drop")
     if columns is not None:

@@ -42,7 +42,7 @@ _DISTRIBUTION = (
 
 def require_rows(df: DataFrame) -> None:
     if df.isEmpty():
-        raise ValueError("Dataset is empty")
+        raise ValueError("the table has no rows")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -152,7 +152,7 @@ def numeric_distributions(
         ]
     row = df.agg(*aggregates).first()
     if row["n"] == 0:
-        raise ValueError("Dataset is empty")
+        raise ValueError("the table has no rows")
     counts = {c: row[f"count{i}"] for i, c in enumerate(columns)}
     middle = medians(df, columns, small, counts)
     stats = [

@@ -65,7 +65,7 @@ def chosen_tasks(results: DataFrame, tasks: Sequence[str] | None) -> DataFrame:
         return results
     chosen = results.where(F.col("task_name").isin(list(tasks)))
     if chosen.isEmpty():
-        raise ValueError(f"No tasks found matching: {list(tasks)}")
+        raise ValueError(f"none of these tasks has a result: {list(tasks)}")
     return chosen
 
 

@@ -34,7 +34,7 @@ def fit_scale(
     df: DataFrame, columns: Sequence[str], method: str = "standard", small: int = SMALL_ROWS
 ) -> ScalePlan:
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"no such scaling method: {method}")
     columns = require_columns(df, columns)
     pairs: dict[str, tuple] = {}
     if method == "robust":

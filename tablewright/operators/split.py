@@ -98,12 +98,12 @@ def train_test_split(
     sizes hold within every value of that column.
     """
     if not 0 < test_size < 1:
-        raise ValueError(f"test_size must be between 0 and 1, got {test_size}")
+        raise ValueError(f"test_size is a share above 0 and below 1, not {test_size}")
     keys = require_columns(df, key_cols or df.columns)
     if stratify is not None:
         require_columns(df, [stratify])
     if df.isEmpty():
-        raise ValueError("Dataset is empty")
+        raise ValueError("the table has no rows")
     columns = [col(c) for c in df.columns]
     group = F.lit("")
     if stratify is not None:  # NULL is a group of its own

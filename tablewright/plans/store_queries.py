@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import rollup
 from tablewright.plans.registry import query, rounded, table
-from tablewright.session import scratch_path
+from tablewright.session import materialise, scratch_path
 from tablewright.sources import experience
 
 # ---- experience store ------------------------------------------------------
@@ -110,7 +110,7 @@ def experience_store(spark, folder):
     return rounded(store.retrieve(_probe(spark, folder), "classification", 5)[1])
 
 
-@query("SELECT count(*) * 0 AS n FROM embeddings")
+@query("SELECT 'before' AS moment, count(*) AS n FROM embeddings UNION ALL SELECT 'after', 0")
 def experience_clear(spark, folder):
     store = experience.ExperienceStore(spark, scratch_path(spark, "experience"))
     vectors = table(spark, folder, "embeddings")
@@ -125,8 +125,10 @@ def experience_clear(spark, folder):
             F.lit("none").alias("feedback"),
         )
     )
+    counted = F.count(F.lit(1)).alias("n")
+    before = materialise(store.entries().agg(F.lit("before").alias("moment"), counted))
     store.clear()
-    return store.entries().agg(F.count(F.lit(1)).alias("n"))
+    return before.unionByName(store.entries().agg(F.lit("after").alias("moment"), counted))
 
 
 @query(

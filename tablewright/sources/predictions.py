@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,14 @@ from tablewright.functions.columns import require_columns
 
 
 def new_run_id() -> str:
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    return f"{stamp}_{uuid.uuid4().hex[:8]}"
+    """Sorts by time: microseconds since 1970 in hex, then random digits."""
+    return f"{time.time_ns() // 1_000:014x}-{uuid.uuid4().hex[:12]}"
+
+
+def _with_predictions(df: DataFrame) -> DataFrame:
+    if "prediction" not in df.columns:
+        raise ValueError(f"not a prediction table: it has only {', '.join(df.columns)}")
+    return df
 
 
 def write_predictions(
@@ -31,9 +37,7 @@ def read_predictions(
     spark: SparkSession, path: str, run_id: str | None = None, model: str | None = None
 ) -> DataFrame:
     """Read predictions, of one run and model if given (only those folders are read)."""
-    df = spark.read.parquet(path)
-    if "prediction" not in df.columns:
-        raise ValueError(f"Predictions must have 'prediction' column, found columns: {df.columns}")
+    df = _with_predictions(spark.read.parquet(path))
     if run_id is not None:
         df = df.where(F.col("run_id") == run_id)
     if model is not None:
@@ -42,6 +46,4 @@ def read_predictions(
 
 
 def extract_predictions(df: DataFrame) -> DataFrame:
-    if "prediction" not in df.columns:
-        raise ValueError(f"Predictions must have 'prediction' column, found columns: {df.columns}")
-    return df.select("prediction")
+    return _with_predictions(df).select("prediction")
