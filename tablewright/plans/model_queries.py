@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import one_row
 from tablewright.operators import blend as blending
 from tablewright.operators import metrics, models
 from tablewright.operators.encode import LabelEncoding
@@ -351,12 +352,12 @@ def prediction_round_trip(spark, folder):
 # ---- models ----------------------------------------------------------------
 
 
-def _documents(spark, folder) -> DataFrame:
-    """Labelled documents with a few counts of their text, language as a code."""
+def _documents(spark, folder, labelled: bool = True) -> DataFrame:
+    """Documents with a few counts of their text, language as a code, and their label;
+    those without a label too if asked."""
     text = F.col("text")
-    documents = table(spark, folder, "documents").join(
-        table(spark, folder, "labels").select("doc_id", "quality"), "doc_id"
-    )
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    documents = table(spark, folder, "documents").join(labels, "doc_id", "inner" if labelled else "left")
     counted = documents.select(
         "doc_id",
         "lang",
@@ -374,19 +375,58 @@ def _trained(spark, folder, family: str, **options):
     return models.train(train, test, "quality", "classification", ["doc_id"], family, **options)
 
 
-@query()
+def _ranked_sql(source: str, key: str) -> str:
+    """Rows of a source with their place in the order of the split, test part last."""
+    digest = f"md5('42:' || length({key}::VARCHAR) || '=' || {key})"
+    return (
+        f"SELECT *, row_number() OVER (ORDER BY {digest}) AS rn, count(*) OVER () AS n FROM ({source})"
+    )
+
+
+_SPLIT_DOCS = f"WITH d AS ({_ranked_sql('SELECT * FROM documents JOIN labels USING (doc_id)', 'doc_id')})"
+_IN_TEST = "rn > n - floor(n * 0.3::DOUBLE)"
+
+
+def _checked(metrics, scored: DataFrame, n: str) -> DataFrame:
+    """One row: rows scored, whether the reported accuracy is that of the predictions,
+    and whether it reaches that of always answering with the largest class."""
+    hit = F.avg((F.col("prediction") == F.col("quality")).cast("double"))
+    most = F.greatest(F.avg(F.col("quality").cast("double")), 1 - F.avg(F.col("quality").cast("double")))
+    counted = scored.agg(F.count(F.lit(1)).alias(n), hit.alias("own"), most.alias("most"))
+    return one_row([counted, metrics.select("accuracy")]).select(
+        n,
+        (F.abs(F.col("own") - F.col("accuracy")) < 1e-9).alias("metric_agrees"),
+        (F.col("accuracy") >= F.col("most") - 1e-9).alias("beats_majority"),
+    )
+
+
+@query(f"{_SPLIT_DOCS} SELECT doc_id, TRUE AS known_class FROM d WHERE {_IN_TEST}")
 def train_gbt_a(spark, folder):
-    return _trained(spark, folder, "gbt_a", iterations=10, depth=4, subsample=0.9).predictions
+    result = _trained(spark, folder, "gbt_a", iterations=10, depth=4, subsample=0.9)
+    return result.predictions.select("doc_id", F.col("prediction").isin(0, 1).alias("known_class"))
 
 
-@query()
+@query(
+    f"{_SPLIT_DOCS} SELECT count(*) AS n_test, TRUE AS metric_agrees, TRUE AS beats_majority "
+    f"FROM d WHERE {_IN_TEST}"
+)
 def train_gbt_b(spark, folder):
-    return _trained(spark, folder, "gbt_b", num_iterations=10, max_depth=4).test_metrics
+    result = _trained(spark, folder, "gbt_b", num_iterations=10, max_depth=4)
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return _checked(result.test_metrics, result.predictions.join(labels, "doc_id"), "n_test")
 
 
-@query()
+@query(
+    f"{_SPLIT_DOCS} SELECT count(*) AS n_train, TRUE AS metric_agrees, TRUE AS beats_majority "
+    f"FROM d WHERE NOT ({_IN_TEST})"
+)
 def train_gbt_c(spark, folder):
-    return _trained(spark, folder, "gbt_c", n_estimators=10, max_depth=4, colsample_bytree=0.8).train_metrics
+    train, test = train_test_split(_documents(spark, folder), 0.3, ["doc_id"])
+    result = models.train(
+        train, test, "quality", "classification", ["doc_id"], "gbt_c",
+        n_estimators=10, max_depth=4, colsample_bytree=0.8,
+    )
+    return _checked(result.train_metrics, result.model.score(train, ["doc_id"], ["quality"]), "n_train")
 
 
 def _numbers(spark, folder, *names: str) -> DataFrame:
@@ -398,17 +438,30 @@ def _numbers(spark, folder, *names: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    "SELECT l_returnflag, floor(count(*) * 0.3::DOUBLE)::BIGINT AS n, TRUE AS known_class "
+    "FROM lineitem GROUP BY 1"
+)
 def train_multiclass(spark, folder):
     numbers = _numbers(spark, folder, "l_returnflag")
     train, test = train_test_split(numbers, 0.3, ["row_id"], stratify="l_returnflag")
     result = models.train(
         train, test, "l_returnflag", "classification", ["row_id"], "gbt_a", iterations=3, depth=3
     )
-    return result.test_metrics
+    scored = result.model.score(test, ["row_id"], ["l_returnflag"])
+    return scored.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction").isin("A", "N", "R")).alias("known_class")
+    )
 
 
-@query()
+_ROW_ID = (
+    "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS row_id FROM lineitem"
+)
+
+
+@query(
+    f"WITH d AS ({_ranked_sql(_ROW_ID, 'row_id')}) SELECT row_id, TRUE AS is_number FROM d WHERE {_IN_TEST}"
+)
 def train_regression(spark, folder):
     numbers = _numbers(spark, folder, "l_extendedprice")
     train, test = train_test_split(numbers, 0.3, ["row_id"])
@@ -417,15 +470,21 @@ def train_regression(spark, folder):
         train, unlabelled, "l_extendedprice", "regression", ["row_id"], "gbt_b",
         num_iterations=5, max_depth=4,
     )
-    return result.predictions
+    number = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return result.predictions.select("row_id", number.alias("is_number"))
 
 
-@query()
+@query("SELECT doc_id, TRUE AS same FROM documents")
 def model_round_trip(spark, folder):
+    """The saved model scores every document as the live one does."""
     result = _trained(spark, folder, "gbt_a", iterations=3, depth=3)
     path = model_files.save_model(result.model, scratch_path(spark, "models"))
     loaded = model_files.load_model(spark, path)
-    return loaded.score(_documents(spark, folder), ["doc_id"], ["quality"], probability=True)
+    everything = _documents(spark, folder, labelled=False)
+    one, two = (m.score(everything, ["doc_id"], probability=True) for m in (result.model, loaded))
+    two = two.select("doc_id", F.col("prediction").alias("p"), F.col("probability").alias("q"))
+    same = F.col("prediction").eqNullSafe(F.col("p")) & F.col("probability").eqNullSafe(F.col("q"))
+    return one.join(two, "doc_id").select("doc_id", same.alias("same"))
 
 
 @query()
