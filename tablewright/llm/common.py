@@ -17,8 +17,10 @@ from tablewright.session import row_bytes, scratch_path
 
 #: Largest measured size of a broadcast table.
 BROADCAST_BYTES = 16 * 1024 * 1024
-#: Characters of text handled at once inside a task.
-SLICE_CHARS = 2_000_000
+#: Bytes of text handled at once inside a task.
+SLICE_CHARS = 500_000
+#: Most rows of an Arrow batch: batches are cut by rows, and texts can be long.
+BATCH_ROWS = 2_000
 
 
 def text_or_empty(name: str) -> Column:
@@ -123,9 +125,17 @@ class SpanMemory:
         return self._values[places], ends[np.cumsum(sizes)]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short in this session, so that long texts fit a task's memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id`` (bigint) and ``text`` (null: empty), whatever else ``df`` holds."""
     require_columns(df, [id_col, text_col])
+    short_batches(df.sparkSession)
     return df.select(col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
 
 

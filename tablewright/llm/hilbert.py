@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns
-from tablewright.llm.common import stored, text_or_empty
+from tablewright.llm.common import is_small, stored, text_or_empty
 
 BITS = 4
 ROW_OVERHEAD = 16
@@ -143,7 +143,7 @@ def hilbert_shards(
     )
     total = cells.agg(F.sum("count")).first()[0] or 0
 
-    placed = rows.join(F.broadcast(cells), names).withColumn(
+    placed = rows.join(F.broadcast(cells) if is_small(cells) else cells, names).withColumn(
         "bucket", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.col("buckets"))
     )
     earlier = Window.partitionBy("curve").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -233,23 +233,33 @@ def decoder(path: str) -> Decoder:
 
 
 def encode_texts(
-    df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True
+    df: DataFrame,
+    model_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: bool = True,
+    decode: bool = False,
 ) -> DataFrame:
     """One row per input row: ``id`` and ``ids``, the token ids of the whole text.
 
-    ``end_id`` appends the model's end id.  Null text counts as empty and has the
-    end id alone.  Ids may be null or repeat; an empty table gives no rows.
+    ``end_id`` appends the model's end id; ``decode`` adds ``decoded``, the text that
+    the ids give back.  Null text counts as empty and has the end id alone.  Ids may
+    be null or repeat; an empty table gives no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(model_path)
+        tool, back = encoder(model_path), decoder(model_path)
         end = tool.model.end_id if end_id else None
         for batch in slices(batches):
             ids, ends = tool.encode(batch.column("text").to_pylist(), end)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
+            columns = {"id": batch.column("id"), "ids": lists}
+            if decode:
+                columns["decoded"] = pa.array(back.decode(ids, ends), pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(work, "id bigint, ids array<int>")
+    schema = "id bigint, ids array<int>" + ", decoded string" * decode
+    return id_and_text(df, id_col, text_col).mapInArrow(work, schema)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

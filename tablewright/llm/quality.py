@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
-from tablewright.llm.common import id_and_text, slices, text_or_empty
+from tablewright.llm.common import id_and_text, short_batches, slices, text_or_empty
 
 NAMES = (
     "capitals", "exclamations", "symbols", "digits", "stops", "repeats",
@@ -192,6 +192,7 @@ def score(statistics: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_good(df: DataFrame, model: Discriminant, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``df`` with all its columns, less the rows whose text scores under ``least``."""
+    short_batches(df.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

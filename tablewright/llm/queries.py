@@ -122,8 +122,7 @@ def op7_simhash(spark, folder) -> DataFrame:
 @query
 def op8_piece_encoding(spark, folder) -> DataFrame:
     path = model_path("piece_bpe_32k.model")
-    encoded = piece_bpe.encode_texts(documents(spark, folder), path)
-    both = piece_bpe.decode_ids(encoded, path)
+    both = piece_bpe.encode_texts(documents(spark, folder), path, decode=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         F.col("id").alias("doc_id"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_columns
-from tablewright.llm.common import is_small, slices, stored
+from tablewright.llm.common import is_small, short_batches, slices, stored
 from tablewright.llm.files import read_all, write_new
 from tablewright.session import scratch_path
 
@@ -226,6 +226,7 @@ def write_archives(
     Repeated rows get a record each.  An empty table gives an empty manifest.
     """
     require_columns(df, [id_col, url_col, payload_col])
+    short_batches(df.sparkSession)
     folder = folder or scratch_path(df.sparkSession, "warc")
     payload = F.coalesce(col(payload_col).cast("string"), F.lit(""))
     pages = df.select(
