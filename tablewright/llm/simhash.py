@@ -38,12 +38,12 @@ SEED = 42
 DISTANCE = 3
 BUCKET = 200
 FREE = 8
-#: For documents alike in their shingle sets: fingerprints of each one's set of words, and
-#: the bits in which one of them may differ.  Sets of words change least under small
-#: edits; these figures found 99 of 100 pairs of five-word similarity 0.8 or more
-#: (measured on 12,000 documents).
-FINGERPRINTS = 4
-CANDIDATE_DISTANCE = 5
+#: Documents whose shingles are counted to find frequent ones, the count that makes one
+#: frequent, and how many are taken.  They decide the order of shingles, never the result.
+ORDER_SAMPLE = 8_000
+ORDER_COUNT = 4
+ORDER_LIMIT = 100_000
+_PAIRS_AT_ONCE = 500_000
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _BYTE_PLACES = np.arange(8) * 256
@@ -332,24 +332,6 @@ def near_duplicates(
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
-def word_fingerprints(text: str) -> list[int]:
-    """``FINGERPRINTS`` independent fingerprints of the set of a text's words."""
-    found = set(text.encode("utf-8", "replace").lower().split())
-    if not found:
-        return [0] * FINGERPRINTS
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, SEED) for w in found], np.uint64)
-    return [_majority(mixed(hashes, k)) for k in range(FINGERPRINTS)]
-
-
-def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Other 64-bit hashes from hashes, one family for each seed."""
-    out = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
-    out ^= out >> np.uint64(33)
-    out *= np.uint64(0xC4CEB9FE1A85EC53)
-    return out ^ (out >> np.uint64(29))
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Distinct hashes of the runs of ``words`` words; of the whole text when it has fewer."""
     found = text.encode("utf-8", "replace").lower().split()
@@ -357,34 +339,170 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64)).view(np.int64)
 
 
-def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs ``a, b`` of ids that connect the documents of which any fingerprint is near."""
-    kinds = ", ".join(["id bigint", *(f"f{k} bigint" for k in range(FINGERPRINTS))])
+def _late_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """Frequent shingles of a sample of ``texts (id, text)``, sorted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words))], ["h"])
+
+    share = min(1.0, ORDER_SAMPLE / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = sample.mapInArrow(work, "h bigint").groupBy("h").count().where(F.col("count") >= ORDER_COUNT)
+    rows = counted.orderBy(F.desc("count"), "h").limit(ORDER_LIMIT).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64))
+
+
+def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndarray | None) -> DataFrame:
+    """``id, n, d1, d2`` (size and digest of the shingle set) and ``shingles``.
+
+    With ``late`` these are only so many of the first shingles, in the order of their
+    hashes but frequent ones last, that two sets of the similarity share one of them.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [word_fingerprints(t) for t in batch.column("text").to_pylist()]
-            table = np.array(rows, np.uint64).view(np.int64).reshape(-1, FINGERPRINTS)
-            columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(FINGERPRINTS)]
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            digests = np.array(
+                [[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64
+            ).view(np.int64).reshape(-1, 2)
+            whole = np.concatenate([np.zeros(0, np.int64), *sets])
+            taken = sizes
+            if late is not None:
+                of = np.repeat(np.arange(len(sets)), sizes)
+                if len(late):
+                    is_late = late[np.minimum(np.searchsorted(late, whole), len(late) - 1)] == whole
+                    whole = whole[np.lexsort((is_late, of))]  # stable: hashes stay in order
+                taken = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+                taken = np.clip(taken, 1, sizes)
+                place = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                whole = whole[place < taken[of]]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(taken)], pa.int32()), pa.array(whole))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *columns], ["id", *(f"f{k}" for k in range(FINGERPRINTS))]
+                [
+                    batch.column("id"),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(np.ascontiguousarray(digests[:, 0])),
+                    pa.array(np.ascontiguousarray(digests[:, 1])),
+                    lists,
+                ],
+                ["id", "n", "d1", "d2", "shingles"],
             )
 
-    texts = id_and_text(df, id_col, text_col).where("id is not null")
-    prints = stored(texts.mapInArrow(work, kinds), "near-prints")
-    tagged = [F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("fp")) for k in range(FINGERPRINTS)]
-    long = prints.select("id", F.inline(F.array(*tagged)))
-    distinct = stored(long.groupBy("k", "fp").agg(F.min("id").alias("least")), "near-distinct")
-    near = links(distinct, CANDIDATE_DISTANCE, ["k"], all_pairs=False)
-    end = lambda name: distinct.select(
-        "k", F.col("fp").alias(name), F.col("least").alias(f"{name}_id")
-    )
-    between = near.join(end("a"), ["k", "a"]).join(end("b"), ["k", "b"])
-    edges = between.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    same = long.join(distinct, ["k", "fp"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    return edges.unionByName(same).where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    return texts.mapInArrow(work, "id bigint, n int, d1 bigint, d2 bigint, shingles array<bigint>")
+
+
+def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of ``entries (h, id, n)`` that share a shingle and whose sizes allow the
+    similarity.  All members of a shingle of more than ``BUCKET`` come as ``h, a`` instead.
+    """
+    schema = "h bigint, a bigint, b bigint"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot_key, waiting = None, None, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                if sum(b.num_rows for b in waiting) < _ROWS_AT_ONCE:
+                    continue
+            waiting = [held, *waiting] if held is not None else waiting
+            held = None
+            if not waiting:
+                continue
+            rows = pa.concat_batches(waiting)
+            waiting = []
+            if not rows.num_rows:
+                continue
+            h, ids, n = (rows.column(c).to_numpy() for c in ("h", "id", "n"))
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sizes = np.diff(starts, append=len(h))
+            hot = sizes > BUCKET
+            hot[0] |= hot_key is not None and h[0] == hot_key
+            hot_key = h[-1] if hot[-1] else None
+            if batch is not None and not hot[-1]:  # the last shingle may go on
+                held = rows.slice(int(starts[-1]))
+                starts, sizes, hot = starts[:-1], sizes[:-1], hot[:-1]
+            if hot.any():
+                at = np.flatnonzero(np.repeat(hot, sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[at]), pa.array(ids[at]), pa.nulls(len(at), pa.int64())], ["h", "a", "b"]
+                )
+            for size in np.unique(sizes[~hot & (sizes > 1)]):
+                begin = starts[~hot & (sizes == size)]
+                i, j = np.triu_indices(int(size), 1)
+                step = max(1, _PAIRS_AT_ONCE // len(i))
+                for k in range(0, len(begin), step):
+                    left = (begin[k : k + step, None] + i).ravel()
+                    right = (begin[k : k + step, None] + j).ravel()
+                    fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
+                    fits &= ids[left] != ids[right]
+                    a, b = ids[left[fits]], ids[right[fits]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["h", "a", "b"]
+                    )
+
+    runs = entries.repartition("h").sortWithinPartitions("h", "id")
+    return runs.mapInArrow(work, schema)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` and the similarity ``s`` of their whole sets."""
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    share = common / (F.size("of_a") + F.size("of_b") - common)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", share.alias("s"))
+
+
+def _hot_links(
+    hot: DataFrame, sets: DataFrame, sizes: DataFrame, links: DataFrame, similarity: float
+) -> DataFrame:
+    """``links (a, b)`` and more of them, which connect the members of every shingle of
+    ``hot (h, id)`` as all its pairs of the similarity do.
+
+    In rounds the smallest member of each shingle is measured against the others.  One
+    minus the similarity is a distance: a member that links with the smallest one can
+    link only with members within twice the distance of it.  These pairs are
+    measured; members that do not link go on among themselves.
+    """
+    reach = 1 - similarity
+    left = hot.count()
+    while left:
+        first = hot.groupBy("h").agg(F.min("id").alias("a"))
+        spokes = hot.join(first, "h").where("id <> a").select("h", "a", F.col("id").alias("b"))
+        spokes = stored(spokes, "near-spokes")
+        measured = stored(_measured(spokes.select("a", "b").distinct(), sets), "near-measured")
+        linked = measured.where(F.col("s") >= similarity)
+        links = stored(links.unionByName(linked.select("a", "b")).distinct(), "near-links")
+        ring = measured.where((F.col("s") < similarity) & (F.col("s") >= 1 - 2 * reach - 1e-9))
+        across = (
+            linked.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("s").alias("sx"))
+            .join(ring.select(F.col("a").alias("c"), F.col("b").alias("y"), F.col("s").alias("sy")), "c")
+            .where(F.col("sx") - F.col("sy") <= reach + 1e-9)
+            .select("x", "y")
+        )
+        rest = spokes.join(measured, ["a", "b"]).where(F.col("s") < similarity)
+        rest = stored(rest.select("h", F.col("b").alias("id")), "near-rest")
+        counted = stored(rest.groupBy("h").count(), "near-counts")
+        now = rest.count()
+        # few members, or hardly any that linked: all pairs of what is left
+        ending = counted if 2 * now > left else counted.where(F.col("count") <= BUCKET)
+        members = rest.join(ending.select("h"), "h", "left_semi")
+        within = members.select("h", F.col("id").alias("x")).join(members.select("h", F.col("id").alias("y")), "h")
+        pairs = across.unionByName(within.select("x", "y"))
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        group = stored(components(links), "near-groups")
+        end = lambda name: sizes.join(group, sizes["id"] == group["node"], "left").select(
+            F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.coalesce("component", "id").alias(f"g_{name}")
+        )
+        fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+        open_pairs = pairs.join(end("a"), "a").join(end("b"), "b").where(fits & (F.col("g_a") != F.col("g_b")))
+        more = _measured(open_pairs.select("a", "b").distinct(), sets).where(F.col("s") >= similarity)
+        links = stored(links.unionByName(more.select("a", "b")), "near-links")
+        hot = stored(rest.join(ending.select("h"), "h", "left_anti"), "near-hot")
+        left = hot.count()
+    return links
 
 
 def similar_documents(
@@ -394,36 +512,38 @@ def similar_documents(
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word
     shingles is at least ``similarity``; a group is all that links reach, and
-    ``keep_id`` its smallest id.  Candidate pairs come from signatures: documents of
-    which one of ``FINGERPRINTS`` fingerprints of their sets of words lies within
-    ``CANDIDATE_DISTANCE`` bits, joined by a spanning forest of each signature; every
-    candidate is verified on the whole sets.
+    ``keep_id`` its smallest id.  No link is missed: in any fixed order of shingles, two
+    such sets share one of their first ``n - ceil(similarity * n) + 1``.  Documents of
+    equal sets count once; pairs that share such a shingle are measured on the
+    whole sets, those of a shingle of over ``BUCKET`` documents by ``_hot_links``.
 
     Blank texts are alike.  Rows without an id are left alone; of rows with one id
     the smaller set counts.  An empty table gives no rows.
     """
-    edges = stored(_candidates(df, id_col, text_col), "near-candidates")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "shingles"])
-
-    members = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-members")
-    texts = id_and_text(df, id_col, text_col)
-    chosen = texts.join(F.broadcast(members) if is_small(members) else members, "id", "left_semi")
-    sets = stored(chosen.mapInArrow(work, "id bigint, shingles array<bigint>"), "near-shingles")
-    one_set = stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "near-sets")
-    side = lambda name: one_set.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    share = common / (F.size("of_a") + F.size("of_b") - common)
-    alike = edges.join(side("b"), "b").join(side("a"), "a").where(share >= similarity).select("a", "b")
+    texts = id_and_text(df, id_col, text_col).where("id is not null")
+    late = _late_shingles(texts, words)
+    of_set = ["n", "d1", "d2"]
+    heads = stored(_shingle_rows(texts, words, similarity, late), "near-heads")
+    own = heads.groupBy("id").agg(F.min(F.struct(*of_set)).alias("own")).select("id", "own.*")
+    own = stored(own, "near-own")
+    least = stored(own.groupBy(*of_set).agg(F.min("id").alias("keep")), "near-distinct")
+    equal = own.join(least, of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
+    chosen = least.select(F.col("keep").alias("id"), *of_set)
+    chosen_side = F.broadcast(chosen) if is_small(least) else chosen
+    single = heads.join(chosen_side, ["id", *of_set], "left_semi")
+    entries = single.select(F.explode("shingles").alias("h"), "id", "n")
+    sharing = stored(_sharing(entries, similarity).distinct(), "near-sharing")
+    pairs = sharing.where("b is not null").select("a", "b")
+    hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
+    members = stored(members.distinct(), "near-members")
+    wanted = texts.join(F.broadcast(members) if is_small(members) else members, "id", "left_semi")
+    whole = _shingle_rows(wanted, words, similarity, None).join(chosen_side, ["id", *of_set], "left_semi")
+    sets = stored(whole.dropDuplicates(["id"]).select("id", "shingles"), "near-sets")
+    links = stored(_measured(pairs, sets).where(F.col("s") >= similarity).select("a", "b"), "near-links")
+    links = _hot_links(hot, sets, chosen.select("id", "n"), links, similarity)
     return (
-        components(alike)
+        components(links.unionByName(equal))
         .where("node <> component")
         .select(F.col("node").alias("id"), F.col("component").alias("keep_id"))
     )

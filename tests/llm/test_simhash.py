@@ -95,6 +95,29 @@ def test_near_copies(spark):
     assert 900 in kept and 901 not in kept and 902 not in kept and 903 in kept
 
 
+@pytest.mark.parametrize("bucket", [200, 3])
+def test_no_near_copy_is_missed(spark, monkeypatch, bucket):
+    """Against all pairs: lines in another order, cut and appended copies, scattered edits."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    texts = []
+    for g in range(8):
+        base = words(150, 500 + g)
+        lines = [" ".join(base[i : i + 10]) for i in range(0, 150, 10)]
+        again = " ".join(base)
+        texts += ["\n".join(lines[::-1]), again, again.upper(), again + " " + base[-1]]
+        texts += [" ".join(base[:k]) for k in (136, 130, 123, 110)]
+        texts += [" ".join(base + words(k, 900 + g)) for k in (15, 25, 35, 60)]
+        texts += [" ".join(f"e{g}" if i in (20 * k, 70 + k) else w for i, w in enumerate(base)) for k in range(4)]
+        texts.append("a very common line that stands in one text of each group " + " ".join(words(30, 700 + g)))
+    df = documents(spark, texts)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = components(range(len(texts)), near)
+    got = {r["id"]: r["keep_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == {i: k for i, k in group.items() if i != k}
+    assert 1 not in got and got[2] == 1  # tied to each other, not to the smallest of their word set
+
+
 def test_links_are_verified(spark):
     """Documents near by their signatures, yet under the similarity, all stay."""
     base = words(200, 1)
