@@ -118,6 +118,19 @@ def test_no_near_copy_is_missed(spark, monkeypatch, bucket):
     assert 1 not in got and got[2] == 1  # tied to each other, not to the smallest of their word set
 
 
+def test_cut_and_appended_copies(spark):
+    """Copies that lack or add one passage, one pair each: all of 0.8 or more are found."""
+    texts = []
+    for g in range(60):
+        base = words(200, 2000 + g)
+        size = 10 + g % 30
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[:-size] if g % 2 else base + words(size, 3000 + g)))
+    wanted = {2 * g + 1: 2 * g for g in range(60) if jaccard(texts[2 * g], texts[2 * g + 1]) >= 0.8}
+    got = {r["id"]: r["keep_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert got == wanted and len(wanted) >= 50
+
+
 def test_links_are_verified(spark):
     """Documents near by their signatures, yet under the similarity, all stay."""
     base = words(200, 1)
