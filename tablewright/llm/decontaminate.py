@@ -10,7 +10,9 @@ document counts as contaminated by an item only when it holds enough of the item
 windows.
 
 Every text is also taken in a plain form in which names are ordinary words, so that
-a change of case does not hide a passage.
+a change of case does not hide a passage.  In that form a window with too few literal
+words is an exact one, of the words with their own values.  Scripts that are written
+without blanks are cut into characters.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WINDOW = 8
 #: Fewest words of a window that are not slots, as a share of the window.
 LITERAL_SHARE = 0.5
 #: Items with fewer words than this say too little to be searched for.
-LEAST_WORDS = 4
+LEAST_WORDS = 3
 #: Share of an item's windows that makes a document contaminated.
 LEAST_SHARE = 0.3
 #: Bits of each half of the filter that decides inside the scan which windows to join.
@@ -52,10 +54,17 @@ UNIT_WORDS = frozenset(
     "kilometres kw mw hz khz mhz ghz kb mb gb tb".split()
 )
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’/][^\W\d_]+)*|[%°$€£¥]")
+# Scripts without blanks: Thai, Lao, Myanmar, Khmer, Japanese kana, Han.
+_UNSPACED = (
+    r"\u0e00-\u0e3e\u0e40-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+    r"\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_LETTERS = rf"[^\W\d_{_UNSPACED}]+"
+_TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[{_UNSPACED}]|{_LETTERS}(?:['’/]{_LETTERS})*|[%°$€£¥]")
 _NUMBER, _CAPITAL, _UNIT, _ENDS, _SYMBOL = 1, 2, 4, 8, 16
 _VALUES = np.dtype([("word", "<u8"), ("flags", "u1")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
 _MEMORY = 300_000
 
 
@@ -86,6 +95,9 @@ def _learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found, _VALUES), counts
 
 
+_COLUMNS = ("text", "form", "length", "pos", "hash", "slots", "exact")
+
+
 class Templates:
     """Template windows of texts, remembering the words of earlier texts."""
 
@@ -126,11 +138,12 @@ class Templates:
         )
 
     def windows(self, texts: list[str], lengths: list[int], accept=None) -> dict[str, list]:
-        """Windows of the given lengths: text index, form, length, position, hash, slot values.
+        """Windows of the given lengths: text index, form, length, position, hash, slot values,
+        and whether the window is exact (then it has no slots).
 
         ``accept`` maps hashes to a mask of those to keep.
         """
-        out: dict[str, list] = {k: [] for k in ("text", "form", "length", "pos", "hash", "slots")}
+        out: dict[str, list] = {k: [] for k in _COLUMNS}
         for form, of, code, value, slot in self.forms(texts):
             begin = np.searchsorted(of, np.arange(len(texts)))
             literal = np.r_[0, np.cumsum(~slot)]
@@ -145,7 +158,16 @@ class Templates:
                     hashes = hashes * _BASE + code[j : j + count]
                 hashes ^= hashes >> np.uint64(32)  # the low bits depend on all words
                 good = of[:count] == of[length - 1 :]
-                good &= literal[length:] - literal[:count] >= max(3, length * LITERAL_SHARE)
+                exact = good & (literal[length:] - literal[:count] < max(3, length * LITERAL_SHARE))
+                if form == 0:
+                    poor = np.flatnonzero(exact)
+                    own = np.full(len(poor), np.uint64(length))
+                    for j in range(length):
+                        own = own * _BASE + value[poor + j]
+                    own ^= _EXACT
+                    hashes[poor] = own ^ (own >> np.uint64(32))
+                else:
+                    good &= ~exact
                 if accept is not None:
                     good &= accept(hashes)
                 at = np.flatnonzero(good)
@@ -154,13 +176,13 @@ class Templates:
                 out["length"] += [length] * len(at)
                 out["pos"] += (at - begin[of[at]]).tolist()
                 out["hash"] += hashes[at].view(np.int64).tolist()
-                out["slots"] += [
-                    slot_values[a:b] for a, b in zip(slots_before[at], slots_before[at + length])
-                ]
+                ends = np.where(exact[at], slots_before[at], slots_before[at + length])
+                out["slots"] += [slot_values[a:b] for a, b in zip(slots_before[at], ends)]
+                out["exact"] += exact[at].tolist()
         return out
 
 
-_WINDOWS = "id bigint, form int, length int, pos int, hash bigint, slots array<bigint>, words int"
+_WINDOWS = "id bigint, form int, length int, pos int, hash bigint, slots array<bigint>, words int, exact boolean"
 _templates: list[Templates] = []
 
 
@@ -180,7 +202,7 @@ def _scan(rows: DataFrame, lengths: list[int] | None, filters: list[bytes] | Non
         for batch in slices(batches):
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             if lengths is None:
-                found = {k: [] for k in ("text", "form", "length", "pos", "hash", "slots")}
+                found = {k: [] for k in _COLUMNS}
                 for i, text in enumerate(texts):
                     for form, of, *_ in tool.forms([text]):
                         own = tool.windows([text], [min(WINDOW, len(of))]) if len(of) >= LEAST_WORDS else {}
@@ -202,8 +224,9 @@ def _scan(rows: DataFrame, lengths: list[int] | None, filters: list[bytes] | Non
                     pa.array(found["hash"], pa.int64()),
                     pa.array(found["slots"], pa.list_(pa.int64())),
                     pa.array(sizes[text * 2 + form] if len(text) else [], pa.int32()),
+                    pa.array(found["exact"], pa.bool_()),
                 ],
-                ["id", "form", "length", "pos", "hash", "slots", "words"],
+                ["id", "form", "length", "pos", "hash", "slots", "words", "exact"],
             )
 
     return rows.mapInArrow(work, _WINDOWS)
@@ -234,7 +257,8 @@ def contaminated(
     """Pairs of a document and a benchmark item that it holds.
 
     Columns: ``id, item_id, matched`` (windows of the item found), ``windows`` (of
-    the item), ``share``, ``same_values`` (every slot has the item's own value).
+    the item), ``share``, ``same_values`` (every slot has the item's own value).  Exact windows
+    count on both sides or, when that gives the larger share, on neither.
     Documents without such an item have no row.
 
     Null and blank texts match nothing, on either side; nor do items under
@@ -243,7 +267,11 @@ def contaminated(
     """
     items = stored(_scan(id_and_text(benchmark, item_col, item_text_col), None, None), "benchmark-windows")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW
-    sizes = items.groupBy("id", "form").agg(F.countDistinct("pos", "hash").alias("windows"))
+    place = F.struct("pos", "hash")
+    sizes = items.groupBy("id", "form").agg(
+        F.countDistinct(place).alias("windows"),
+        F.countDistinct(F.when(~F.col("exact"), place)).alias("free_windows"),
+    )
     found = _scan(id_and_text(df, id_col, text_col), lengths, _filters(items))
     wanted = items.select(
         F.col("id").alias("item_id"),
@@ -252,15 +280,16 @@ def contaminated(
         F.col("slots").alias("item_slots"),
         "hash",
         "length",
+        F.col("exact").alias("item_exact"),
     )
     wanted = F.broadcast(wanted) if is_small(items) else wanted
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     runs = (
         found.join(wanted, ["hash", "length"])
-        .where(F.size("slots") == F.size("item_slots"))
+        .where((F.size("slots") == F.size("item_slots")) & (F.col("exact") == F.col("item_exact")))
         .groupBy("id", "form", "item_id", "item_form", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(
-            F.collect_set(F.struct("item_pos", "hash")).alias("places"),
+            F.collect_set(F.struct("item_pos", "hash", "exact")).alias("places"),
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
         )
         # consistent slots: each value of the item stands for one value of the document
@@ -270,11 +299,23 @@ def contaminated(
     matched = (
         runs.select("id", "form", "item_id", "item_form", differs.alias("differs"), F.explode("places").alias("at"))
         .groupBy("id", "form", "item_id", "item_form")
-        .agg(F.countDistinct("at").alias("matched"), (~F.bool_or("differs")).alias("same_values"))
+        .agg(
+            F.countDistinct("at").alias("matched"),
+            F.countDistinct(F.when(~F.col("at.exact"), F.col("at"))).alias("free_matched"),
+            (~F.bool_or("differs")).alias("same_values"),
+        )
     )
-    item_sizes = sizes.select(F.col("id").alias("s_id"), F.col("form").alias("s_form"), "windows")
+    item_sizes = sizes.select(F.col("id").alias("s_id"), F.col("form").alias("s_form"), "windows", "free_windows")
     same_item = F.col("item_id").eqNullSafe(F.col("s_id")) & (F.col("item_form") == F.col("s_form"))
-    scored = matched.join(item_sizes, same_item).withColumn("share", F.col("matched") / F.col("windows"))
+    count = lambda m, w: F.struct(F.col(m).alias("matched"), F.col(w).alias("windows"))
+    counts = F.explode(F.array(count("matched", "windows"), count("free_matched", "free_windows")))
+    scored = (
+        matched.join(item_sizes, same_item)
+        .select("id", "item_id", "same_values", counts.alias("c"))
+        .select("id", "item_id", "same_values", "c.*")
+        .where("windows > 0")
+        .withColumn("share", F.col("matched") / F.col("windows"))
+    )
     best = F.max(F.struct("share", "same_values", "matched", "windows")).alias("best")
     return (
         scored.where(F.col("share") >= least_share)

@@ -54,6 +54,30 @@ def test_slots_must_be_consistent(spark):
     assert set(got) == {(0, 5)}
 
 
+def pairs_of(spark, items, texts):
+    table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = decontaminate.contaminated(documents(spark, texts), table).collect()
+    return {(r["id"], r["item_id"]): r["share"] for r in rows}
+
+
+def test_items_poor_in_literals(spark):
+    items = [
+        "Solve 3x + 7 = 22",
+        "Compute 12 + 35 - 7 * 4 + 18",
+        "Simplify 3/4 + 5/6",
+        "3 14 15 92 65 35 89 79 32 38 46 26",
+        "小明有三个苹果",
+        "ร้านนี้ขายผลไม้สดทุกวัน",
+    ]
+    texts = [f"{noise(20 + k)} {item} {noise(40 + k)}" for k, item in enumerate(items)]
+    texts[4] = "昨天老师说小明有三个苹果然后回家了"
+    texts[5] = "แม่บอกว่าร้านนี้ขายผลไม้สดทุกวันนะ"
+    texts += [text.replace("35", "36").replace("7", "8").replace("5/6", "1/6") for text in texts[:3]]
+    texts.append("昨天老师说小红有五个香蕉然后回家了")
+    got = pairs_of(spark, items, texts)
+    assert got == {(k, k): 1.0 for k in range(6)}
+
+
 def test_brute_force_on_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
