@@ -3,9 +3,11 @@
 A text becomes a sequence of words in lower case, where numbers, units after numbers
 and names (runs of capitalised words inside a sentence) are typed slots.  Windows of
 ``WINDOW`` words are hashed and joined with those of the benchmark; an item shorter
-than that is one window of its own length.  Two things follow a match: windows that
-share an alignment must map the item's slot values to the document's values by one
-function, so that "twice the 3 apples plus 3" cannot match "twice the 4 plus 5"; and a
+than that is one window of its own length.  Two things follow a match: in windows
+that share an alignment each slot value of the item must stand for one value of the
+document, so that "twice the 3 apples plus 3" cannot match "twice the 4 plus 5" (windows
+that hold a value with two meanings are left out, unless all their values are the
+item's own); and a
 document counts as contaminated by an item only when it holds enough of the item's
 windows.
 
@@ -289,20 +291,30 @@ def contaminated(
         .where((F.size("slots") == F.size("item_slots")) & (F.col("exact") == F.col("item_exact")))
         .groupBy("id", "form", "item_id", "item_form", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(
-            F.collect_set(F.struct("item_pos", "hash", "exact")).alias("places"),
+            F.collect_set(F.struct("item_pos", "hash", "exact", pairs.alias("pairs"))).alias("places"),
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
         )
-        # consistent slots: each value of the item stands for one value of the document
-        .where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
     )
-    differs = F.exists("pairs", lambda p: p["i"] != p["d"])
+    # consistent slots: each value of the item stands for one value of the document
+    values = F.transform("pairs", lambda p: p["i"])
+    twice = F.filter(F.array_distinct(values), lambda v: F.size(F.filter("pairs", lambda p: p["i"] == v)) > 1)
+    runs = runs.withColumn("twice", twice).withColumn(
+        "places",
+        F.filter(
+            "places",
+            lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"])
+            | ~F.exists(w["pairs"], lambda p: F.array_contains("twice", p["i"])),
+        ),
+    )
+    differs = F.exists("at.pairs", lambda p: p["i"] != p["d"])
+    at = F.struct("at.item_pos", "at.hash")
     matched = (
-        runs.select("id", "form", "item_id", "item_form", differs.alias("differs"), F.explode("places").alias("at"))
+        runs.select("id", "form", "item_id", "item_form", F.explode("places").alias("at"))
         .groupBy("id", "form", "item_id", "item_form")
         .agg(
-            F.countDistinct("at").alias("matched"),
-            F.countDistinct(F.when(~F.col("at.exact"), F.col("at"))).alias("free_matched"),
-            (~F.bool_or("differs")).alias("same_values"),
+            F.countDistinct(at).alias("matched"),
+            F.countDistinct(F.when(~F.col("at.exact"), at)).alias("free_matched"),
+            (~F.bool_or(differs)).alias("same_values"),
         )
     )
     item_sizes = sizes.select(F.col("id").alias("s_id"), F.col("form").alias("s_form"), "windows", "free_windows")

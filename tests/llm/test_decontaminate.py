@@ -78,6 +78,16 @@ def test_items_poor_in_literals(spark):
     assert got == {(k, k): 1.0 for k in range(6)}
 
 
+def test_one_conflict_leaves_other_windows(spark):
+    filler = [words(22, 70), words(22, 71)]
+    item = " ".join(["lend", "7", "coins", *filler[0], "lend", "7", "coins", *filler[1], "then", "4", "more"])
+    prose = " ".join([*words(20, 72), "one", *words(20, 73), "one", *words(10, 74)])
+    edited = "lend 8 coins".join(item.rsplit("lend 7 coins", 1))
+    other = edited.replace("7", "70").replace("then 4", "then 5")
+    got = pairs_of(spark, [item, prose], [edited, other, "two".join(prose.rsplit("one", 1))])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)} and all(0.5 < share < 1 for share in got.values())
+
+
 def test_brute_force_on_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
