@@ -38,6 +38,8 @@ LITERAL_SHARE = 0.5
 LEAST_WORDS = 3
 #: Share of an item's windows that makes a document contaminated.
 LEAST_SHARE = 0.3
+#: So many consecutive windows of an item do as well, whatever their share.
+LEAST_RUN = 24
 #: Bits of each half of the filter that decides inside the scan which windows to join.
 FILTER_BITS = 20
 
@@ -261,7 +263,8 @@ def contaminated(
     Columns: ``id, item_id, matched`` (windows of the item found), ``windows`` (of
     the item), ``share``, ``same_values`` (every slot has the item's own value).  Exact windows
     count on both sides or, when that gives the larger share, on neither.
-    Documents without such an item have no row.
+    Documents without such an item have no row: it takes ``least_share`` of the windows, or
+    ``LEAST_RUN`` consecutive ones.
 
     Null and blank texts match nothing, on either side; nor do items under
     ``LEAST_WORDS`` words.  Rows of one id are judged together; null ids are one id.
@@ -306,14 +309,23 @@ def contaminated(
             | ~F.exists(w["pairs"], lambda p: F.array_contains("twice", p["i"])),
         ),
     )
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
+
+    def follow(done, pos):
+        run = F.when(pos == done["last"] + 1, done["run"] + 1).otherwise(1)
+        return F.struct(pos.alias("last"), run.alias("run"), F.greatest(done["longest"], run).alias("longest"))
+
+    positions = F.array_sort(F.array_distinct(F.transform("places", lambda w: w["item_pos"])))
+    runs = runs.withColumn("longest", F.aggregate(positions, start, follow, lambda done: done["longest"]))
     differs = F.exists("at.pairs", lambda p: p["i"] != p["d"])
     at = F.struct("at.item_pos", "at.hash")
     matched = (
-        runs.select("id", "form", "item_id", "item_form", F.explode("places").alias("at"))
+        runs.select("id", "form", "item_id", "item_form", "longest", F.explode("places").alias("at"))
         .groupBy("id", "form", "item_id", "item_form")
         .agg(
             F.countDistinct(at).alias("matched"),
             F.countDistinct(F.when(~F.col("at.exact"), at)).alias("free_matched"),
+            F.max("longest").alias("longest"),
             (~F.bool_or(differs)).alias("same_values"),
         )
     )
@@ -323,14 +335,14 @@ def contaminated(
     counts = F.explode(F.array(count("matched", "windows"), count("free_matched", "free_windows")))
     scored = (
         matched.join(item_sizes, same_item)
-        .select("id", "item_id", "same_values", counts.alias("c"))
-        .select("id", "item_id", "same_values", "c.*")
+        .select("id", "item_id", "same_values", "longest", counts.alias("c"))
+        .select("id", "item_id", "same_values", "longest", "c.*")
         .where("windows > 0")
         .withColumn("share", F.col("matched") / F.col("windows"))
     )
     best = F.max(F.struct("share", "same_values", "matched", "windows")).alias("best")
     return (
-        scored.where(F.col("share") >= least_share)
+        scored.where((F.col("share") >= least_share) | (F.col("longest") >= LEAST_RUN))
         .groupBy("id", "item_id")
         .agg(best)
         .select("id", "item_id", "best.matched", "best.windows", "best.share", "best.same_values")

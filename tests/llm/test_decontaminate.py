@@ -88,6 +88,13 @@ def test_one_conflict_leaves_other_windows(spark):
     assert set(got) == {(0, 0), (1, 0), (2, 1)} and all(0.5 < share < 1 for share in got.values())
 
 
+def test_excerpt_of_a_long_item(spark):
+    item = words(400, 80)
+    texts = [f"{noise(81)} {' '.join(item[100:200])} {noise(82)}", f"{noise(83)} {' '.join(item[100:110])} {noise(84)}"]
+    got = pairs_of(spark, [" ".join(item)], texts)
+    assert set(got) == {(0, 0)} and got[0, 0] < 0.3
+
+
 def test_brute_force_on_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
