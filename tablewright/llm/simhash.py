@@ -43,6 +43,8 @@ FREE = 8
 ORDER_SAMPLE = 8_000
 ORDER_COUNT = 4
 ORDER_LIMIT = 100_000
+#: Bits of the marks that tell most pairs apart before their whole sets are compared.
+MARK_BITS = 1_024
 _PAIRS_AT_ONCE = 500_000
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -355,7 +357,10 @@ def _late_shingles(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndarray | None) -> DataFrame:
-    """``id, n, d1, d2`` (size and digest of the shingle set) and ``shingles``.
+    """``id, n, d1, d2`` (size and digest of the shingle set), ``marks`` and ``shingles``.
+
+    Each shingle flips one of the ``MARK_BITS`` bits of ``marks``, so that two sets differ
+    in at least as many shingles as their marks do in bits.
 
     With ``late`` these are only so many of the first shingles, in the order of their
     hashes but frequent ones last, that two sets of the similarity share one of them.
@@ -370,8 +375,10 @@ def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndar
             ).view(np.int64).reshape(-1, 2)
             whole = np.concatenate([np.zeros(0, np.int64), *sets])
             taken = sizes
+            of = np.repeat(np.arange(len(sets)), sizes)
+            flips = np.bincount(of * MARK_BITS + (whole & MARK_BITS - 1), minlength=len(sets) * MARK_BITS)
+            marks = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
             if late is not None:
-                of = np.repeat(np.arange(len(sets)), sizes)
                 if len(late):
                     is_late = late[np.minimum(np.searchsorted(late, whole), len(late) - 1)] == whole
                     whole = whole[np.lexsort((is_late, of))]  # stable: hashes stay in order
@@ -386,12 +393,16 @@ def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndar
                     pa.array(sizes, pa.int32()),
                     pa.array(np.ascontiguousarray(digests[:, 0])),
                     pa.array(np.ascontiguousarray(digests[:, 1])),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(sets) + 1) * (MARK_BITS // 64), pa.int32()), pa.array(marks)
+                    ),
                     lists,
                 ],
-                ["id", "n", "d1", "d2", "shingles"],
+                ["id", "n", "d1", "d2", "marks", "shingles"],
             )
 
-    return texts.mapInArrow(work, "id bigint, n int, d1 bigint, d2 bigint, shingles array<bigint>")
+    kinds = "id bigint, n int, d1 bigint, d2 bigint, marks array<bigint>, shingles array<bigint>"
+    return texts.mapInArrow(work, kinds)
 
 
 def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
@@ -447,6 +458,17 @@ def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
     return runs.mapInArrow(work, schema)
 
 
+def _possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose ``marks (id, n, marks)`` allow the similarity; none is lost."""
+    side = lambda name: marks.select(
+        F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("marks").alias(f"m_{name}")
+    )
+    bits = F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(bits, F.lit(0), lambda done, x: done + x)
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select("a", "b")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` and the similarity ``s`` of their whole sets."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
@@ -456,7 +478,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _hot_links(
-    hot: DataFrame, sets: DataFrame, sizes: DataFrame, links: DataFrame, similarity: float
+    hot: DataFrame, sets: DataFrame, marks: DataFrame, links: DataFrame, similarity: float
 ) -> DataFrame:
     """``links (a, b)`` and more of them, which connect the members of every shingle of
     ``hot (h, id)`` as all its pairs of the similarity do.
@@ -493,12 +515,12 @@ def _hot_links(
         pairs = across.unionByName(within.select("x", "y"))
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         group = stored(components(links), "near-groups")
-        end = lambda name: sizes.join(group, sizes["id"] == group["node"], "left").select(
+        end = lambda name: marks.join(group, marks["id"] == group["node"], "left").select(
             F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.coalesce("component", "id").alias(f"g_{name}")
         )
         fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
         open_pairs = pairs.join(end("a"), "a").join(end("b"), "b").where(fits & (F.col("g_a") != F.col("g_b")))
-        more = _measured(open_pairs.select("a", "b").distinct(), sets).where(F.col("s") >= similarity)
+        more = _measured(_possible(open_pairs.select("a", "b").distinct(), marks, similarity), sets).where(F.col("s") >= similarity)
         links = stored(links.unionByName(more.select("a", "b")), "near-links")
         hot = stored(rest.join(ending.select("h"), "h", "left_anti"), "near-hot")
         left = hot.count()
@@ -514,8 +536,8 @@ def similar_documents(
     shingles is at least ``similarity``; a group is all that links reach, and
     ``keep_id`` its smallest id.  No link is missed: in any fixed order of shingles, two
     such sets share one of their first ``n - ceil(similarity * n) + 1``.  Documents of
-    equal sets count once; pairs that share such a shingle are measured on the
-    whole sets, those of a shingle of over ``BUCKET`` documents by ``_hot_links``.
+    equal sets count once; pairs that share such a shingle, and whose marks
+    allow it, are measured on the whole sets, those of a shingle of over ``BUCKET`` documents by ``_hot_links``.
 
     Blank texts are alike.  Rows without an id are left alone; of rows with one id
     the smaller set counts.  An empty table gives no rows.
@@ -531,17 +553,20 @@ def similar_documents(
     chosen = least.select(F.col("keep").alias("id"), *of_set)
     chosen_side = F.broadcast(chosen) if is_small(least) else chosen
     single = heads.join(chosen_side, ["id", *of_set], "left_semi")
+    marks = stored(single.select("id", "n", "marks").dropDuplicates(["id"]), "near-marks")
     entries = single.select(F.explode("shingles").alias("h"), "id", "n")
     sharing = stored(_sharing(entries, similarity).distinct(), "near-sharing")
-    pairs = sharing.where("b is not null").select("a", "b")
+    pairs = stored(_possible(sharing.where("b is not null").select("a", "b"), marks, similarity), "near-pairs")
     hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
     members = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
     members = stored(members.distinct(), "near-members")
     wanted = texts.join(F.broadcast(members) if is_small(members) else members, "id", "left_semi")
     whole = _shingle_rows(wanted, words, similarity, None).join(chosen_side, ["id", *of_set], "left_semi")
-    sets = stored(whole.dropDuplicates(["id"]).select("id", "shingles"), "near-sets")
+    repeated = heads.count() != own.count()
+    whole = whole.dropDuplicates(["id"]) if repeated else whole
+    sets = stored(whole.select("id", "shingles"), "near-sets")
     links = stored(_measured(pairs, sets).where(F.col("s") >= similarity).select("a", "b"), "near-links")
-    links = _hot_links(hot, sets, chosen.select("id", "n"), links, similarity)
+    links = _hot_links(hot, sets, marks, links, similarity)
     return (
         components(links.unionByName(equal))
         .where("node <> component")
