@@ -8,125 +8,27 @@ Spark, names the file of every shard; the files of lost attempts are not in it.
 
 from __future__ import annotations
 
-import functools
-import json
-import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SpanMemory, id_and_text, slices
+from tablewright.llm.common import id_and_text, slices
 from tablewright.llm.files import read_all, write_new
 from tablewright.llm.wavelet import WaveletFile, build
+from tablewright.llm.word_bpe import encoder
 from tablewright.session import scratch_path
 
 SHARD_TOKENS = 1 << 22
-#: Distinct words, and half as many parts, that a worker remembers; beyond it the memory starts anew.
-MEMORY = 800_000
-#: Latin words without blanks or control characters: no case or composition rule of
-#: Unicode reaches from one of their characters to another.
-_PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
 
 MANIFEST = "part int, seq int, path string, documents bigint, tokens bigint, bytes bigint"
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer of the ``tokenizers`` library that drops white space.
-
-    Such a tokenizer treats the stretches between blanks one by one, so equal
-    stretches have equal ids.  Where its pre-tokenizer is a regular expression, plain
-    Latin stretches are cut by it into parts, in lower case where the tokenizer has
-    no other, and the library encodes each distinct part once; it gets all other
-    stretches whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self._check()
-        self._read_pattern()
-        self._ids_of_part = SpanMemory(self._encode_parts, MEMORY // 2)
-        self._ids_of = SpanMemory(self._learn, MEMORY)
-
-    def _read_pattern(self) -> None:
-        """The pattern that cuts words into parts, and which ids end a part."""
-        spec = json.loads(self.library.to_str())
-        normal = (spec["normalizer"] or {}).get("normalizers", [])
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        lower = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
-        cut = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0]["behavior"] == "Removed"
-        end = spec["model"].get("end_of_word_suffix")
-        self._pattern = None
-        if lower and cut and end and len(steps) == 2 and not steps[1].get("use_regex", True):
-            self._pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            size = self.library.get_vocab_size(with_added_tokens=True)
-            self._ends = np.array([(self.library.id_to_token(i) or "").endswith(end) for i in range(size)])
-
-    def _check(self) -> None:
-        samples = ["a b", "Ab\ncd 12", "x. y", "é è"]
-        for text in samples:
-            whole = self.library.encode(text, add_special_tokens=False).ids
-            parts = [self.library.encode(w, add_special_tokens=False).ids for w in text.split()]
-            if whole != [i for p in parts for i in p]:
-                raise ValueError("the tokenizer joins words over white space")
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, lengths.sum()), lengths
-
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [bool(_PLAIN(p)) for p in parts]
-        if self._pattern is None or not all(plain):
-            return self._encode(parts)
-        # parts in one text, with blanks between: each ends with an id that ends a word
-        lines = [" ".join(parts[i : i + 100]) for i in range(0, len(parts), 100)]
-        ids, _ = self._encode(lines)
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(parts):
-            return self._encode(parts)
-        return ids, np.diff(ends, prepend=0)
-
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self._pattern is None:
-            return self._encode(words)
-        plain = np.array([bool(_PLAIN(w)) and "<|" not in w for w in words], bool)
-        cut = self._pattern.findall
-        ids, ends = self._ids_of_part([cut(w.lower()) for w, p in zip(words, plain.tolist()) if p])
-        sizes, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        sizes[plain] = np.diff(ends, prepend=0)
-        begin[plain] = ends - sizes[plain]
-        if not plain.all():
-            whole, sizes[~plain] = self._encode([w for w, p in zip(words, plain.tolist()) if not p])
-            begin[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
-            ids = np.concatenate([ids, whole])
-            ids = ids[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-        return ids, sizes
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end_id``, and where each text ends."""
-        ids, ends = self._ids_of([t.replace("\n", " ").split(" ") for t in texts])
-        return np.insert(ids, ends, end_id), ends + np.arange(1, len(texts) + 1)
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """The encoder that this worker keeps for a tokenizer file."""
-    return WordEncoder(path)
-
-
 def write_token_files(
     df: DataFrame,
     model_path: str,
@@ -164,7 +66,7 @@ def write_token_files(
 
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in slices(batches):
-            found, ends = tool.encode(batch.column("text").to_pylist(), end_id)
+            found, ends = tool.encode(batch.column("text"), end_id)
             ids.append(found)
             lengths.append(np.diff(ends, prepend=0))
             names.append(batch.column("id").fill_null(0).to_numpy())

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tablewright.llm import token_store, wavelet
+from tablewright.llm import token_store, wavelet, word_bpe
 from tests.llm.samples import no_documents, odd_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -23,7 +23,7 @@ def test_encoding_equals_the_library(library):
     texts = ["".join(draw.choice(latin) for _ in range(draw.randrange(30))) for _ in range(1_500)]
     texts += ["".join(chr(draw.choice([32, draw.randrange(33, 127), draw.randrange(0x80, 0x400), draw.randrange(1, 0x2FFF)])) for _ in range(draw.randrange(30))) for _ in range(1_500)]
     texts += ["", " ", "a\tb\x1cc\x85d e", "don't WE'LL it's", "<|endoftext|> a<|startoftext|>b", "İstanbul ΑΣ"]
-    ids, ends = token_store.WordEncoder(PATH).encode(texts, 2)
+    ids, ends = word_bpe.WordEncoder(PATH).encode(texts, 2)
     for text, got in zip(texts, np.split(ids, ends[:-1])):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
