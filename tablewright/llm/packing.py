@@ -204,7 +204,8 @@ def place(pieces: DataFrame, budget: int = BUDGET) -> DataFrame:
                 [*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset"],
             )
 
-    ranked = pieces.drop("ids").join(before, ["part", "length"])
+    # shuffled: the table of earlier pieces grows with the tasks, and Spark takes its packed size for small
+    ranked = pieces.drop("ids").join(before.hint("merge"), ["part", "length"])
     ranked = ranked.select(
         "id", "piece", "start", "length", "ids_crc32", "part", "nth", (F.col("nth") + F.col("before")).alias("rank")
     )
