@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -37,6 +38,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+Scratch = Callable[[DataFrame, str], DataFrame]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Store tables like ``stored`` that are deleted at the end of the block."""
+    root = scratch_path(spark, "scratch")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    try:
+        yield keep
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a stored table: may it be broadcast?"""
     return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes

@@ -28,11 +28,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, union_all
-from tablewright.llm.common import id_and_text, is_small, slices, stored, without
+from tablewright.llm.common import Scratch, id_and_text, is_small, scratch, slices, stored, without
 
 SEED = 42
 DISTANCE = 3
@@ -42,9 +42,7 @@ FREE = 8
 #: frequent, and how many are taken.  They decide the order of shingles, never the result.
 ORDER_SAMPLE = 8_000
 ORDER_COUNT = 4
-ORDER_LIMIT = 100_000
-#: Bits of the marks that tell most pairs apart before their whole sets are compared.
-MARK_BITS = 1_024
+ORDER_LIMIT = 200_000
 _PAIRS_AT_ONCE = 500_000
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -140,13 +138,13 @@ def _indexed(members: DataFrame, keys: list[str], level: int, width: int, parts:
     return members.select("fp", *keys, F.inline(F.concat(*entries)))
 
 
-def _pairs(indexed: DataFrame, keys: list[str], by: list[str], distance: int) -> DataFrame:
+def _pairs(indexed: DataFrame, keys: list[str], distance: int) -> DataFrame:
     """Verified links among members with equal signatures, each pair once per signature."""
     left = indexed.select(F.col("fp").alias("a"), *keys)
     right = indexed.select(F.col("fp").alias("b"), *keys)
     joined = left.join(right, keys).where("a < b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return joined.where(near).select(*by, "a", "b")
+    return joined.where(near).select("a", "b")
 
 
 def _spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -164,16 +162,11 @@ def _spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return found
 
 
-def _forest(
-    indexed: DataFrame, keys: list[str], by: list[str], distance: int, largest: int | None
-) -> DataFrame:
-    """Spanning forest of the links inside each signature: ``(*keys, a, b)``.
+def _forest(indexed: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """Spanning forest of the links inside each signature: ``a, b``.
 
-    A signature of more than ``largest`` members gives one row without ``a`` and
-    ``b`` instead; of such a run no more than that many members are held.
+    The members of a signature, bounded by the bits that are still free, are held together.
     """
-    kinds = dict(indexed.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", a bigint, b bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = None, []
@@ -197,35 +190,21 @@ def _forest(
                 last = int(starts[-1])
                 done, held = done.slice(0, last), done.slice(last)
                 starts = starts[:-1]
-                if largest is not None and held.num_rows > largest + 1:
-                    held = held.slice(0, largest + 1)  # known to be hot
             sizes = np.diff(starts, append=done.num_rows)
             fps = done.column("fp").to_numpy()
             bits = fps.view(np.uint64)
-            hot = sizes > largest if largest is not None else np.zeros(len(sizes), bool)
             two = starts[sizes == 2]
             two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= distance]
             links = list(zip(two.tolist(), (two + 1).tolist()))
-            more = (sizes > 2) & ~hot
-            for start, size in zip(starts[more].tolist(), sizes[more].tolist()):
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 links += [(start + i, start + j) for i, j in _spanning(bits[start : start + size], distance)]
             ends = np.array(links, np.int64).reshape(-1, 2)
-            rows = pa.array(np.concatenate([ends[:, 0], starts[hot]]))
-            missing = np.r_[np.zeros(len(ends), bool), np.ones(int(hot.sum()), bool)]
             a, b = fps[ends[:, 0]], fps[ends[:, 1]]
-            nothing = np.zeros(int(hot.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(done.column(c).take(rows) for c in keys),
-                    pa.array(np.r_[np.minimum(a, b), nothing], mask=missing),
-                    pa.array(np.r_[np.maximum(a, b), nothing], mask=missing),
-                ],
-                [*keys, "a", "b"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     # the smallest fingerprint comes first, so that many signatures agree on their links
     runs = indexed.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return runs.mapInArrow(work, schema)
+    return runs.mapInArrow(work, "a bigint, b bigint")
 
 
 def _index_all(members: DataFrame, keys: list[str], level: int, widths: set[int], parts: int) -> DataFrame:
@@ -235,50 +214,39 @@ def _index_all(members: DataFrame, keys: list[str], level: int, widths: set[int]
     return union_all(tables)
 
 
-def links(
-    distinct: DataFrame, distance: int = DISTANCE, by: list[str] | None = None, all_pairs: bool = True
-) -> DataFrame:
-    """Links ``(*by, a, b)`` that connect the distinct fingerprints ``fp`` of each ``by`` as
-    all pairs within the distance do: these pairs by an equality join, or with
-    ``all_pairs=False`` a spanning forest of each signature."""
-    by = by or []
+def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links ``a, b`` that connect the distinct fingerprints ``fp`` as all pairs within the distance do."""
     parts = distance // 2 + 1
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = distinct.select(*by, "fp", F.col("fp").alias("free"), F.lit(64).alias("left")).repartition(tasks)
-    keys, widths, level = list(by), {64}, 0
+    members = distinct.select("fp", F.col("fp").alias("free"), F.lit(64).alias("left")).repartition(tasks)
+    keys: list[str] = []
+    widths, level = {64}, 0
     found: list[DataFrame] = []
     while True:
         indexed = _index_all(members, keys, level, widths, parts)
         keys = [*keys, f"t{level}", f"r{level}"]
         widths = {width - own for width in widths for own in _widths(width, parts)}
-        last = max(widths) <= FREE
-        if all_pairs:
-            counted = indexed.groupBy(*keys).count().where(F.col("count") > BUCKET)
-            hot = stored(counted.select(*keys), "simhash-hot")
-            if hot.isEmpty():
-                found.append(_pairs(indexed, keys, by, distance))
-                break
-            cool = indexed.join(F.broadcast(hot) if is_small(hot) else hot, keys, "left_anti")
-            found.append(_pairs(cool, keys, by, distance))
-        elif not last:
-            tried = stored(_forest(indexed, keys, by, distance, BUCKET), "simhash-links")
-            found.append(tried.where("a is not null").select(*by, "a", "b"))
-            hot = stored(tried.where("a is null").select(*keys), "simhash-hot")
-            if hot.isEmpty():
-                break
-        if last:
-            if all_pairs:
-                indexed = indexed.join(F.broadcast(hot) if is_small(hot) else hot, keys, "left_semi")
-            found.append(_forest(indexed, keys, by, distance, None).select(*by, "a", "b"))
+        counted = indexed.groupBy(*keys).count().where(F.col("count") > BUCKET)
+        hot = stored(counted.select(*keys), "simhash-hot")
+        if hot.isEmpty():
+            found.append(_pairs(indexed, keys, distance))
+            break
+        hot = F.broadcast(hot) if is_small(hot) else hot
+        found.append(_pairs(indexed.join(hot, keys, "left_anti"), keys, distance))
+        members = indexed.join(hot, keys, "left_semi")
+        if max(widths) <= FREE:
+            found.append(_forest(members, keys, distance))
             break
-        members = indexed.join(F.broadcast(hot) if is_small(hot) else hot, keys, "left_semi")
         members = stored(members, "simhash-members").repartition(tasks)
         level += 1
     return union_all(found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``edges (a, b)``: the smallest node it reaches."""
+    """``node, component`` for every node of ``edges (a, b)``: the smallest node it reaches.
+
+    Edges with a null end, and of a node with itself, are left out.
+    """
     edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "components-0",
@@ -341,8 +309,19 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64)).view(np.int64)
 
 
-def _late_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequent shingles of a sample of ``texts (id, text)``, sorted."""
+#: Hashes of frequent shingles, sorted, and how frequent each is: they come last, the most frequent at the end.
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def _frequent_first_out(counted: DataFrame) -> Order:
+    """The order that ``counted (h, count)`` asks for, of its ``ORDER_LIMIT`` most frequent shingles."""
+    rows = counted.orderBy(F.desc("count"), "h").limit(ORDER_LIMIT).collect()
+    rows.sort(key=lambda r: r["h"])
+    return np.array([r["h"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+
+
+def _sampled_order(texts: DataFrame, words: int) -> Order:
+    """Frequent shingles of a sample of ``texts (id, text)``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -352,18 +331,54 @@ def _late_shingles(texts: DataFrame, words: int) -> np.ndarray:
     share = min(1.0, ORDER_SAMPLE / max(1, texts.count()))
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     counted = sample.mapInArrow(work, "h bigint").groupBy("h").count().where(F.col("count") >= ORDER_COUNT)
-    rows = counted.orderBy(F.desc("count"), "h").limit(ORDER_LIMIT).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64))
+    return _frequent_first_out(counted)
 
 
-def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndarray | None) -> DataFrame:
-    """``id, n, d1, d2`` (size and digest of the shingle set), ``marks`` and ``shingles``.
+def _prefixes(whole: np.ndarray, sizes: np.ndarray, similarity: float, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set, so many that two sets of the similarity share one, and their numbers.
+
+    ``whole`` holds the sets one after another, each sorted.
+    """
+    late, counts = order
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, whole), len(late) - 1)
+        frequent = np.where(late[at] == whole, counts[at], 0)
+        whole = whole[np.lexsort((frequent, of))]  # stable: equally frequent ones stay in order of their hashes
+    taken = np.clip(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 1, sizes)
+    place = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return whole[place < taken[of]], taken
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
+
+
+def marks_of(shingles: np.ndarray) -> bytes:
+    """Parity marks: each shingle flips one of two to four times as many bits as there are shingles.
 
-    Each shingle flips one of the ``MARK_BITS`` bits of ``marks``, so that two sets differ
-    in at least as many shingles as their marks do in bits.
+    Two sets differ in at least as many shingles as their marks do in bits.  The marks
+    of a larger set, folded in half, are what the set would have in half as many bits.
+    """
+    bits = max(64, 2 << (len(shingles) - 1).bit_length())
+    flips = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def marks_apart(a: bytes, b: bytes) -> int:
+    """Least number of shingles in which two sets with these marks differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _shingle_rows(texts: DataFrame, words: int, similarity: float, order: Order | None) -> DataFrame:
+    """``id, n, d1, d2`` (size and digest of the shingle set), ``marks`` and ``shingles``.
 
-    With ``late`` these are only so many of the first shingles, in the order of their
-    hashes but frequent ones last, that two sets of the similarity share one of them.
+    With an ``order`` the shingles are only the first ones, see ``_prefixes``.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,43 +388,48 @@ def _shingle_rows(texts: DataFrame, words: int, similarity: float, late: np.ndar
             digests = np.array(
                 [[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64
             ).view(np.int64).reshape(-1, 2)
-            whole = np.concatenate([np.zeros(0, np.int64), *sets])
-            taken = sizes
-            of = np.repeat(np.arange(len(sets)), sizes)
-            flips = np.bincount(of * MARK_BITS + (whole & MARK_BITS - 1), minlength=len(sets) * MARK_BITS)
-            marks = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
-            if late is not None:
-                if len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, whole), len(late) - 1)] == whole
-                    whole = whole[np.lexsort((is_late, of))]  # stable: hashes stay in order
-                taken = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-                taken = np.clip(taken, 1, sizes)
-                place = np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                whole = whole[place < taken[of]]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(taken)], pa.int32()), pa.array(whole))
+            whole, taken = np.concatenate([np.zeros(0, np.int64), *sets]), sizes
+            if order is not None:
+                whole, taken = _prefixes(whole, sizes, similarity, order)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(sizes, pa.int32()),
                     pa.array(np.ascontiguousarray(digests[:, 0])),
                     pa.array(np.ascontiguousarray(digests[:, 1])),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(sets) + 1) * (MARK_BITS // 64), pa.int32()), pa.array(marks)
-                    ),
-                    lists,
+                    pa.array([marks_of(s) for s in sets], pa.binary()),
+                    _lists(whole, taken),
                 ],
                 ["id", "n", "d1", "d2", "marks", "shingles"],
             )
 
-    kinds = "id bigint, n int, d1 bigint, d2 bigint, marks array<bigint>, shingles array<bigint>"
+    kinds = "id bigint, n int, d1 bigint, d2 bigint, marks binary, shingles array<bigint>"
     return texts.mapInArrow(work, kinds)
 
 
-def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of ``entries (h, id, n)`` that share a shingle and whose sizes allow the
-    similarity.  All members of a shingle of more than ``BUCKET`` come as ``h, a`` instead.
+def _ordered_anew(sets: DataFrame, similarity: float, order: Order) -> DataFrame:
+    """``id, n, shingles`` of whole sets, cut to the first shingles of another order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            whole, taken = _prefixes(lists.flatten().to_numpy(), sizes, similarity, order)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), _lists(whole, taken)], ["id", "n", "shingles"])
+
+    return sets.select("id", "n", "shingles").mapInArrow(work, "id bigint, n int, shingles array<bigint>")
+
+
+def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` of ``heads (id, n, shingles)`` that share a shingle, whose sizes and the
+    shingle's place in both allow the similarity.  All members of a shingle of more than
+    ``BUCKET`` come as ``h, a`` instead.
+
+    The first shingle that two sets share has all others behind it in both, so at least
+    one shared shingle of a pair of the similarity passes.
     """
     schema = "h bigint, a bigint, b bigint"
+    share = similarity / (1 + similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot_key, waiting = None, None, []
@@ -426,7 +446,7 @@ def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
             waiting = []
             if not rows.num_rows:
                 continue
-            h, ids, n = (rows.column(c).to_numpy() for c in ("h", "id", "n"))
+            h, ids, n, pos = (rows.column(c).to_numpy() for c in ("h", "id", "n", "pos"))
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             sizes = np.diff(starts, append=len(h))
             hot = sizes > BUCKET
@@ -448,25 +468,38 @@ def _sharing(entries: DataFrame, similarity: float) -> DataFrame:
                     left = (begin[k : k + step, None] + i).ravel()
                     right = (begin[k : k + step, None] + j).ravel()
                     fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
+                    common = np.minimum(n[left] - pos[left], n[right] - pos[right])
+                    fits &= common >= share * (n[left] + n[right]) - 1e-9
                     fits &= ids[left] != ids[right]
-                    a, b = ids[left[fits]], ids[right[fits]]
+                    both = np.unique(np.stack([ids[left[fits]], ids[right[fits]]], 1), axis=0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["h", "a", "b"]
+                        [pa.nulls(len(both), pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                        ["h", "a", "b"],
                     )
 
+    entries = heads.select(F.posexplode("shingles").alias("pos", "h"), "id", "n")
     runs = entries.repartition("h").sortWithinPartitions("h", "id")
-    return runs.mapInArrow(work, schema)
+    return runs.mapInArrow(work, schema).distinct()
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose ``marks (id, n, marks)`` allow the similarity; none is lost."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
+            most = both * ((1 - similarity) / (1 + similarity)) + 1e-6
+            apart = map(marks_apart, batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist())
+            keep = np.fromiter(apart, np.int64, batch.num_rows) <= most
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"]
+            )
+
     side = lambda name: marks.select(
         F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("marks").alias(f"m_{name}")
     )
-    bits = F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differing = F.aggregate(bits, F.lit(0), lambda done, x: done + x)
-    most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select("a", "b")
+    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    return known.select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -478,52 +511,56 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _hot_links(
-    hot: DataFrame, sets: DataFrame, marks: DataFrame, links: DataFrame, similarity: float
+    hot: DataFrame, sets: DataFrame, marks: DataFrame, links: DataFrame, similarity: float, keep: Scratch
 ) -> DataFrame:
     """``links (a, b)`` and more of them, which connect the members of every shingle of
     ``hot (h, id)`` as all its pairs of the similarity do.
 
-    In rounds the smallest member of each shingle is measured against the others.  One
-    minus the similarity is a distance: a member that links with the smallest one can
-    link only with members within twice the distance of it.  These pairs are
-    measured; members that do not link go on among themselves.
+    In rounds a few members of each shingle, its centres, are measured against the
+    others: one at first, twice as many each time.  One minus the similarity is a
+    distance: a member that links with a centre can link only with members within
+    twice the distance of it, and only these are measured with it, unless links
+    connect them already.  Members that link with no centre go on among themselves;
+    the last ``BUCKET`` are measured in pairs.
     """
     reach = 1 - similarity
-    left = hot.count()
-    while left:
-        first = hot.groupBy("h").agg(F.min("id").alias("a"))
+    centres = 1
+    while not hot.isEmpty():
+        some = Window.partitionBy("h").orderBy("id")
+        first = hot.withColumn("place", F.row_number().over(some)).where(F.col("place") <= centres)
+        first = keep(first.select("h", F.col("id").alias("a")), "centres")
         spokes = hot.join(first, "h").where("id <> a").select("h", "a", F.col("id").alias("b"))
-        spokes = stored(spokes, "near-spokes")
-        measured = stored(_measured(spokes.select("a", "b").distinct(), sets), "near-measured")
+        spokes = keep(spokes, "spokes")
+        open_ = keep(_possible(spokes.select("a", "b").distinct(), marks, 1 - 2 * reach), "open")
+        measured = keep(_measured(open_, sets).where(F.col("s") >= 1 - 2 * reach - 1e-9), "measured")
         linked = measured.where(F.col("s") >= similarity)
-        links = stored(links.unionByName(linked.select("a", "b")).distinct(), "near-links")
-        ring = measured.where((F.col("s") < similarity) & (F.col("s") >= 1 - 2 * reach - 1e-9))
+        links = keep(links.unionByName(linked.select("a", "b")).distinct(), "links")
+        group = keep(components(links), "groups")
+        of = lambda name: group.select(F.col("node").alias(name), F.col("component").alias(f"g_{name}"))
+        ring = measured.where(F.col("s") < similarity).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ring = ring.where(~F.col("g_a").eqNullSafe(F.col("g_b")))
         across = (
             linked.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("s").alias("sx"))
             .join(ring.select(F.col("a").alias("c"), F.col("b").alias("y"), F.col("s").alias("sy")), "c")
             .where(F.col("sx") - F.col("sy") <= reach + 1e-9)
             .select("x", "y")
         )
-        rest = spokes.join(measured, ["a", "b"]).where(F.col("s") < similarity)
-        rest = stored(rest.select("h", F.col("b").alias("id")), "near-rest")
-        counted = stored(rest.groupBy("h").count(), "near-counts")
-        now = rest.count()
-        # few members, or hardly any that linked: all pairs of what is left
-        ending = counted if 2 * now > left else counted.where(F.col("count") <= BUCKET)
-        members = rest.join(ending.select("h"), "h", "left_semi")
+        tied = spokes.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("h", F.col("b").alias("id"))
+        settled = tied.unionByName(first.select("h", F.col("a").alias("id"))).distinct()
+        rest = keep(hot.join(settled, ["h", "id"], "left_anti"), "rest")
+        counted = keep(rest.groupBy("h").count(), "counts")
+        few = counted.where(F.col("count") <= BUCKET).select("h")
+        members = rest.join(few, "h", "left_semi")
         within = members.select("h", F.col("id").alias("x")).join(members.select("h", F.col("id").alias("y")), "h")
-        pairs = across.unionByName(within.select("x", "y"))
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        group = stored(components(links), "near-groups")
-        end = lambda name: marks.join(group, marks["id"] == group["node"], "left").select(
-            F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.coalesce("component", "id").alias(f"g_{name}")
-        )
-        fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-        open_pairs = pairs.join(end("a"), "a").join(end("b"), "b").where(fits & (F.col("g_a") != F.col("g_b")))
-        more = _measured(_possible(open_pairs.select("a", "b").distinct(), marks, similarity), sets).where(F.col("s") >= similarity)
-        links = stored(links.unionByName(more.select("a", "b")), "near-links")
-        hot = stored(rest.join(ending.select("h"), "h", "left_anti"), "near-hot")
-        left = hot.count()
+        pairs = across.unionByName(within.where("x < y").select("x", "y"))
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = apart.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).select("a", "b")
+        more = keep(_possible(apart, marks, similarity), "apart")
+        more = _measured(more, sets).where(F.col("s") >= similarity)
+        links = keep(links.unionByName(more.select("a", "b")), "links")
+        hot = keep(rest.join(few, "h", "left_anti"), "hot")
+        centres *= 2
     return links
 
 
@@ -536,48 +573,67 @@ def similar_documents(
     shingles is at least ``similarity``; a group is all that links reach, and
     ``keep_id`` its smallest id.  No link is missed: in any fixed order of shingles, two
     such sets share one of their first ``n - ceil(similarity * n) + 1``.  Documents of
-    equal sets count once; pairs that share such a shingle, and whose marks
-    allow it, are measured on the whole sets, those of a shingle of over ``BUCKET`` documents by ``_hot_links``.
+    equal sets count once.  Pairs that share such a shingle, and whose sizes, marks and
+    places of the shingle allow it, are measured on the whole sets.
+
+    Documents that share a shingle with over ``BUCKET`` others there are ordered anew, by
+    how frequent shingles are among these documents alone, as long as that leaves at
+    most half of them; the rest is solved by ``_hot_links``.
 
-    Blank texts are alike.  Rows without an id are left alone; of rows with one id
-    the smaller set counts.  An empty table gives no rows.
+    Blank texts are alike.  Rows without an id are left alone; rows of one id are one
+    document, of which the smaller set counts.  An empty table gives no rows.
+    Intermediate tables are deleted before the result is returned.
     """
-    texts = id_and_text(df, id_col, text_col).where("id is not null")
-    late = _late_shingles(texts, words)
-    of_set = ["n", "d1", "d2"]
-    heads = stored(_shingle_rows(texts, words, similarity, late), "near-heads")
-    own = heads.groupBy("id").agg(F.min(F.struct(*of_set)).alias("own")).select("id", "own.*")
-    own = stored(own, "near-own")
-    least = stored(own.groupBy(*of_set).agg(F.min("id").alias("keep")), "near-distinct")
-    equal = own.join(least, of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
-    chosen = least.select(F.col("keep").alias("id"), *of_set)
-    chosen_side = F.broadcast(chosen) if is_small(least) else chosen
-    single = heads.join(chosen_side, ["id", *of_set], "left_semi")
-    marks = stored(single.select("id", "n", "marks").dropDuplicates(["id"]), "near-marks")
-    entries = single.select(F.explode("shingles").alias("h"), "id", "n")
-    sharing = stored(_sharing(entries, similarity).distinct(), "near-sharing")
-    pairs = stored(_possible(sharing.where("b is not null").select("a", "b"), marks, similarity), "near-pairs")
-    hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
-    members = stored(members.distinct(), "near-members")
-    wanted = texts.join(F.broadcast(members) if is_small(members) else members, "id", "left_semi")
-    whole = _shingle_rows(wanted, words, similarity, None).join(chosen_side, ["id", *of_set], "left_semi")
-    repeated = heads.count() != own.count()
-    whole = whole.dropDuplicates(["id"]) if repeated else whole
-    sets = stored(whole.select("id", "shingles"), "near-sets")
-    links = stored(_measured(pairs, sets).where(F.col("s") >= similarity).select("a", "b"), "near-links")
-    links = _hot_links(hot, sets, marks, links, similarity)
-    return (
-        components(links.unionByName(equal))
-        .where("node <> component")
-        .select(F.col("node").alias("id"), F.col("component").alias("keep_id"))
-    )
+    with scratch(df.sparkSession) as keep:
+        texts = id_and_text(df, id_col, text_col).where("id is not null")
+        of_set = ["n", "d1", "d2"]
+        heads = keep(_shingle_rows(texts, words, similarity, _sampled_order(texts, words)), "heads")
+        own = heads.groupBy("id").agg(F.min(F.struct(*of_set)).alias("own")).select("id", "own.*")
+        own = keep(own, "own")
+        repeated = heads.count() != own.count()
+        least = keep(own.groupBy(*of_set).agg(F.min("id").alias("keep")), "distinct")
+        equal = own.join(least, of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
+        chosen = least.select(F.col("keep").alias("id"), *of_set)
+        chosen = F.broadcast(chosen) if is_small(least) else chosen
+
+        def once(rows: DataFrame) -> DataFrame:
+            rows = rows.join(chosen, ["id", *of_set], "left_semi")
+            return rows.dropDuplicates(["id"]) if repeated else rows
+
+        def whole_sets(ids: DataFrame, name: str) -> DataFrame:
+            wanted = texts.join(F.broadcast(ids) if is_small(ids) else ids, "id", "left_semi")
+            return keep(once(_shingle_rows(wanted, words, similarity, None)).select("id", "n", "shingles"), name)
+
+        marks = once(heads).select("id", "n", "marks")
+        sharing = keep(_sharing(once(heads), similarity), "sharing")
+        alike = [sharing.where("b is not null").select("a", "b")]
+        hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
+        before, now = None, hot.count()
+        while now and (before is None or 2 * now <= before):
+            sets = whole_sets(keep(hot.select("id").distinct(), "hot-members"), "hot-sets")
+            counted = sets.select(F.explode("shingles").alias("h")).groupBy("h").count()
+            order = _frequent_first_out(counted.where(F.col("count") > 1))
+            sharing = keep(_sharing(_ordered_anew(sets, similarity, order), similarity), "sharing")
+            alike.append(sharing.where("b is not null").select("a", "b"))
+            hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
+            before, now = now, hot.count()
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        pairs = keep(_possible(union_all(alike).select(*ends).distinct(), marks, similarity), "pairs")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
+        sets = whole_sets(keep(members.distinct(), "members"), "sets")
+        links = keep(_measured(pairs, sets).where(F.col("s") >= similarity).select("a", "b"), "links")
+        links = _hot_links(hot, sets, marks, links, similarity, keep)
+        found = components(links.unionByName(equal)).where("node <> component")
+        return stored(found.select(F.col("node").alias("id"), F.col("component").alias("keep_id")), "near-copies")
 
 
 def keep_one_of_each(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``df`` with all its columns, less the rows of ``similar_documents``."""
+    """``df`` with all its columns, less the rows of ``similar_documents``.
+
+    Rows that share an id go together, whatever their texts.
+    """
     found = similar_documents(df, id_col, text_col, words, similarity)
     dropped = stored(found.select("id").distinct(), "near-dropped")
     return without(df, dropped, {"id": col(id_col).cast("bigint")})
