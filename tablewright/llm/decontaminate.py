@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
-from tablewright.llm.common import SpanMemory, id_and_text, is_small, slices, stored, without
+from tablewright.llm.byte_runs import LATIN, MARK, UnitMemory, classes, cut_units, joined
+from tablewright.llm.common import id_and_text, is_small, slices, stored, text_or_empty, without
 
 WINDOW = 8
 #: Fewest words of a window that are not slots, as a share of the window.
 LITERAL_SHARE = 0.5
-#: Items with fewer words than this say too little to be searched for.
-LEAST_WORDS = 3
+#: Items with fewer words than this are not searched for.
+LEAST_WORDS = 1
 #: Share of an item's windows that makes a document contaminated.
 LEAST_SHARE = 0.3
 #: So many consecutive windows of an item do as well, whatever their share.
@@ -69,7 +70,9 @@ _NUMBER, _CAPITAL, _UNIT, _ENDS, _SYMBOL = 1, 2, 4, 8, 16
 _VALUES = np.dtype([("word", "<u8"), ("flags", "u1")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EXACT = np.uint64(0xD6E8FEB86659FD93)
-_MEMORY = 300_000
+#: Words of ASCII letters, Latin-1 letters and marks are cut on their bytes; the pattern cuts the others.
+_KINDS = classes(blank="\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ", other="0123456789'/%$")
+_ENDING = np.isin(np.arange(256), [ord(c) for c in ".!?:;"])
 
 
 def _code(word: str) -> int:
@@ -79,23 +82,33 @@ def _code(word: str) -> int:
 _SLOTS = {kind: np.uint64(_code(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
-def _learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each white-space word: hash of the lower-case token, and flags."""
+def _flags(lower: str) -> int:
+    flags = _NUMBER if lower[0].isdigit() or lower in NUMBER_WORDS else 0
+    return flags | (_UNIT if lower in UNIT_WORDS else 0)
+
+
+def _learn_runs(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters in lower case: hash and flags of each."""
+    found = [(xxhash.xxh64_intdigest(run), _flags(run.decode())) for run in runs]
+    return np.array(found, _VALUES), np.ones(len(runs), np.int64)
+
+
+def _learn_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each word: hash of the lower-case token, and flags."""
     found: list[tuple[int, int]] = []
     counts = np.zeros(len(words), np.int64)
-    for i, raw in enumerate(words):
-        end = 0
-        for match in _TOKEN.finditer(raw):
-            token, end = match[0], match.end()
-            lower = token.lower()
-            flags = _NUMBER if token[0].isdigit() or lower in NUMBER_WORDS else 0
-            flags |= _UNIT if lower in UNIT_WORDS else 0
-            flags |= _SYMBOL if token in "%°$€£¥" else 0
-            flags |= _CAPITAL if token[0].isupper() and len(token) > 1 else 0
-            found.append((_code(lower), flags))
-            counts[i] += 1
-        if counts[i] and any(c in ".!?:;…" for c in raw[end:]):
-            found[-1] = (found[-1][0], found[-1][1] | _ENDS)
+    for i, word in enumerate(words):
+        for raw in word.decode("utf-8", "replace").split():
+            end = None
+            for match in _TOKEN.finditer(raw):
+                token, end = match[0], match.end()
+                lower = token.lower()
+                flags = _flags(lower) | (_SYMBOL if token in "%°$€£¥" else 0)
+                flags |= _CAPITAL if token[0].isupper() and len(token) > 1 else 0
+                found.append((_code(lower), flags))
+                counts[i] += 1
+            if end is not None and any(c in ".!?:;…" for c in raw[end:]):
+                found[-1] = (found[-1][0], found[-1][1] | _ENDS)
     return np.array(found, _VALUES), counts
 
 
@@ -106,12 +119,34 @@ class Templates:
     """Template windows of texts, remembering the words of earlier texts."""
 
     def __init__(self) -> None:
-        self._tokens = SpanMemory(_learn, _MEMORY)
-
-    def forms(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        self._memory = UnitMemory(_learn_runs, _learn_words)
+
+    def _tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags of the tokens of all texts, and where each text ends."""
+        data, begins = joined(texts)
+        starts, ends, plain, low = cut_units(data, begins, _KINDS)
+        mark = plain & (_KINDS[data[starts]] == MARK)
+        at = np.flatnonzero(~mark)
+        numbers = self._memory.numbers(data, low, starts[at], ends[at], plain[at])
+        tokens, before = self._memory.spread(numbers)
+        # what depends on the place of a run of letters: a capital, and an end of sentence after it
+        tight = np.r_[starts[1:] == ends[:-1], False]  # in one word with the next unit (or at a text's end)
+        if len(starts):
+            tight[np.searchsorted(starts, begins[1:-1][begins[1:-1] < begins[-1]]) - 1] = False
+        ending = np.r_[0, np.cumsum(_ENDING[data[: begins[-1]]])]
+        stops = mark & ~tight & (ending[ends] > ending[starts])
+        last = tight & np.r_[stops[1:], False]
+        first, length = data[starts[at]], (ends - starts)[at]
+        latin = first == LATIN
+        capital = np.where(latin, (low[starts[at] + 1] != data[starts[at] + 1]) & (length > 2), (first != low[starts[at]]) & (length > 1))
+        extra = (capital * _CAPITAL | last[at] * _ENDS) * plain[at]
+        tokens["flags"] |= np.repeat(extra, np.diff(before)).astype(np.uint8)
+        return tokens, before[np.searchsorted(starts[at], begins[1:])]
+
+    def forms(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For form 0 (plain) and 1 (names are slots): text index, template code, slot
         value and slot mark of every word; form 1 holds only texts with names."""
-        tokens, ends = self._tokens([t.split() for t in texts])
+        tokens, ends = self._tokens(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
         flags, word = tokens["flags"], tokens["word"]
         same = np.r_[False, of[1:] == of[:-1]] if len(of) else np.zeros(0, bool)
@@ -141,7 +176,7 @@ class Templates:
             (number | unit | name)[first][mask],
         )
 
-    def windows(self, texts: list[str], lengths: list[int], accept=None) -> dict[str, list]:
+    def windows(self, texts: pa.Array, lengths: list[int], accept=None) -> dict[str, list]:
         """Windows of the given lengths: text index, form, length, position, hash, slot values,
         and whether the window is exact (then it has no slots).
 
@@ -190,9 +225,11 @@ _WINDOWS = "id bigint, form int, length int, pos int, hash bigint, slots array<b
 _templates: list[Templates] = []
 
 
-def _scan(rows: DataFrame, lengths: list[int] | None, filters: list[bytes] | None) -> DataFrame:
+def _scan(
+    rows: DataFrame, lengths: list[int] | None, filters: list[bytes] | None = None, least: int = LEAST_WORDS
+) -> DataFrame:
     """Template windows of ``rows (id, text)``; without lengths, of each text's own length
-    up to ``WINDOW``.  ``words`` is the number of windows of the text in that form."""
+    up to ``WINDOW``, and of none with fewer words than ``least``.  ``words`` is the number of windows of the text in that form."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _templates:
@@ -204,12 +241,13 @@ def _scan(rows: DataFrame, lengths: list[int] | None, filters: list[bytes] | Non
             mask, shift = np.uint64((1 << FILTER_BITS) - 1), np.uint64(FILTER_BITS)
             accept = lambda h: low[h & mask] & high[(h >> shift) & mask]
         for batch in slices(batches):
-            texts, ids = batch.column("text").to_pylist(), batch.column("id")
+            texts, ids = batch.column("text"), batch.column("id")
             if lengths is None:
                 found = {k: [] for k in _COLUMNS}
-                for i, text in enumerate(texts):
-                    for form, of, *_ in tool.forms([text]):
-                        own = tool.windows([text], [min(WINDOW, len(of))]) if len(of) >= LEAST_WORDS else {}
+                for i in range(len(texts)):
+                    text = texts.slice(i, 1)
+                    for form, of, *_ in tool.forms(text):
+                        own = tool.windows(text, [min(WINDOW, len(of))]) if len(of) >= least else {}
                         for k, column in own.items():
                             found[k] += [
                                 i if k == "text" else x for x, f in zip(column, own["form"]) if f == form
@@ -257,6 +295,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     least_share: float = LEAST_SHARE,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
@@ -267,10 +306,11 @@ def contaminated(
     ``LEAST_RUN`` consecutive ones.
 
     Null and blank texts match nothing, on either side; nor do items under
-    ``LEAST_WORDS`` words.  Rows of one id are judged together; null ids are one id.
+    ``least_words`` words.  Items of one and two words are searched for as exact windows,
+    that is wherever their words stand.  Rows of one id are judged together; null ids are one id.
     An empty table on either side gives no rows.
     """
-    items = stored(_scan(id_and_text(benchmark, item_col, item_text_col), None, None), "benchmark-windows")
+    items = stored(_scan(id_and_text(benchmark, item_col, item_text_col), None, least=max(1, least_words)), "benchmark-windows")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW
     place = F.struct("pos", "hash")
     sizes = items.groupBy("id", "form").agg(
@@ -352,6 +392,12 @@ def contaminated(
 def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``df`` with all its columns, less the documents that hold a benchmark item."""
-    found = stored(contaminated(df, benchmark, id_col, text_col).select("id").distinct(), "contaminated")
-    return without(df, found, {"id": col(id_col).cast("bigint")})
+    """``df`` with all its columns, less the documents that hold a benchmark item.
+
+    Each text is judged by itself: rows that share an id, or have none, go only where
+    their own text holds an item.  A row is known by a 64-bit hash of its id and text.
+    """
+    key = F.xxhash64(col(id_col).cast("bigint"), text_or_empty(text_col))
+    rows = df.select(key.alias("key"), text_or_empty(text_col).alias("text"))
+    found = stored(contaminated(rows, benchmark, "key").select("id").distinct(), "contaminated")
+    return without(df, found, {"id": key})

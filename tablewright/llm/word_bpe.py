@@ -18,32 +18,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from tablewright.llm.byte_runs import LONGEST, RunTable, joined, keys_at
-
-#: Units that a worker remembers; beyond them, or beyond the bytes of long ones, the memory starts anew.
-MEMORY = 1_000_000
-MEMORY_BYTES = 64 << 20
+from tablewright.llm.byte_runs import UnitMemory, classes, cut_units, joined
 
 #: Fixed value: the word pattern whose cuts this module makes on bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
-
-
-def _classes() -> np.ndarray:
-    kinds = np.full(256, _OTHER, np.uint8)
-    for code in range(0x21, 0x7F):
-        char = chr(code)
-        kinds[code] = _LETTER if char.isalpha() else _DIGIT if char.isdigit() else _MARK
-    kinds[[ord(" "), ord("\n")]] = _BLANK
-    kinds[[ord("'"), ord("|")]] = _OTHER
-    return kinds
-
-
-_KIND = _classes()
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: First byte of the UTF-8 form of U+00C0 to U+00FF, and the second bytes that are no letters.
-_LATIN, _TIMES, _DIVIDED = 0xC3, 0x97, 0xB7
+_KINDS = classes(blank=" \n", other="'|", single="0123456789")
 
 
 class WordEncoder:
@@ -57,7 +37,7 @@ class WordEncoder:
         self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self._check()
         self._read_pattern()
-        self._forget()
+        self._memory = UnitMemory(self._encode_units, self._encode)
 
     def _read_pattern(self) -> None:
         """Does the tokenizer cut words as this module does, and which ids end a unit?"""
@@ -82,121 +62,26 @@ class WordEncoder:
             if whole != [i for p in parts for i in p]:
                 raise ValueError("the tokenizer joins words over white space")
 
-    def _forget(self) -> None:
-        """Empty the memory: what is kept of unit ``u`` is ``values[begin[u]:begin[u] + counts[u]]``."""
-        self._runs = RunTable(MEMORY)
-        self._number_of_run = np.zeros(0, np.int64)
-        self._others: dict[bytes, int] = {}
-        self._bytes = 0
-        self._values, self._begin, self._counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [text.decode("utf-8", "replace") for text in texts]
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, lengths.sum()), lengths
 
-    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Many units in one text, with blanks between: each ends with an id that ends a word."""
-        lines = [" ".join(units[i : i + 100]) for i in range(0, len(units), 100)]
+        lines = [b" ".join(units[i : i + 100]) for i in range(0, len(units), 100)]
         ids, _ = self._encode(lines)
         ends = np.flatnonzero(self._ends[ids]) + 1
         return (ids, np.diff(ends, prepend=0)) if len(ends) == len(units) else self._encode(units)
 
-    def _keep(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Store the ids of new units and return the units' numbers."""
-        first = len(self._counts)
-        self._begin = np.concatenate([self._begin, len(self._values) + np.cumsum(counts) - counts])
-        self._counts = np.concatenate([self._counts, counts])
-        self._values = np.concatenate([self._values, values])
-        return np.arange(first, len(self._counts))
-
-    def _cut(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where units begin and end, whether a unit is plain, and the bytes in lower case."""
-        size = int(begins[-1])
-        raw = data[:size]
-        kind, low = _KIND[raw], _LOWER[data]
-        if size and raw.max() >= 0x80:
-            second = np.flatnonzero((raw & 0xC0) == 0x80)
-            value = raw[second]
-            letter = (raw[second - 1] == _LATIN) & (value != _TIMES) & (value != _DIVIDED)
-            kind[second[letter]] = _LETTER
-            kind[second[letter] - 1] = _LETTER
-            low[second[letter & (value < 0xA0)]] += 0x20  # capitals: U+00C0 to U+00DE; U+00DF is below
-            low[second[letter & (value == 0x9F)]] = 0x9F
-        filled = kind != _BLANK
-        edge = np.zeros(size + 1, bool)
-        edge[begins] = True
-        before = np.empty(size, bool)  # does a word begin here?
-        before[:1], before[1:] = True, ~filled[:-1]
-        words = filled & (before | edge[:-1])
-        if self._units:
-            change = np.empty(size, bool)
-            change[:1], change[1:] = True, kind[1:] != kind[:-1]
-            starts = filled & (change | (kind == _DIGIT) | words)
-        else:
-            starts = words
-        at = np.flatnonzero(starts)
-        odd = np.flatnonzero(kind == _OTHER) if self._units else np.zeros(0, np.int64)
-        plain = np.full(len(at), self._units)
-        if len(odd):
-            opening = np.flatnonzero(words)
-            bad = np.zeros(len(opening), bool)
-            bad[np.searchsorted(opening, odd, "right") - 1] = True
-            word = np.searchsorted(opening, at, "right") - 1
-            whole = bad[word]
-            keep = ~whole | (opening[word] == at)
-            starts[at[~keep]] = False
-            at, plain = at[keep], ~whole[keep]
-        after = np.ones(size, bool)  # does a unit or a blank begin at the next byte, or a text end?
-        after[:-1] = starts[1:] | ~filled[1:] | edge[1:size]
-        return at, np.flatnonzero(filled & after) + 1, plain, low
-
-    def _numbers(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each unit of a slice, and how many units there are up to the end of each text."""
-        starts, ends, plain, low = self._cut(data, begins)
-        lengths = ends - starts
-        numbers = np.empty(len(starts), np.int64)
-        short = np.flatnonzero(plain & (lengths <= LONGEST))
-        keys = keys_at(low, starts[short], lengths[short])
-        found = self._runs.find(keys)
-        missed = short[found < 0]
-        new = list({low[a:b].tobytes() for a, b in zip(starts[missed].tolist(), ends[missed].tolist())})
-        rest = np.flatnonzero(~plain | (lengths > LONGEST))
-        bodies = [
-            (low if p else data)[a:b].tobytes()
-            for a, b, p in zip(starts[rest].tolist(), ends[rest].tolist(), plain[rest].tolist())
-        ]
-        others = list(set(bodies).difference(self._others))
-        size = sum(map(len, others))
-        if len(self._counts) and (
-            len(self._counts) + len(new) + len(others) > MEMORY or self._bytes + size > MEMORY_BYTES
-        ):
-            self._forget()
-            return self._numbers(data, begins)
-        if new:
-            if self._runs.size + len(new) > MEMORY:  # a single slice with more units than the memory
-                self._runs = RunTable(len(new))
-            self._runs.add(new)
-            kept = self._keep(*self._encode_units([run.decode() for run in new]))
-            self._number_of_run = np.concatenate([self._number_of_run, kept])
-            found = self._runs.find(keys)
-        if others:
-            kept = self._keep(*self._encode([body.decode("utf-8", "replace") for body in others]))
-            self._others.update(zip(others, kept.tolist()))
-            self._bytes += size
-        numbers[short] = self._number_of_run[found]
-        numbers[rest] = np.fromiter(map(self._others.__getitem__, bodies), np.int64, len(bodies))
-        return numbers, np.searchsorted(starts, begins[1:])
-
     def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and where each text ends."""
         data, begins = joined(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        numbers, upto = self._numbers(data, begins)
-        counts = self._counts[numbers]
-        ends = np.r_[0, np.cumsum(counts)]
-        places = np.repeat(self._begin[numbers] - ends[:-1], counts) + np.arange(ends[-1])
-        stops = ends[upto]
-        return np.insert(self._values[places], stops, end_id), stops + np.arange(1, len(stops) + 1)
+        starts, ends, plain, low = cut_units(data, begins, _KINDS, whole=not self._units)
+        ids, before = self._memory.spread(self._memory.numbers(data, low, starts, ends, plain))
+        stops = before[np.searchsorted(starts, begins[1:])]
+        return np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,3 +1,9 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+
 from tablewright.llm import decontaminate
 from tests.llm.samples import documents, no_documents, odd_documents, words
 
@@ -20,8 +26,8 @@ def noise(seed, n=60):
     return " ".join(words(n, seed))
 
 
-def found(spark, texts, ids=None):
-    rows = decontaminate.contaminated(documents(spark, texts, ids), benchmark(spark)).collect()
+def found(spark, texts, ids=None, **how):
+    rows = decontaminate.contaminated(documents(spark, texts, ids), benchmark(spark), **how).collect()
     return {(r["id"], r["item_id"]): r for r in rows}
 
 
@@ -41,7 +47,7 @@ def test_planted_passages(spark):
             ITEMS[1].replace("leaves", "departs"),  # one word changed
         ],
     )
-    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2), (5, 3), (7, 1), (8, 1)}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2), (5, 3), (6, 4), (7, 1), (8, 1)}
     assert got[0, 1]["share"] == 1.0 and got[0, 1]["same_values"]
     assert got[1, 1]["share"] == 1.0 and not got[1, 1]["same_values"]
     assert got[8, 1]["share"] < 1.0
@@ -118,3 +124,31 @@ def test_odd_and_empty_tables(spark):
     assert sorted(pairs, key=str) == [(3, 1), (None, 1)]
     assert decontaminate.contaminated(no_documents(spark), benchmark(spark)).count() == 0
     assert decontaminate.contaminated(docs, benchmark(spark).where("false")).count() == 0
+
+
+def test_shortest_items(spark):
+    texts = ["that was too short, he said", "Too SHORT", "too long and too far short", "too\nshort"]
+    assert set(found(spark, texts)) == {(0, 4), (1, 4), (3, 4)}
+    assert found(spark, texts, least_words=3) == {}
+
+
+def test_rows_that_share_an_id(spark):
+    texts = [f"{noise(1)} {ITEMS[1]}", noise(2), f"{noise(3)} {ITEMS[2]}", noise(4), None]
+    docs = documents(spark, texts, [None, None, 7, 7, 7])
+    left = decontaminate.drop_contaminated(docs, benchmark(spark))
+    assert left.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in left.collect()], key=str) == sorted(
+        [(None, texts[1]), (7, texts[3]), (7, None)], key=str
+    )
+
+
+def test_tokens_on_bytes_are_those_of_the_pattern():
+    """The cut on bytes against the pattern on whole words, on texts of awkward characters."""
+    draw = random.Random(8)
+    letters = "abZÀéÿßÞ×÷ '/%$.,:;!?…_-12\n\t\x1c\xa0日Ωı²"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(25))) for _ in range(3_000)]
+    texts += ["", "Twenty km.", "A b. C", "x" * 60 + ". Y", "É. é", "É" * 30 + "!", "end.", ".Start"]
+    tokens, ends = decontaminate.Templates()._tokens(pa.array(texts, pa.string()))
+    wanted = [decontaminate._learn_words([w.encode() for w in re.split("[\t-\r\x1c-\x1f ]+", t) if w]) for t in texts]
+    assert np.diff(ends, prepend=0).tolist() == [len(w) for w, _ in wanted]
+    assert (tokens == np.concatenate([w for w, _ in wanted])).all()
