@@ -28,11 +28,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, union_all
 from tablewright.llm.common import Scratch, id_and_text, is_small, scratch, slices, stored, without
+from tablewright.session import row_bytes
 
 SEED = 42
 DISTANCE = 3
@@ -43,6 +44,11 @@ FREE = 8
 ORDER_SAMPLE = 8_000
 ORDER_COUNT = 4
 ORDER_LIMIT = 200_000
+#: Orders in which the members of a shingle of many documents meet, and neighbours of each member in one order.
+SEEDS = 4
+NEAREST = 4
+#: Bytes of the members that go to every task at once, to be tried against all others.
+OUTSIDE_BYTES = 16 << 20
 _PAIRS_AT_ONCE = 500_000
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -423,12 +429,12 @@ def _ordered_anew(sets: DataFrame, similarity: float, order: Order) -> DataFrame
 def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs ``a, b`` of ``heads (id, n, shingles)`` that share a shingle, whose sizes and the
     shingle's place in both allow the similarity.  All members of a shingle of more than
-    ``BUCKET`` come as ``h, a`` instead.
+    ``BUCKET`` come as ``h, a, pos`` instead.
 
     The first shingle that two sets share has all others behind it in both, so at least
     one shared shingle of a pair of the similarity passes.
     """
-    schema = "h bigint, a bigint, b bigint"
+    schema = "h bigint, a bigint, b bigint, pos int"
     share = similarity / (1 + similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +464,8 @@ def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
             if hot.any():
                 at = np.flatnonzero(np.repeat(hot, sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at]), pa.array(ids[at]), pa.nulls(len(at), pa.int64())], ["h", "a", "b"]
+                    [pa.array(h[at]), pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(pos[at])],
+                    ["h", "a", "b", "pos"],
                 )
             for size in np.unique(sizes[~hot & (sizes > 1)]):
                 begin = starts[~hot & (sizes == size)]
@@ -473,8 +480,13 @@ def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
                     fits &= ids[left] != ids[right]
                     both = np.unique(np.stack([ids[left[fits]], ids[right[fits]]], 1), axis=0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(both), pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                        ["h", "a", "b"],
+                        [
+                            pa.nulls(len(both), pa.int64()),
+                            pa.array(both[:, 0].copy()),
+                            pa.array(both[:, 1].copy()),
+                            pa.nulls(len(both), pa.int32()),
+                        ],
+                        ["h", "a", "b", "pos"],
                     )
 
     entries = heads.select(F.posexplode("shingles").alias("pos", "h"), "id", "n")
@@ -510,57 +522,128 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", share.alias("s"))
 
 
+def _neighbours(hot: DataFrame, known: DataFrame, seed: int, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` of members of one shingle of ``hot (h, id, pos)`` that are next to each other
+    in an order that brings like sets together, and whose marks allow the similarity.
+
+    Each member is tried against ``NEAREST`` others, so this is linear.  Members of a
+    shingle are ordered by the least mixed hash of their sets, ``key{seed}`` of ``known``.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: list[tuple[int, int, int, bytes]] = []
+        for batch in batches:
+            rows = tail + list(zip(*(batch.column(c).to_pylist() for c in ("h", "id", "n", "marks"))))
+            found = []
+            for i in range(len(tail), len(rows)):
+                h, b, n, marks = rows[i]
+                for g, a, m, others in rows[max(0, i - NEAREST) : i]:
+                    if g == h and a != b and min(m, n) >= similarity * max(m, n) - 1e-9:
+                        most = (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                        if marks_apart(marks, others) <= most:
+                            found.append((min(a, b), max(a, b)))
+            tail = rows[-NEAREST:]
+            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    order = ["h", f"key{seed}", "id"]
+    rows = hot.join(known, "id").select(*order, "n", "marks").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def _keys(sets: DataFrame) -> DataFrame:
+    """``id`` and, for each of ``SEEDS`` mixings of the hashes, the least one of the set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(SEED)
+        factors = [np.int64(f | 1) for f in draw.integers(-(1 << 62), 1 << 62, SEEDS)]
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes, whole = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            begins = (np.cumsum(sizes) - sizes).astype(np.int64)
+            mixed = [np.minimum.reduceat(whole * f, begins) if len(whole) else whole for f in factors]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *map(pa.array, mixed)], ["id", *(f"key{k}" for k in range(SEEDS))]
+            )
+
+    columns = ", ".join(f"key{k} bigint" for k in range(SEEDS))
+    return sets.select("id", "shingles").mapInArrow(work, f"id bigint, {columns}")
+
+
+def _folds(marks: bytes) -> dict[int, np.ndarray]:
+    """Marks as they are and folded once, by their number of words."""
+    words = np.frombuffer(marks, np.uint64)
+    half = len(words) // 2
+    return {len(words): words, **({half: words[:half] ^ words[half:]} if half else {})}
+
+
+def _tried(rows: DataFrame, asked: list, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of ``rows (h, id, n, pos, g, marks)`` and the ``asked`` ones that share ``h`` but not
+    ``g``, and whose sizes, places and marks allow the similarity."""
+    share, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    held: dict[tuple[int, int], list] = {}
+    for row in asked:
+        for size, words in _folds(bytes(row["marks"])).items():
+            held.setdefault((row["h"], size), []).append((row["id"], row["n"], row["pos"], row["g"], words))
+    table = {
+        key: (*np.array([r[:4] for r in found], np.int64).T, np.stack([r[4] for r in found]))
+        for key, found in held.items()
+    }
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            found = set()
+            for h, i, n, pos, g, marks in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "n", "pos", "g", "marks"))):
+                for size, words in _folds(marks).items():
+                    if (h, size) not in table:
+                        continue
+                    ids, ns, places, groups, others = table[h, size]
+                    fits = (np.minimum(ns, n) >= similarity * np.maximum(ns, n) - 1e-9) & (groups != g)
+                    fits &= np.minimum(ns - places, n - pos) >= share * (ns + n) - 1e-9
+                    at = np.flatnonzero(fits)
+                    differ = np.bitwise_count(others[at] ^ words).sum(axis=1)
+                    for j in ids[at[differ <= (ns[at] + n) * apart + 1e-6]].tolist():
+                        found.add((min(i, j), max(i, j)))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return rows.select("h", "id", "n", "pos", "g", "marks").mapInArrow(work, "a bigint, b bigint")
+
+
 def _hot_links(
     hot: DataFrame, sets: DataFrame, marks: DataFrame, links: DataFrame, similarity: float, keep: Scratch
 ) -> DataFrame:
     """``links (a, b)`` and more of them, which connect the members of every shingle of
-    ``hot (h, id)`` as all its pairs of the similarity do.
-
-    In rounds a few members of each shingle, its centres, are measured against the
-    others: one at first, twice as many each time.  One minus the similarity is a
-    distance: a member that links with a centre can link only with members within
-    twice the distance of it, and only these are measured with it, unless links
-    connect them already.  Members that link with no centre go on among themselves;
-    the last ``BUCKET`` are measured in pairs.
+    ``hot (h, id, pos)`` as all its pairs of the similarity do.
+
+    First each member is measured against its neighbours in several orders, which ties
+    the many copies of one text together.  Then all members of a shingle that
+    are not in its largest group so far are tried against the members of other
+    groups, in blocks of ``OUTSIDE_BYTES``: what sizes, places of the shingle and marks
+    allow is measured, and nothing is left untried.
     """
-    reach = 1 - similarity
-    centres = 1
-    while not hot.isEmpty():
-        some = Window.partitionBy("h").orderBy("id")
-        first = hot.withColumn("place", F.row_number().over(some)).where(F.col("place") <= centres)
-        first = keep(first.select("h", F.col("id").alias("a")), "centres")
-        spokes = hot.join(first, "h").where("id <> a").select("h", "a", F.col("id").alias("b"))
-        spokes = keep(spokes, "spokes")
-        open_ = keep(_possible(spokes.select("a", "b").distinct(), marks, 1 - 2 * reach), "open")
-        measured = keep(_measured(open_, sets).where(F.col("s") >= 1 - 2 * reach - 1e-9), "measured")
-        linked = measured.where(F.col("s") >= similarity)
-        links = keep(links.unionByName(linked.select("a", "b")).distinct(), "links")
-        group = keep(components(links), "groups")
-        of = lambda name: group.select(F.col("node").alias(name), F.col("component").alias(f"g_{name}"))
-        ring = measured.where(F.col("s") < similarity).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        ring = ring.where(~F.col("g_a").eqNullSafe(F.col("g_b")))
-        across = (
-            linked.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("s").alias("sx"))
-            .join(ring.select(F.col("a").alias("c"), F.col("b").alias("y"), F.col("s").alias("sy")), "c")
-            .where(F.col("sx") - F.col("sy") <= reach + 1e-9)
-            .select("x", "y")
-        )
-        tied = spokes.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("h", F.col("b").alias("id"))
-        settled = tied.unionByName(first.select("h", F.col("a").alias("id"))).distinct()
-        rest = keep(hot.join(settled, ["h", "id"], "left_anti"), "rest")
-        counted = keep(rest.groupBy("h").count(), "counts")
-        few = counted.where(F.col("count") <= BUCKET).select("h")
-        members = rest.join(few, "h", "left_semi")
-        within = members.select("h", F.col("id").alias("x")).join(members.select("h", F.col("id").alias("y")), "h")
-        pairs = across.unionByName(within.where("x < y").select("x", "y"))
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        apart = apart.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).select("a", "b")
-        more = keep(_possible(apart, marks, similarity), "apart")
-        more = _measured(more, sets).where(F.col("s") >= similarity)
-        links = keep(links.unionByName(more.select("a", "b")), "links")
-        hot = keep(rest.join(few, "h", "left_anti"), "hot")
-        centres *= 2
+    if hot.isEmpty():
+        return links
+    known = keep(marks.join(_keys(sets), "id"), "keys")
+    for seed in range(SEEDS):
+        near = keep(_neighbours(hot, known, seed, similarity).join(links, ["a", "b"], "left_anti"), "near")
+        linked = _measured(near, sets).where(F.col("s") >= similarity).select("a", "b")
+        links = keep(links.unionByName(linked), "links")
+    group = components(links)
+    labelled = hot.join(group, hot["id"] == group["node"], "left").join(known.select("id", "n"), "id")
+    labelled = keep(labelled.select("h", "id", "n", "pos", F.coalesce("component", "id").alias("g")), "labelled")
+    largest = labelled.groupBy("h", "g").count().groupBy("h").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
+    labelled = labelled.join(known.select("id", "marks"), "id")
+    outside = keep(labelled.join(largest, "h").where("g <> main").drop("main"), "outside")
+    blocks = -(-(outside.agg(F.sum(row_bytes(outside))).first()[0] or 0) // OUTSIDE_BYTES)
+    for block in range(blocks):
+        asked = outside.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        rest = _tried(labelled, asked.collect(), similarity).distinct()
+        rest = keep(rest.join(links, ["a", "b"], "left_anti"), "rest")
+        linked = _measured(rest, sets).where(F.col("s") >= similarity).select("a", "b")
+        links = links.unionByName(keep(linked, "linked"))
     return links
 
 
@@ -607,7 +690,7 @@ def similar_documents(
         marks = once(heads).select("id", "n", "marks")
         sharing = keep(_sharing(once(heads), similarity), "sharing")
         alike = [sharing.where("b is not null").select("a", "b")]
-        hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
+        hot = sharing.where("b is null").select("h", F.col("a").alias("id"), "pos")
         before, now = None, hot.count()
         while now and (before is None or 2 * now <= before):
             sets = whole_sets(keep(hot.select("id").distinct(), "hot-members"), "hot-sets")
@@ -615,7 +698,7 @@ def similar_documents(
             order = _frequent_first_out(counted.where(F.col("count") > 1))
             sharing = keep(_sharing(_ordered_anew(sets, similarity, order), similarity), "sharing")
             alike.append(sharing.where("b is not null").select("a", "b"))
-            hot = sharing.where("b is null").select("h", F.col("a").alias("id"))
+            hot = sharing.where("b is null").select("h", F.col("a").alias("id"), "pos")
             before, now = now, hot.count()
         ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         pairs = keep(_possible(union_all(alike).select(*ends).distinct(), marks, similarity), "pairs")
