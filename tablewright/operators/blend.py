@@ -77,10 +77,9 @@ def align(
     for i in range(n):
         complete = complete & (F.col(f"_c{i}") == 1)
     message = F.concat(F.lit("not once in every input: key "), col(key).cast("string"))
-    checked = F.when(complete, col(key)).otherwise(F.raise_error(message))
-    return together.withColumn(key, checked.cast(merged.schema[key].dataType)).select(
-        col(key), *names
-    )
+    # a filter, since every column depends on it; in a column it would go where that column goes
+    checked = F.when(complete, True).otherwise(F.raise_error(message).cast("boolean"))
+    return together.where(checked).select(col(key), *names)
 
 
 def weighted_sum(weights: Sequence[float], k: int) -> Column:
@@ -127,6 +126,92 @@ def _zero_one(aligned: DataFrame) -> bool:
     return numeric and aligned.where(outside).isEmpty()
 
 
+def error_products(aligned: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """Mean products of the errors of every two inputs, and the rows that they come from.
+
+    These are the rows with a label and all predictions, the same ones for every product;
+    a table without any is an error.
+    """
+    y = F.col("label").cast("double")
+    # errors in place of values: weights sum to 1, so the blend's error is
+    # the weighted error, and no large terms cancel
+    e = [F.col(f"p{i}").cast("double") - y for i in range(k)]
+    known = y.isNotNull()
+    for error in e:
+        known = known & error.isNotNull()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    means = [F.avg(e[i] * e[j]).alias(f"g{i}_{j}") for i, j in pairs]
+    row = aligned.where(known).agg(F.count(F.lit(1)).alias("n"), *means).first()
+    if not row["n"]:
+        raise ValueError("no row has a label and a prediction of every input")
+    products = np.zeros((k, k))
+    for i, j in pairs:
+        products[i, j] = products[j, i] = row[f"g{i}_{j}"]
+    return products, row["n"]
+
+
+def simplex_minimum(products: np.ndarray) -> np.ndarray:
+    """Weights of at least 0 and sum 1 that make ``w @ products @ w`` smallest, by active sets.
+
+    ``products`` is symmetric and has no negative eigenvalue.  From the best single input,
+    the input whose error falls fastest joins, and inputs whose weight
+    reaches 0 leave, until no input is left that would lower the error.
+    """
+    k = len(products)
+    scale = max(float(np.abs(products).max()), 1e-300)
+    g = products / scale
+    held = [int(np.argmin(np.diag(g)))]
+    weights = np.zeros(k)
+    weights[held] = 1.0
+    for _ in range(50 * k):
+        slope = g @ weights
+        value = weights @ slope
+        free = [i for i in range(k) if i not in held]
+        best = min(free, key=lambda i: slope[i], default=None)
+        if best is None or slope[best] >= value - 1e-12:
+            break
+        held.append(best)
+        while True:
+            size = len(held)
+            system = np.zeros((size + 1, size + 1))
+            system[:size, :size] = g[np.ix_(held, held)]
+            system[:size, size] = system[size, :size] = 1.0
+            goal = np.linalg.lstsq(system, np.r_[np.zeros(size), 1.0], rcond=1e-12)[0][:size]
+            now = weights[held]
+            falling = goal < now
+            ways = np.where(falling & (goal < 0), now / np.where(falling, now - goal, 1.0), 1.0)
+            way = min(1.0, float(ways.min()))
+            moved = np.maximum(now + way * (goal - now), 0.0)
+            weights[:] = 0.0
+            weights[held] = moved / moved.sum()
+            if way >= 1.0:
+                break
+            held = [i for i, w, t in zip(held, moved, ways) if t > way]
+            if not held:
+                held = [int(np.argmax(weights))]
+                break
+    return weights
+
+
+def optimal_blend(
+    predictions: Sequence[DataFrame], labels: DataFrame, target: str, key: str
+) -> BlendResult:
+    """The weights of least squared error of all, found from one scan, as trial 0.
+
+    Rows without a label or without one of the predictions count for nothing.
+    """
+    k = len(predictions)
+    aligned = materialise(align(predictions, key, labels, target))
+    products, _ = error_products(aligned, k)
+    weights = simplex_minimum(products)
+    trials = aligned.sparkSession.createDataFrame(
+        [(0, float(weights @ products @ weights))], "trial int, objective double"
+    )
+    mixed = weighted_sum(weights.tolist(), k)
+    metrics = evaluate(aligned.select("label", mixed.alias("prediction")), "regression")
+    return BlendResult(trials, weights.tolist(), aligned.select(col(key), mixed.alias("prediction")), metrics)
+
+
 def score_candidates(
     aligned: DataFrame,
     candidates: Sequence[Sequence[float]],
@@ -137,25 +222,16 @@ def score_candidates(
     """``(trial, objective)`` for every candidate; smaller is better.
 
     Regression needs the means of products once: the squared error of any
-    weights follows from them.  Classification counts hits; hard labels are first
+    weights follows from them.  Rows without a label or without one of the
+    predictions have no blend and count for no candidate.  Classification counts hits; hard labels are first
     collapsed to their distinct combinations.
     """
     spark = aligned.sparkSession
     if task_type == "regression":
-        y = F.col("label").cast("double")
-        p = [F.col(f"p{i}").cast("double") for i in range(k)]
-        # errors in place of values: weights sum to 1, so the blend's error is
-        # the weighted error, and no large terms cancel
-        e = [p[i] - y for i in range(k)]
-        products = [F.avg(e[i] * e[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = aligned.agg(*products).first()
-        scored = []
-        for t, w in enumerate(candidates):
-            total = 0.0
-            for i in range(k):
-                for j in range(i, k):
-                    total += (1 if i == j else 2) * w[i] * w[j] * row[f"g{i}_{j}"]
-            scored.append((t, total))
+        products, _ = error_products(aligned, k)
+        tried = np.array(candidates, dtype=float).reshape(-1, k)
+        objective = np.einsum("ti,ij,tj->t", tried, products, tried)
+        scored = list(enumerate(objective.tolist()))
         return spark.createDataFrame(scored, "trial int, objective double")
     dtypes = dict(aligned.dtypes)
     hard = all(dtypes[f"p{i}"] not in ("float", "double") for i in range(k))

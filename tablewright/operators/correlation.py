@@ -122,23 +122,27 @@ def _block(raw: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
             return [np.full((width, width), float(rows)), np.repeat(mean[:, None], width, axis=1), squares, products]
         weights = known.astype(float)
         n = weights.T @ weights
-        width = raw.shape[1]
-        mean, squares, products = (np.zeros((width, width)) for _ in range(3))
-        filled = np.where(known, raw, 0.0)
-        centred = []
-        for i in range(width):  # column i, on the rows where each other column is known
-            both = known & known[:, [i]]
-            at = both.argmax(axis=0)
-            shift = np.where(both.any(axis=0), filled[at, i], 0.0)
-            away = np.where(both, filled[:, [i]] - shift, 0.0)
-            mean[i] = shift + away.sum(axis=0) / np.maximum(n[i], 1)
-            z = np.where(both, filled[:, [i]] - mean[i], 0.0)
-            squares[i] = (z * z).sum(axis=0)
-            centred.append(z)
-        for i in range(width):
-            for j in range(i + 1, width):
-                products[i, j] = products[j, i] = centred[i][:, j] @ centred[j][:, i]
-        return [n, mean, squares, products]
+        finite = known & np.isfinite(raw)
+        # columns shifted by their own means in the block, so that sums of products lose little
+        counts = np.maximum(finite.sum(axis=0), 1)
+        shift = np.where(finite, raw / counts, 0.0).sum(axis=0)
+        x = np.where(finite, raw - shift, 0.0)
+        sums, raw_squares, products = x.T @ weights, (x * x).T @ weights, x.T @ x
+        mean = sums / np.maximum(n, 1)
+        squares = raw_squares - sums * mean
+        products = products - sums * mean.T
+        # where nearly all of a sum of squares was taken away again: that pair by itself
+        for i, j in zip(*np.nonzero((squares <= 1e-6 * raw_squares) & (raw_squares > 0))):
+            both = finite[:, i] & finite[:, j]
+            if both.any():
+                z = x[both, i] - x[both, i][0]
+                centred = z - z.mean()
+                mean[i, j] = x[both, i][0] + z.mean()
+                squares[i, j] = centred @ centred
+                products[i, j] = products[j, i] = centred @ x[both, j]
+        odd = (known & ~finite).astype(float).T @ weights > 0  # a NaN or an infinity of i where j is known
+        mean, squares = (np.where(odd, np.nan, m) for m in (mean + shift[:, None], squares))
+        return [n, np.where(n > 0, mean, 0.0), squares, np.where(odd | odd.T, np.nan, products)]
 
 
 def _merge(total: list[np.ndarray], block: list[np.ndarray]) -> None:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -23,6 +23,7 @@ from tablewright.functions.columns import (
     union_all,
 )
 from tablewright.functions.expressions import key_hash
+from tablewright.operators.boosting import NewtonModel, fit_newton
 from tablewright.operators.metrics import evaluate, roc_auc
 from tablewright.session import checkpoint_dir
 
@@ -36,7 +37,8 @@ class Family:
     rounds: str
     depth: str
     columns: str
-    unsupported: tuple[str, ...]
+    l1: str | None
+    l2: str
     shape: dict[str, Any]
 
 
@@ -47,28 +49,31 @@ FAMILIES = {
         "iterations",
         "depth",
         "colsample_bylevel",
-        ("l2_leaf_reg",),
+        None,
+        "l2_leaf_reg",
         {"maxDepth": 6, "maxBins": 255, "minInstancesPerNode": 1},
     ),
     "gbt_b": Family(
         "num_iterations",
         "max_depth",
         "colsample_bytree",
-        ("reg_alpha", "reg_lambda"),
+        "reg_alpha",
+        "reg_lambda",
         {"maxDepth": 5, "maxBins": 255, "minInstancesPerNode": 20},
     ),
     "gbt_c": Family(
         "n_estimators",
         "max_depth",
         "colsample_bytree",
-        ("reg_alpha", "reg_lambda"),
+        "reg_alpha",
+        "reg_lambda",
         {"maxDepth": 6, "maxBins": 256, "minInstancesPerNode": 1},
     ),
 }
 
 
 def tree_params(family: str, options: dict[str, Any], seed: int = 42) -> dict[str, Any]:
-    """Estimator parameters for a profile; an option that has no counterpart is an error."""
+    """Estimator parameters for a profile, ``l1`` and ``l2`` among them where a penalty is asked for."""
     if family not in FAMILIES:
         raise ValueError(f"Unknown family: {family}")
     profile = FAMILIES[family]
@@ -86,8 +91,11 @@ def tree_params(family: str, options: dict[str, Any], seed: int = 42) -> dict[st
             params["subsamplingRate"] = float(value)
         elif name == profile.columns:
             params["featureSubsetStrategy"] = str(float(value)) if value < 1 else "all"
-        elif name in profile.unsupported:
-            raise ValueError(f"{name} has no counterpart in the tree learner")
+        elif name in (profile.l1, profile.l2):
+            if value < 0:
+                raise ValueError(f"{name} must not be negative")
+            if value:
+                params["l1" if name == profile.l1 else "l2"] = float(value)
         else:
             raise ValueError(f"Unknown option for {family}: {name}")
     return params
@@ -95,14 +103,15 @@ def tree_params(family: str, options: dict[str, Any], seed: int = 42) -> dict[st
 
 @dataclass
 class TabularModel:
-    """A fitted pipeline with what is needed to score a table."""
+    """A fitted pipeline, or penalised or joint trees, with what is needed to score a table."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     family: str
     task_type: str
     target: str
     features: list[str]
     classes: list[Any] = field(default_factory=list)
+    booster: NewtonModel | None = None
 
     @property
     def zero_one(self) -> bool:
@@ -122,7 +131,8 @@ class TabularModel:
         require_columns(df, [*self.features, *key_cols, *keep])
         names = list(dict.fromkeys([*key_cols, *keep]))
         wanted = list(dict.fromkeys([*names, *self.features]))
-        scored = self.pipeline.transform(df.select(*[col(c) for c in wanted]))
+        rows = df.select(*[col(c) for c in wanted])
+        scored = self.booster.transform(rows) if self.booster else self.pipeline.transform(rows)
         value = F.col("_prediction")
         if self.task_type == "classification":
             labels = F.array(*[F.lit(c) for c in self.classes])
@@ -131,7 +141,8 @@ class TabularModel:
         if probability:
             if len(self.classes) != 2:
                 raise ValueError("probability needs a two-class model")
-            output.append(F.get(vector_to_array("_probability"), 1).alias("probability"))
+            both = F.col("_probability") if self.booster else vector_to_array("_probability")
+            output.append(F.get(both, 1).alias("probability"))
         return scored.select(*output)
 
 
@@ -171,6 +182,8 @@ def fit(
 
     With ``key_cols`` the rows are placed by key first, so the same data gives
     the same model however its files are cut.  Nulls are an error: impute first.
+    Penalties on leaf values, and more than two classes, are learnt by Newton
+    boosting (``boosting``), the classes jointly; all else by ``pyspark.ml``.
     """
     if task_type not in TASKS:
         raise ValueError(f"Unknown task_type: {task_type}")
@@ -191,27 +204,24 @@ def fit(
         if len(classes) < 2:
             raise ValueError(f"Target {target} needs at least two classes")
         index: Column = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target)) - 1
-        common = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
-        booster = GBTClassifier(cacheNodeIds=True, **common, **params)
-        if len(classes) == 2:
-            estimator = booster.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-        else:
-            estimator = OneVsRest(classifier=booster, **common)
     else:
         index = col(target)
-        estimator = GBTRegressor(
-            featuresCol="_features",
-            labelCol="_label",
-            predictionCol="_prediction",
-            cacheNodeIds=True,
-            **params,
-        )
     ready = ready.withColumn("_label", index.cast("double"))
     checkpoint_dir(train_df.sparkSession)  # tree growing cuts its lineage there
     if key_cols:
         keys = [col(k) for k in key_cols]
         parts = int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ready = ready.repartition(parts, *keys).sortWithinPartitions(*keys)
+    penalties = {k: params.pop(k) for k in ("l1", "l2") if k in params}
+    if penalties or len(classes) > 2:
+        booster = fit_newton(ready, features, len(classes), params, **penalties)
+        return TabularModel(None, family, task_type, target, features, classes, booster)
+    names = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
+    if classes:
+        estimator = GBTClassifier(cacheNodeIds=True, **names, **params)
+        estimator = estimator.setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    else:
+        estimator = GBTRegressor(cacheNodeIds=True, **names, **params)
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="error")
     pipeline = Pipeline(stages=[assembler, estimator]).fit(ready)
     return TabularModel(pipeline, family, task_type, target, features, classes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tablewright.operators.split import train_test_split
 from tablewright.plans.automl import Recipe, automl_loop
 from tablewright.plans.registry import query, rounded, table
 from tablewright.session import scratch_path
-from tablewright.sources import files
+from tablewright.sources import files, runs
 from tablewright.sources import models as model_files
 from tablewright.sources import predictions as prediction_files
 
@@ -387,6 +389,19 @@ _SPLIT_DOCS = f"WITH d AS ({_ranked_sql('SELECT * FROM documents JOIN labels USI
 _IN_TEST = "rn > n - floor(n * 0.3::DOUBLE)"
 
 
+def first_leaf(booster, df: DataFrame):
+    """Leaf of the first tree that a row falls into, as built-in expressions."""
+    tree = booster.trees[0]
+
+    def at(node: int):
+        if tree.feature[node] < 0:
+            return F.lit(tree.leaf[node])
+        goes = F.col(booster.features[tree.feature[node]]) <= tree.threshold[node]
+        return F.when(goes, at(tree.left[node])).otherwise(at(tree.right[node]))
+
+    return at(0)
+
+
 def _checked(metrics, scored: DataFrame, n: str) -> DataFrame:
     """One row: rows scored, whether the reported accuracy is that of the predictions,
     and whether it reaches that of always answering with the largest class."""
@@ -429,6 +444,47 @@ def train_gbt_c(spark, folder):
     return _checked(result.train_metrics, result.model.score(train, ["doc_id"], ["quality"]), "n_train")
 
 
+@query(
+    f"{_SPLIT_DOCS} SELECT count(*) AS n_test, TRUE AS metric_agrees, TRUE AS beats_majority, "
+    f"TRUE AS leaves_agree FROM d WHERE {_IN_TEST}"
+)
+def train_penalised(spark, folder):
+    """100 rounds with L1 and L2 penalties; the leaves of the first tree recomputed from their rows."""
+    l1, l2, rate = 0.5, 2.0, 0.1
+    train, test = train_test_split(_documents(spark, folder), 0.3, ["doc_id"])
+    result = models.train(
+        train, test, "quality", "classification", ["doc_id"], "gbt_b",
+        max_depth=3, reg_alpha=l1, reg_lambda=l2, learning_rate=rate,
+    )
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    booster = result.model.booster
+    # before the first round all rows have the same margin
+    share = 1 / (1 + math.exp(-booster.start[0]))
+    leaf = first_leaf(booster, train)
+    pull = F.sum(F.lit(share) - F.col("quality"))
+    value = -rate * F.signum(pull) * F.greatest(F.abs(pull) - l1, F.lit(0.0)) / (F.count(F.lit(1)) * share * (1 - share) + l2)
+    held = F.get(F.array(*[F.lit(v[0]) for v in booster.trees[0].values]), F.col("leaf"))
+    agree = train.select(leaf.alias("leaf"), "quality").groupBy("leaf").agg(value.alias("own"))
+    agree = agree.agg(F.bool_and(F.abs(F.col("own") - held) < 1e-9).alias("leaves_agree"))
+    checked = _checked(result.test_metrics, result.predictions.join(labels, "doc_id"), "n_test")
+    return one_row([checked, agree])
+
+
+@query(f"{_SPLIT_DOCS} SELECT doc_id, quality, TRUE AS summary_agrees FROM d WHERE {_IN_TEST}")
+def train_run(spark, folder):
+    """Predictions with truth of a written run, and whether its summary is that of these rows."""
+    train, test = train_test_split(_documents(spark, folder), 0.3, ["doc_id"])
+    place = scratch_path(spark, "runs")
+    run_id, _ = runs.train_run(
+        train, test, "quality", "classification", ["doc_id"], place, family="gbt_a", iterations=20, depth=4
+    )
+    scored = runs.read_run(spark, place, run_id, "scored")
+    told = runs.read_run(spark, place, run_id, "summary").where("part = 'test' AND metric = 'accuracy'")
+    own = scored.agg(F.avg((F.col("prediction") == F.col("quality")).cast("double")).alias("own"))
+    agrees = abs(own.first()["own"] - told.first()["value"]) < 1e-9
+    return scored.select("doc_id", "quality", F.lit(agrees).alias("summary_agrees"))
+
+
 def _numbers(spark, folder, *names: str) -> DataFrame:
     key = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("string")
@@ -446,7 +502,7 @@ def train_multiclass(spark, folder):
     numbers = _numbers(spark, folder, "l_returnflag")
     train, test = train_test_split(numbers, 0.3, ["row_id"], stratify="l_returnflag")
     result = models.train(
-        train, test, "l_returnflag", "classification", ["row_id"], "gbt_a", iterations=3, depth=3
+        train, test, "l_returnflag", "classification", ["row_id"], "gbt_a", iterations=20, depth=3
     )
     scored = result.model.score(test, ["row_id"], ["l_returnflag"])
     return scored.groupBy("l_returnflag").agg(
@@ -487,6 +543,54 @@ def model_round_trip(spark, folder):
     return one.join(two, "doc_id").select("doc_id", same.alias("same"))
 
 
+_NULLS = """aligned AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS label,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice * 0.9::DOUBLE + o_custkey END AS p0,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + (o_orderkey % 1000) * 20 END AS p1 FROM orders)"""
+
+
+def _blend_inputs_with_nulls(spark, folder) -> DataFrame:
+    key = F.col("id")
+    return _blend_inputs(spark, folder).select(
+        "id",
+        F.when(key % 11 != 0, F.col("label")).alias("truth"),
+        F.when(key % 7 != 0, F.col("p0")).alias("p0"),
+        F.when(key % 5 != 0, F.col("p1")).alias("p1"),
+    )
+
+
+@query(
+    f"""WITH {_NULLS} SELECT w.trial::INTEGER AS trial,
+    round(avg((w.w0 * (p0 - label) + w.w1 * (p1 - label)) ** 2) / 1e6, 4) AS objective,
+    count(*) AS known FROM aligned, (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.5, 0.5), (2, 0.2, 0.8)) AS w(trial, w0, w1)
+    WHERE label IS NOT NULL AND p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY 1"""
+)
+def blend_nulls(spark, folder):
+    """Every candidate is judged on the rows that all inputs and the label have."""
+    inputs = _blend_inputs_with_nulls(spark, folder)
+    aligned = blending.align(
+        [_prediction(inputs, p) for p in ("p0", "p1")], "id", inputs.select("id", "truth"), "truth"
+    )
+    scores = blending.score_candidates(aligned, [[1.0, 0.0], [0.5, 0.5], [0.2, 0.8]], "regression", 2)
+    known = blending.error_products(aligned, 2)[1]
+    return scores.select("trial", F.round(F.col("objective") / 1e6, 4).alias("objective"), F.lit(known).alias("known"))
+
+
+@query(
+    f"""WITH {_NULLS}, g AS (SELECT avg((p0 - label) ** 2) AS a, avg((p1 - label) ** 2) AS b,
+      avg((p0 - label) * (p1 - label)) AS c FROM aligned WHERE label IS NOT NULL AND p0 IS NOT NULL AND p1 IS NOT NULL),
+    best AS (SELECT *, greatest(0, least(1, (b - c) / (a + b - 2 * c))) AS w FROM g)
+    SELECT round(w, 6) AS weight, round(sqrt(w * w * a + 2 * w * (1 - w) * c + (1 - w) * (1 - w) * b), 4) AS rmse FROM best"""
+)
+def blend_optimum(spark, folder):
+    """Weight of the first of two inputs at the least squared error, and that error."""
+    inputs = _blend_inputs_with_nulls(spark, folder)
+    found = blending.optimal_blend(
+        [_prediction(inputs, p) for p in ("p0", "p1")], inputs.select("id", "truth"), "truth", "id"
+    )
+    error = F.sqrt(F.col("objective"))
+    return found.trials.select(F.round(F.lit(found.weights[0]), 6).alias("weight"), F.round(error, 4).alias("rmse"))
+
+
 @query()
 def run_catalog(spark, folder):
     folder_out = scratch_path(spark, "run")

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import blend, metrics, models
+from tablewright.operators import blend, boosting, metrics, models
 from tablewright.plans.automl import Recipe, automl_loop
-from tablewright.sources import files
+from tablewright.sources import files, runs
 from tablewright.sources import models as model_files
 
 
@@ -109,8 +110,9 @@ def test_text_classes_and_three_of_them(spark, points):
 
 
 def test_training_errors(points):
-    with pytest.raises(ValueError, match="no counterpart"):
-        models.tree_params("gbt_a", {"l2_leaf_reg": 3.0})
+    assert models.tree_params("gbt_a", {"l2_leaf_reg": 3.0})["l2"] == 3.0
+    with pytest.raises(ValueError, match="negative"):
+        models.tree_params("gbt_b", {"reg_alpha": -1})
     with pytest.raises(ValueError, match="Unknown option"):
         models.tree_params("gbt_b", {"iterations": 3})
     with pytest.raises(ValueError, match="Unknown family"):
@@ -130,10 +132,10 @@ def test_blend_by_key_not_by_position(spark):
     found = {r["id"]: r["prediction"] for r in blend.blend([a, b], [1, 3], "id").collect()}
     assert found == {1: 25.0, 2: 35.0}
     short = a.where("id = 1")
-    with pytest.raises(Exception, match="do not match at key 2"):
+    with pytest.raises(Exception, match="not once in every input: key 2"):
         blend.blend([a, short], [1, 1], "id").collect()
     twice = a.union(a.where("id = 1"))
-    with pytest.raises(Exception, match="do not match at key 1"):
+    with pytest.raises(Exception, match="not once in every input: key 1"):
         blend.blend([twice, b], [1, 1], "id").collect()
     with pytest.raises(ValueError, match="sum to zero"):
         blend.blend([a, b], [0, 0], "id")
@@ -214,3 +216,142 @@ def test_missing_predictions_are_misses_in_objective_and_metric(spark):
     )
     assert min(r["objective"] for r in found.trials.collect()) == -0.5
     assert found.metrics.first()["accuracy"] == 0.5
+
+
+def test_keys_are_checked_whatever_is_selected(spark):
+    def table(keys):
+        return spark.createDataFrame([(k, float(k)) for k in keys], "id int, prediction double")
+
+    mixed = blend.blend([table([1, 2, 2]), table([1, 3])], [1, 1], "id")
+    for some in (mixed, mixed.select("prediction"), mixed.groupBy().count()):
+        with pytest.raises(Exception, match="not once in every input"):
+            some.collect()
+    good = [table([1, 2]), table([1, 2])]
+    labels = spark.createDataFrame([(1, 1.0), (2, 2.5)], "id int, y double")
+    short = ([table([1]), table([1, 2])], labels)
+    with pytest.raises(Exception, match="not once in every input"):
+        blend.search_blend(good, labels, "y", "regression", "id", 3, holdout=short).metrics.collect()
+
+
+def test_missing_values_in_a_regression_blend(spark):
+    rows = [(1, 1.0, 5.0, 1.0), (2, None, 4.0, 2.0), (3, 3.0, 1.0, 3.0), (4, 4.0, 8.0, 4.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    inputs = [df.select("id", df[c].alias("prediction")) for c in ("a", "b")]
+    aligned = blend.align(inputs, "id", df.select("id", "y"), "y")
+    found = blend.score_candidates(aligned, [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]], "regression", 2).collect()
+    errors = [(16 + 4 + 16) * w * w / 3 for w in (0, 0.5, 1)]  # over rows 1, 3 and 4
+    assert [r["objective"] for r in found] == pytest.approx(errors)
+    nothing = df.select("id", F.lit(None).cast("double").alias("y"))
+    with pytest.raises(ValueError, match="no row has a label"):
+        blend.search_blend(inputs, nothing, "y", "regression", "id", 3)
+
+
+def test_simplex_minimum_against_a_grid_and_its_conditions():
+    draw = np.random.default_rng(3)
+    for k in (1, 2, 3, 4, 8):
+        for _ in range(30):
+            errors = draw.normal(size=(draw.integers(2, 30), k)) + draw.normal(size=k)
+            if k > 2:
+                errors[:, 1] = errors[:, 0]  # the same model twice
+            g = errors.T @ errors / len(errors)
+            w = blend.simplex_minimum(g)
+            slope, value = g @ w, w @ g @ w
+            assert w.min() >= 0 and w.sum() == pytest.approx(1)
+            assert slope.min() >= value - 1e-9  # no input would lower the error
+            tries = draw.dirichlet(np.ones(k), 300)
+            assert value <= np.einsum("ti,ij,tj->t", tries, g, tries).min() + 1e-12
+
+
+def test_optimal_blend(spark):
+    rows = [(i, float(i % 7), float(i % 5) + 0.5 * i, 0.3 * (i % 7) + 0.7 * (i % 5 + 0.5 * i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    inputs = [df.select("id", df[c].alias("prediction")) for c in ("a", "b")]
+    found = blend.optimal_blend(inputs, df.select("id", "y"), "y", "id")
+    assert found.weights == pytest.approx([0.3, 0.7]) and found.metrics.first()["rmse"] == pytest.approx(0, abs=1e-9)
+
+
+def numbers(spark, n=400):
+    draw = np.random.default_rng(1)
+    x = draw.uniform(0, 10, (n, 3)).round(2)
+    y = 3 * (x[:, 0] > 4) - 2 * (x[:, 1] > 7) + 0.1 * x[:, 2]
+    rows = [(i, *map(float, x[i]), float(y[i]), int(y[i] > 1), int(min(2, max(0, y[i] + 1)))) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, a double, b double, c double, y double, two int, three int")
+
+
+def test_leaf_values_follow_from_penalised_sums(spark):
+    """Every leaf of every round, from the leaf of each row and the margins before the round."""
+    df = numbers(spark)
+    rows = df.orderBy("id").toPandas()
+    x = rows[["a", "b", "c"]].to_numpy()
+    for target, task, l1, l2 in (("y", "regression", 3.0, 2.0), ("two", "classification", 1.5, 4.0), ("three", "classification", 0.5, 1.0)):
+        others = [c for c in ("id", "y", "two", "three") if c != target]
+        model = models.fit(df, target, task, "gbt_b", others, num_iterations=4, max_depth=3, reg_alpha=l1, reg_lambda=l2).booster
+        margins, label = np.tile(np.array(model.start), (len(x), 1)), rows[target].to_numpy(float)
+        width = len(model.start)
+        for at in range(0, len(model.trees), width):
+            if task == "regression":
+                g, h = margins - label[:, None], np.ones_like(margins)
+            elif target == "two":
+                p = 1 / (1 + np.exp(-margins))
+                g, h = p - label[:, None], p * (1 - p)
+            else:
+                p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+                g, h = p - (label[:, None] == np.arange(3)), p * (1 - p)
+            for c, tree in enumerate(model.trees[at : at + width]):
+                leaf = tree.leaves(x)
+                for k in np.unique(leaf):
+                    G, H = g[leaf == k, c].sum(), h[leaf == k, c].sum()
+                    wanted = -0.1 * np.sign(G) * max(abs(G) - l1, 0) / (H + l2)
+                    assert tree.values[k] == pytest.approx([wanted if i == c else 0 for i in range(width)], abs=1e-9)
+                margins = margins + np.array(tree.values)[leaf]
+        assert model.margins(x) == pytest.approx(margins)
+
+
+def test_penalties_shrink_and_models_are_saved(spark, tmp_path):
+    df = numbers(spark)
+    spread = []
+    for l2 in (0.01, 1_000.0):
+        result = models.train(df, df, "y", "regression", ["id"], "gbt_a", exclude=["id", "two", "three"], iterations=10, depth=3, l2_leaf_reg=l2)
+        spread.append(result.predictions.agg(F.stddev("prediction")).first()[0])
+    assert spread[1] < 0.3 * spread[0]
+    joint = models.train(df, df, "three", "classification", ["id"], exclude=["id", "y", "two"], iterations=20, depth=3)
+    assert joint.test_metrics.first()["accuracy"] > 0.95
+    shares = joint.model.booster.transform(df.select("a", "b", "c")).select(F.aggregate("_probability", F.lit(0.0), lambda s, p: s + p).alias("s"))
+    assert shares.agg(F.max(F.abs(F.col("s") - 1))).first()[0] < 1e-9
+    loaded = model_files.load_model(spark, model_files.save_model(joint.model, str(tmp_path)))
+    assert loaded.score(df, ["id"]).exceptAll(joint.predictions).count() == 0
+    gaps = df.withColumn("a", F.when(F.col("id") > 3, F.col("a")))
+    with pytest.raises(Exception, match="impute first"):
+        loaded.score(gaps, ["id"]).collect()
+
+
+def test_parse_tree():
+    text = "If (feature 1 <= 2.5)\n Predict: 1.0\nElse (feature 1 > 2.5)\n If (feature 0 <= -1.0E-3)\n  Predict: 2\n Else (x)\n  Predict: 3"
+    tree = boosting.parse_tree(text, [[1.0], [2.0], [3.0]])
+    assert tree.leaves(np.array([[0, 2.5], [0, 3], [-1, 3]])).tolist() == [0, 2, 1]
+
+
+def test_a_run_is_visible_only_when_it_is_whole(spark, tmp_path, monkeypatch):
+    df = numbers(spark, 60)
+    place = str(tmp_path / "runs")
+    how = dict(family="gbt_c", exclude=["id", "y", "three"], n_estimators=2, max_depth=2)
+    run_id, result = runs.train_run(df, df, "two", "classification", ["id"], place, **how)
+    scored = runs.read_run(spark, place, run_id, "scored").collect()
+    truth = {r["id"]: r["two"] for r in df.collect()}
+    assert {r["id"]: r["two"] for r in scored} == truth
+    summary = {(r["part"], r["metric"]): r["value"] for r in runs.read_run(spark, place, run_id, "summary").collect()}
+    assert summary["test", "accuracy"] == pytest.approx(sum(r["prediction"] == r["two"] for r in scored) / 60)
+    again = runs.read_run_model(spark, place, run_id).score(df, ["id"])
+    assert again.exceptAll(result.predictions).count() == 0
+    monkeypatch.setattr(runs, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        runs.write_run(result, df, df, ["id"], place)
+    assert [m["run_id"] for m in runs.list_runs(spark, place)] == [run_id]
+    broken = next(p.name for p in (tmp_path / "runs").iterdir() if p.name != run_id)
+    with pytest.raises(ValueError, match="no finished run"):
+        runs.read_run(spark, place, broken, "scored")
+    monkeypatch.undo()
+    blind = runs.write_run(result, df, df.drop("two"), ["id"], place)
+    with pytest.raises(ValueError, match="no table scored"):
+        runs.read_run(spark, place, blind, "scored")
+    assert runs.read_run(spark, place, blind, "predictions").count() == 60

@@ -130,9 +130,9 @@ def test_split_sizes(spark):
     train, test = split.train_test_split(df, 0.25, ["id"])
     assert (train.count(), test.count()) == (8, 2)
     for bad in (0.0, 1.0, -1):
-        with pytest.raises(ValueError, match="between 0 and 1"):
+        with pytest.raises(ValueError, match="above 0 and below 1"):
             split.train_test_split(df, bad, ["id"])
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         split.train_test_split(df.where("id < 0"), 0.2, ["id"])
 
 

@@ -50,7 +50,7 @@ def test_empty_table(spark):
         outliers.detect_outliers,
         quality.quality_report,
     ):
-        with pytest.raises(ValueError, match="empty"):
+        with pytest.raises(ValueError, match="no rows"):
             call(empty)
     assert profile.table_info(empty).first()["n_rows"] == 0
 
