@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 
@@ -32,3 +34,11 @@ def read_all(uri: str) -> bytes:
     system, path = place(uri)
     with system.open_input_file(path) as file:
         return file.read()
+
+
+@contextlib.contextmanager
+def ranges(uri: str) -> Iterator[tuple[Callable[[int, int], bytes], int]]:
+    """``read(offset, length)`` over a file that stays open, and the file's size."""
+    system, path = place(uri)
+    with system.open_input_file(path) as file:
+        yield lambda at, length: file.read_at(length, at), file.size()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import id_and_text, slices
-from tablewright.llm.files import read_all, write_new
+from tablewright.llm.files import ranges, read_all, write_new
 from tablewright.llm.wavelet import WaveletFile, build
 from tablewright.llm.word_bpe import encoder
 from tablewright.session import scratch_path
@@ -127,13 +127,15 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_occurrences(manifest: DataFrame, token: int) -> DataFrame:
-    """Where a token occurs: ``id, position`` inside the document, found by the wavelet matrix."""
+    """Where a token occurs: ``id, position`` inside the document, found by the wavelet matrix,
+    of which only the blocks on the way are read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                file = WaveletFile.of_bytes(read_all(path))
-                at = np.array(file.occurrences(token), np.int64)
+                with ranges(path) as (read, size):
+                    file = WaveletFile(read, size)
+                    at = np.array(file.occurrences(token), np.int64)
                 doc = np.searchsorted(file.doc_ends, at, "right")
                 inside = at - np.r_[0, file.doc_ends][doc]
                 names = pa.array(file.doc_ids[doc], pa.int64(), mask=~file.doc_known[doc])

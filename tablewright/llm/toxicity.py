@@ -12,7 +12,7 @@ from the plain mean to the strongest passage during training; scores use the
 strongest passage of all, over the whole text.
 
 Training takes a sample of labelled rows of documented size (``SAMPLE_ROWS`` of each
-class, ``SAMPLE_BYTES`` of text in all), chosen by a hash of the id.  Since softmax
+class, ``SAMPLE_BYTES`` of text in all), in the order of a hash of the id.  Since softmax
 and means are linear, a fitted model scores with one number per table row.
 """
 
@@ -176,25 +176,29 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
 
 
 def training_sample(df: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """Texts and labels of the sample: first rows by a hash of the id, within both bounds."""
-    key = F.xxhash64("id")
-    chosen = None
+    """Texts and labels of the sample: of each class the first ``SAMPLE_ROWS`` ids, in the order of a
+    hash, that have a label and a document, as far as half of ``SAMPLE_BYTES`` reaches.
+
+    Of rows that share an id the text with the smallest hash is learnt, and ids that are null are not.
+    """
+    texts = id_and_text(df, id_col, text_col)
+    facts = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))).alias("own"))
+    known = stored(marks.join(facts, "id").select("id", "label", "own.*", F.xxhash64("id").alias("key")), "toxicity-labelled")
+    chosen: list[tuple[int, int, int]] = []
     for label in (0, 1):
-        own = marks.where(F.col("label") == label).orderBy(key, "id").limit(SAMPLE_ROWS)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    chosen = stored(chosen, "toxicity-sample")  # at most two times SAMPLE_ROWS
-    rows = id_and_text(df, id_col, text_col).join(F.broadcast(chosen), "id")
-    rows = rows.dropDuplicates(["id"])
-    sizes = rows.select("id", F.octet_length("text").alias("size")).toPandas()
-    sizes = sizes.sort_values(["size", "id"])
-    fits = sizes.loc[sizes["size"].cumsum() <= SAMPLE_BYTES, "id"].tolist()
-    kept = rows.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in fits], "id bigint")), "id")
-    found = kept.orderBy("id").collect()
+        own = known.where(F.col("label") == label).orderBy("key", "id").limit(SAMPLE_ROWS)
+        used = 0
+        for row in sorted(own.collect(), key=lambda r: (r["key"], r["id"])):
+            used += row["size"]
+            if used > SAMPLE_BYTES // 2:
+                break
+            chosen.append((row["id"], row["h"], label))
+    sample = df.sparkSession.createDataFrame(chosen, "id bigint, h bigint, label int")
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(sample), ["id", "h"])
+    found = rows.dropDuplicates(["id"]).orderBy("id").collect()  # at most two times SAMPLE_ROWS
     return [r["text"] for r in found], [r["label"] for r in found]
 
 
-
-
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, score``, higher where label 1 is likelier.
 

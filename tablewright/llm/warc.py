@@ -29,9 +29,14 @@ from tablewright.session import scratch_path
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
 FRAME = (0xFD2FB528).to_bytes(4, "little")
 VERSION = b"WARC/1.1"
+READABLE = (b"WARC/1.0", b"WARC/1.1")
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Record types that are pages; the reader passes over all others.
+PAGE_TYPES = ("response", "revisit")
+#: Most bytes of a record whose frame does not state its size.
+RECORD_BYTES = 1 << 30
 #: Payload bytes after which a task closes an archive.
 ARCHIVE_BYTES = 32 * 1024 * 1024
 #: Size of a dictionary, and the most bytes of records that it is trained on.
@@ -42,6 +47,16 @@ _ID_URN = "urn:x-page:"
 MANIFEST = "path string, records bigint, bytes bigint"
 
 
+#: Field names this module uses, by their lower-case form: case does not matter in archives.
+_NAMES = {
+    name.lower(): name
+    for name in (
+        *REQUIRED, "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Profile", "WARC-Refers-To",
+        "Content-Type",
+    )
+}
+
+
 class ArchiveError(ValueError):
     """An archive or record that breaks the format."""
 
@@ -136,14 +151,14 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Fields and block of a record; raises ``ArchiveError`` unless it is whole and valid."""
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not found or lines[0] != VERSION:
+    if not found or lines[0] not in READABLE:
         raise ArchiveError("record without version line or end of header")
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon or not name or name != name.strip():
             raise ArchiveError(f"bad header line {line[:80]!r}")
-        fields[name] = value.strip()
+        fields[_NAMES.get(name.lower(), name)] = value.strip()
     for name in REQUIRED:
         if name not in fields:
             raise ArchiveError(f"{name} is missing")
@@ -156,6 +171,20 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def unpack_frame(frame: memoryview, unpacker: zstandard.ZstdDecompressor) -> bytes:
+    """Content of one frame, also where a streaming writer has left its size out."""
+    if zstandard.frame_content_size(frame) >= 0:
+        return unpacker.decompress(frame)
+    out, size = [], 0
+    with unpacker.stream_reader(frame) as reader:
+        while part := reader.read(1 << 20):
+            size += len(part)
+            if size > RECORD_BYTES:
+                raise ArchiveError(f"record of over {RECORD_BYTES} bytes")
+            out.append(part)
+    return b"".join(out)
+
+
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields and block of every record of an archive."""
     view = memoryview(data)
@@ -169,11 +198,11 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if held[:4] == FRAME:
             held = zstandard.ZstdDecompressor().decompress(held)
         known = zstandard.ZstdCompressionDict(held)
-    unpack = zstandard.ZstdDecompressor(dict_data=known).decompress if known else zstandard.ZstdDecompressor().decompress
+    unpacker = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
     while at < len(data):
         length = frame_length(view[at:])
         try:
-            record = unpack(view[at : at + length])
+            record = unpack_frame(view[at : at + length], unpacker)
         except zstandard.ZstdError as error:
             raise ArchiveError(f"damaged frame: {error}") from error
         yield parse_record(record)
@@ -183,7 +212,7 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def page_of(fields: dict[str, str], block: bytes) -> dict[str, object]:
     """Page of a response or revisit record, its payload checked against the digest."""
     kind = fields["WARC-Type"]
-    if kind not in ("response", "revisit"):
+    if kind not in PAGE_TYPES:
         raise ArchiveError(f"unexpected record type {kind}")
     head, found, payload = block.partition(b"\r\n\r\n")
     lengths = [
@@ -297,7 +326,7 @@ _SCHEMA = pa.schema(
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives in ``path``.
+    """One row per response or revisit record of the archives in ``path``; other records are passed over.
 
     Columns: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest``
     and, with ``payloads``, ``payload`` (null for revisits).  A damaged archive
@@ -310,6 +339,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 rows: list[dict] = []
                 for fields, block in read_archive(read_all(path)):
+                    if fields["WARC-Type"] not in PAGE_TYPES:
+                        continue
                     rows.append(page_of(fields, block))
                     if len(rows) == 512:
                         yield pa.RecordBatch.from_pylist(rows, schema)

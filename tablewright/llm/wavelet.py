@@ -132,6 +132,19 @@ class WaveletFile:
         inside = np.flatnonzero(self.block(level, index) == bit)[nth - int(before[index])]
         return index * BLOCK_BITS + int(inside)
 
+    def _select_all(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of many ones or zeros of a level, in ascending order, block by block."""
+        ones = self._ones[level]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK_BITS, self.n) - ones
+        index = np.searchsorted(before, nth, "right") - 1
+        found = np.empty_like(nth)
+        edges = np.flatnonzero(np.diff(index, prepend=-1, append=-1)) if len(nth) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            block = int(index[a])
+            inside = np.flatnonzero(self.block(level, block) == bit)
+            found[a:b] = block * BLOCK_BITS + inside[nth[a:b] - before[block]]
+        return found
+
     def access(self, position: int) -> int:
         """The token at a position."""
         if not 0 <= position < self.n:
@@ -165,13 +178,11 @@ class WaveletFile:
         """Positions of a token, in order."""
         if token < 0 or token >> self.levels:
             return []
-        found = []
-        for place in range(*self._range(token, start, self.n if stop is None else stop)):
-            for level in range(self.levels - 1, -1, -1):
-                bit = token >> (self.levels - 1 - level) & 1
-                place = self.select(level, bit, place - self.zeros[level] * bit)
-            found.append(place)
-        return found
+        places = np.arange(*self._range(token, start, self.n if stop is None else stop))
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            places = self._select_all(level, bit, places - self.zeros[level] * bit)
+        return places.tolist()
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the parting of every level undone, last level first."""

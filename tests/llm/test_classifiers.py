@@ -131,3 +131,18 @@ def test_sample_is_bounded(spark, tables, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
     texts, seen = toxicity.training_sample(docs, marks)
     assert 0 < len(texts) <= 40 and sum(len(t.encode()) for t in texts) <= 60_000
+
+
+def test_toxicity_sample_follows_the_hash_of_ids(spark, monkeypatch):
+    """Labels without a document take no place, and the bound on bytes prefers no length."""
+    texts = ["x" * (10 if i % 2 else 400) for i in range(40)]
+    docs = documents(spark, texts)
+    marks = spark.createDataFrame([(i, i // 20 % 2) for i in range(40)] + [(i, i % 2) for i in range(1_000, 1_200)], "id bigint, label int")
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    found, labels = toxicity.training_sample(docs, marks)
+    assert sorted(labels) == [0] * 10 + [1] * 10
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3_000)
+    found, labels = toxicity.training_sample(docs, marks)
+    assert {len(t) for t in found} == {10, 400} and {0, 1} == set(labels)
+    for label in (0, 1):
+        assert sum(len(t) for t, mark in zip(found, labels) if mark == label) <= 1_500

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,16 @@ def test_wavelet_matrix(n, top):
     assert file.count(1 << levels) == 0 and file.occurrences(-1) == []
 
 
+def test_many_occurrences_are_found_together():
+    tokens = np.random.default_rng(4).integers(0, 5, 500_000)
+    file = wavelet.WaveletFile.of_bytes(wavelet.build(tokens, np.array([1]), np.array([1]), np.array([len(tokens)]), 16))
+    began = time.perf_counter()
+    found = file.occurrences(3)
+    assert time.perf_counter() - began < 1
+    assert found == np.flatnonzero(tokens == 3).tolist() and len(found) > 90_000
+    assert file.occurrences(3, 1_000, 70_000) == [i for i in found if 1_000 <= i < 70_000]
+
+
 def test_damaged_file():
     data = wavelet.build(np.arange(9), np.zeros(1), np.ones(1), np.array([9]), 4)
     for bad in (data[:-1], b"x" + data[1:], data[:20]):

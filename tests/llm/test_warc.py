@@ -87,7 +87,7 @@ def test_damage_is_noticed():
     fields, block = warc.parse_record(good)
     assert warc.page_of(fields, block)["payload"] == b"payload"
     for old, new in (
-        (b"WARC/1.1", b"WARC/1.0"),
+        (b"WARC/1.1", b"WARC/2.0"),
         (b"WARC-Date", b"Date"),
         (b"payload\r\n\r\n", b"payloae\r\n\r\n"),
         (b"payload\r\n\r\n", b"payload\r\n\r\n\r\n"),
@@ -96,3 +96,24 @@ def test_damage_is_noticed():
     ):
         with pytest.raises(warc.ArchiveError):
             warc.page_of(*warc.parse_record(good.replace(old, new)))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Frames without a stated size, field names in any case, the older version, other record types."""
+    page = warc.page_record(7, "http://a", b"<p>hi</p>" * 300, False, None, "2020-01-01T00:00:00Z")
+    older = page.replace(b"WARC/1.1", b"WARC/1.0", 1).replace(b"Content-Length: ", b"content-length: ", 1).replace(b"WARC-Type", b"warc-TYPE")
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: x\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+
+    def streamed(record):
+        packer = zstandard.ZstdCompressor().compressobj()
+        return packer.compress(record) + packer.flush()
+
+    data = b"".join(streamed(r) for r in (info, page, older))
+    assert zstandard.frame_content_size(data) < 0
+    fields = [f for f, _ in warc.read_archive(data)]
+    assert [f["WARC-Type"] for f in fields] == ["warcinfo", "response", "response"]
+    path = tmp_path / "a.warc.zst"
+    path.write_bytes(data)
+    manifest = spark.createDataFrame([(str(path), 3, len(data))], warc.MANIFEST)
+    rows = warc.read_archives(manifest).collect()
+    assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(7, 2_700)] * 2
