@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -112,7 +115,10 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def step_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``(rows_before, rows_after, rows_removed)`` of a cleaning step."""
+    """``(rows_before, rows_after, rows_removed)`` of a cleaning step.
+
+    Counts two given tables; ``StepLog`` counts while the result itself is made.
+    """
     counted = one_row(
         [
             before.agg(F.count(F.lit(1)).alias("rows_before")),
@@ -122,6 +128,60 @@ def step_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return counted.withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
 
 
+class StepLog:
+    """Row counts along a chain of cleaning steps, without a scan of their own.
+
+    ``watch`` places a counter behind a step; the action that makes the result (a
+    write, say) fills all counters of the chain at once, and ``report`` reads them.
+    A counter stays in place whatever columns a caller selects.  ``report`` waits for
+    that action, so it comes after it.  An action that stops early, as ``limit`` does,
+    counts what it read; a result that is made twice is counted at the first time.
+    """
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, step: str) -> DataFrame:
+        watched, watch = observed(df, f"{len(self.steps)}-{uuid.uuid4().hex}")
+        self.steps.append((step, watch))
+        return watched
+
+    def counts(self) -> list[tuple[str, int]]:
+        """``(step, rows)`` in order; an empty table counts zero."""
+        return [(step, watch.get.get("rows") or 0) for step, watch in self.steps]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """``(position, step, rows_before, rows_after, rows_removed)`` per step after the first."""
+        counted = self.counts()
+        rows = [
+            (i, step, before, after, before - after)
+            for i, ((_, before), (step, after)) in enumerate(zip(counted, counted[1:]), 1)
+        ]
+        return spark.createDataFrame(
+            rows,
+            "position int, step string, rows_before bigint, rows_after bigint, rows_removed bigint",
+        )
+
+
+def clean(
+    df: DataFrame,
+    steps: Sequence[tuple[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]]],
+) -> tuple[DataFrame, DataFrame]:
+    """Result of cleaning ``steps`` applied in order, and the report of their row counts.
+
+    A step is a name and a function that looks at its input and returns what to do,
+    such as ``lambda df: fit_fill(df, "mean").transform``.  The looks run on the plain
+    chain; the result is written once to the shared folder, and that one write fills
+    all counters.
+    """
+    log = StepLog()
+    plain, watched = df, log.watch(df, "input")
+    for name, fit in steps:
+        apply = fit(plain)
+        plain, watched = apply(plain), log.watch(apply(watched), name)
+    return materialise(watched), log.report(df.sparkSession)
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """``df`` that counts its rows while another action runs: ``observation.get["rows"]``."""
     watch = Observation(name)

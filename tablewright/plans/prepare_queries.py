@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators import encode, features, impute, outliers, scale, split
+from tablewright.operators import encode, features, impute, outliers, quality, scale, split
 from tablewright.plans.profile_queries import (
     _SKEWED,
     _bounds,
@@ -226,6 +226,38 @@ def remove_outliers_joint(spark, folder):
     )
 
 
+@query(
+    f"""WITH {_SKEWED}, s0 AS (SELECT * FROM skewed WHERE volume IS NOT NULL AND levy IS NOT NULL
+      AND qty IS NOT NULL),
+    b1 AS (SELECT {_bounds(["volume"], "s0", 0.5)}),
+    s1 AS (SELECT volume, levy, qty FROM s0, b1
+      WHERE volume BETWEEN {_low("volume", 0.5)} AND {_high("volume", 0.5)}),
+    b2 AS (SELECT {_bounds(["levy"], "s1", 0.5)}),
+    s2 AS (SELECT volume, levy, qty FROM s1, b2
+      WHERE levy BETWEEN {_low("levy", 0.5)} AND {_high("levy", 0.5)}),
+    b3 AS (SELECT {_bounds(["qty"], "s2", 0.5)}),
+    s3 AS (SELECT volume, levy, qty FROM s2, b3
+      WHERE qty BETWEEN {_low("qty", 0.5)} AND {_high("qty", 0.5)}),
+    n AS (SELECT (SELECT count(*) FROM skewed) AS n0, (SELECT count(*) FROM s0) AS n1,
+      (SELECT count(*) FROM s3) AS n2)
+    SELECT 1 AS position, 'drop nulls' AS step, n0 AS rows_before, n1 AS rows_after,
+      n0 - n1 AS rows_removed FROM n
+    UNION ALL SELECT 2, 'remove outliers', n1, n2, n1 - n2 FROM n"""
+)
+def clean_steps(spark, folder):
+    _, report = quality.clean(
+        skewed(spark, folder),
+        [
+            ("drop nulls", lambda df: impute.fit_fill(df, "drop").transform),
+            (
+                "remove outliers",
+                lambda df: outliers.fit_outliers(df, ["volume", "levy", "qty"], 0.5).transform,
+            ),
+        ],
+    )
+    return report
+
+
 def _scaled_frame(spark, folder) -> DataFrame:
     return table(spark, folder, "orders").select(
         "o_orderkey",

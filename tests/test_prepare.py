@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,32 @@ def test_digest_tells_keys_apart(spark):
     rows = [(None, "x"), ("x", None), ("a:b", "c"), ("a", "b:c"), ("", None), (None, "")]
     df = spark.createDataFrame(rows, "a string, b string")
     assert df.select(key_hash([F.col("a"), F.col("b")], 1).alias("h")).distinct().count() == 6
+
+
+@pytest.mark.parametrize("interpolation", ["nearest", "linear"])
+def test_sequential_outliers_equal_a_search_per_column(spark, interpolation):
+    draw = random.Random(3)
+    rows = []
+    for i in range(3_000):
+        a = None if i % 11 == 0 else draw.gauss(0, 1) ** 3
+        b = 5 if i % 3 else draw.randrange(-(10**12), 10**12)
+        c = float("inf") if i % 400 == 0 else draw.choice([-1, 1]) * 10.0 ** draw.uniform(-5, 5)
+        rows.append((a, b, c, i))
+    df = spark.createDataFrame(rows, "a double, b bigint, `c.d` double, id int").repartition(4)
+    step = df
+    for c in ("a", "c.d", "b"):
+        bound = outliers.iqr_bounds(step, [c], 1.0, interpolation)[c]
+        step = step.where(step[f"`{c}`"].between(*bound))
+    for small in (30, 100_000):
+        kept = outliers.remove_outliers(
+            df, ["a", "c.d", "b"], 1.0, interpolation=interpolation, small=small
+        )
+        assert {r.id for r in kept.select("id").collect()} == {r.id for r in step.collect()}
+    assert 0 < kept.count() < 3_000
+
+
+def test_sequential_outliers_of_empty_and_null_columns(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    assert outliers.remove_outliers(df, ["a", "b"]).count() == 0
+    assert outliers.remove_outliers(df.where("a > 5"), ["a", "b"]).count() == 0
+    assert outliers.remove_outliers(df, ["a", "a"]).count() == 2

@@ -4,7 +4,7 @@ import statistics
 
 import pytest
 
-from tablewright.operators import correlation, outliers, profile, quality
+from tablewright.operators import correlation, impute, outliers, profile, quality
 
 
 def rows(df, key):
@@ -170,3 +170,28 @@ def test_table_info_and_metadata(spark):
     assert record["shape"] == [3, 2] and record["columns"] == ["id", "name"]
     assert record["missing_counts"] == {"id": 0, "name": 1}
     assert record["dtypes"] == {"id": "bigint", "name": "string"}
+
+
+def test_clean_counts_every_step_in_one_write(spark):
+    rows = [(float(i), None if i % 4 == 0 else i) for i in range(100)] + [(1e9, 1), (1e9, 2)]
+    df = spark.createDataFrame(rows, "a double, b int").repartition(3)
+    steps = [
+        ("drop", lambda d: impute.fit_fill(d, "drop").transform),
+        ("outliers", lambda d: outliers.fit_outliers(d, ["a", "b"]).transform),
+        ("narrow", lambda d: lambda e: e.select("a").where("a < 50")),
+    ]
+    result, report = quality.clean(df, steps)
+    assert [tuple(r)[1:] for r in report.orderBy("position").collect()] == [
+        ("drop", 102, 77, 25),
+        ("outliers", 77, 75, 2),
+        ("narrow", 75, 37, 38),
+    ]
+    assert result.columns == ["a"] and result.count() == 37
+
+
+def test_step_log_of_empty_tables_and_later_columns(spark):
+    log = quality.StepLog()
+    df = log.watch(spark.createDataFrame([], "a int, b string"), "input")
+    log.watch(df.where("a > 1"), "large").select("b").collect()
+    assert log.counts() == [("input", 0), ("large", 0)]
+    assert [tuple(r) for r in log.report(spark).collect()] == [(1, "large", 0, 0, 0)]
