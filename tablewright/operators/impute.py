@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, numeric_columns, require_columns
+from tablewright.operators.heavy import proven_counts
 from tablewright.operators.order_stats import SMALL_ROWS, medians
 
 STRATEGIES = ("drop", "mean", "median", "mode", "zero")
@@ -37,12 +38,18 @@ class FillPlan:
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, Any]:
     """Most frequent non-null value per column, the smallest among equals.
 
-    Each column is grouped on its own and cut to one row by a bounded top-k.
+    Columns whose mode is proven from counters shuffle only the counts of candidates;
+    the others are grouped in full, each on its own.
     """
+    proven = proven_counts(df, columns, 1, nulls=False)
+    counted = {
+        c: proven[c]
+        if c in proven
+        else df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        for c in columns
+    }
     parts = [
-        df.where(col(c).isNotNull())
-        .groupBy(col(c).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted[c]
         .orderBy(F.desc("n"), F.asc("v"))
         .limit(1)
         .select(F.lit(i).alias("i"), F.struct("v").alias(f"s{i}"))

@@ -17,6 +17,7 @@ from tablewright.functions.columns import (
     require_columns,
     union_all,
 )
+from tablewright.operators.heavy import proven_counts
 from tablewright.operators.order_stats import SMALL_ROWS, medians
 
 # Bytes taken by one value of each fixed-width type.
@@ -199,15 +200,20 @@ def categorical_distributions(df: DataFrame, columns: Sequence[str] | None = Non
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values per column, null being a value.
 
-    Ties go to the smaller value.  Each column is counted on its own (only its
-    distinct values are shuffled) and cut by a bounded top-k, not a sort.
+    Ties go to the smaller value.  Columns whose most frequent values are proven from
+    counters shuffle only the counts of candidates; the others are counted in full, each
+    on its own.  Both are cut by a bounded top-k, not a sort.
     """
     columns = require_columns(df, columns) if columns else categorical_columns(df)
     if not columns:
         raise ValueError("No categorical columns found")
+    proven = proven_counts(df, columns, k)
     parts = []
     for c in columns:
-        counted = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("count"))
+        if c in proven:
+            counted = proven[c].withColumnRenamed("n", "count")
+        else:
+            counted = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("count"))
         best = counted.orderBy(F.desc("count"), F.asc_nulls_first("v")).limit(k)
         parts.append(best.select(F.lit(c).alias("column"), F.col("v").cast("string").alias("value"), "count"))
     return union_all(parts)
