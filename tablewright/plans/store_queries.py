@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import rollup
 from tablewright.plans.registry import query, rounded, table
 from tablewright.session import materialise, scratch_path
-from tablewright.sources import experience
+from tablewright.sources import experience, vector_cells
 
 # ---- experience store ------------------------------------------------------
 
@@ -33,6 +33,22 @@ def similar(spark, folder):
     return rounded(hits.select("vec_id", "label", "similarity"))
 
 
+@query(
+    """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id,
+      list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS exact
+      FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank
+      FROM pairs)
+    SELECT query_id, rank, vec_id, round(exact, 6) AS similarity FROM ranked WHERE rank <= 5"""
+)
+def similar_batch(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    dimension = len(_probe(spark, folder))
+    cells = vector_cells.VectorCells.build(vectors, dimension, key="vec_id")
+    return rounded(cells.similar_batch(queries, 5))
+
+
 # Entries made from events: two of seven lack the stored score, every eleventh
 # evaluation is broken JSON.
 _ENTRIES = """entries AS (SELECT event_id AS iteration, event_type AS document,
