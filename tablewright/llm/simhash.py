@@ -494,32 +494,42 @@ def _sharing(heads: DataFrame, similarity: float) -> DataFrame:
     return runs.mapInArrow(work, schema).distinct()
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` of the distinct ``ids``, so that no others travel; all rows when the ids are too many to broadcast."""
+    return rows.join(F.broadcast(ids), "id", "left_semi") if is_small(ids) else rows
+
+
+def _with_ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs (a, b)`` with the other columns of ``rows (id, ...)`` as ``c_a`` and ``c_b``."""
+    rows = _only(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    columns = [c for c in rows.columns if c != "id"]
+    side = lambda name: rows.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    small = F.broadcast(pairs) if is_small(pairs) else pairs
+    return small.join(side("b"), "b").join(side("a"), "a")
+
+
 def _possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose ``marks (id, n, marks)`` allow the similarity; none is lost."""
+    """Those of the stored pairs ``a, b`` whose ``marks (id, n, marks)`` allow the similarity; none is lost."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
             most = both * ((1 - similarity) / (1 + similarity)) + 1e-6
-            apart = map(marks_apart, batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist())
+            apart = map(marks_apart, batch.column("marks_a").to_pylist(), batch.column("marks_b").to_pylist())
             keep = np.fromiter(apart, np.int64, batch.num_rows) <= most
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"]
             )
 
-    side = lambda name: marks.select(
-        F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("marks").alias(f"m_{name}")
-    )
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
-    return known.select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(work, "a bigint, b bigint")
+    known = _with_ends(pairs, marks.select("id", "n", "marks"))
+    return known.select("a", "b", "n_a", "n_b", "marks_a", "marks_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` and the similarity ``s`` of their whole sets."""
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    share = common / (F.size("of_a") + F.size("of_b") - common)
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", share.alias("s"))
+    """The stored pairs ``a, b`` and the similarity ``s`` of their whole sets."""
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    share = common / (F.size("shingles_a") + F.size("shingles_b") - common)
+    return _with_ends(pairs, sets.select("id", "shingles")).select("a", "b", share.alias("s"))
 
 
 def _neighbours(hot: DataFrame, known: DataFrame, seed: int, similarity: float) -> DataFrame:
@@ -626,7 +636,8 @@ def _hot_links(
     """
     if hot.isEmpty():
         return links
-    known = keep(marks.join(_keys(sets), "id"), "keys")
+    members = hot.select("id").distinct()
+    known = keep(_only(marks, members).join(_keys(_only(sets, members)), "id"), "keys")
     for seed in range(SEEDS):
         near = keep(_neighbours(hot, known, seed, similarity).join(links, ["a", "b"], "left_anti"), "near")
         linked = _measured(near, sets).where(F.col("s") >= similarity).select("a", "b")
@@ -676,12 +687,14 @@ def similar_documents(
         repeated = heads.count() != own.count()
         least = keep(own.groupBy(*of_set).agg(F.min("id").alias("keep")), "distinct")
         equal = own.join(least, of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
-        chosen = least.select(F.col("keep").alias("id"), *of_set)
-        chosen = F.broadcast(chosen) if is_small(least) else chosen
+        equal = keep(equal, "equal")
+        spare = equal.select(F.col("b").alias("id"))  # stands for the set already: far fewer than those that stay
+        spare = F.broadcast(spare) if is_small(equal) else spare
 
         def once(rows: DataFrame) -> DataFrame:
-            rows = rows.join(chosen, ["id", *of_set], "left_semi")
-            return rows.dropDuplicates(["id"]) if repeated else rows
+            if repeated:
+                rows = rows.join(own, ["id", *of_set], "left_semi").dropDuplicates(["id"])
+            return rows.join(spare, "id", "left_anti")
 
         def whole_sets(ids: DataFrame, name: str) -> DataFrame:
             wanted = texts.join(F.broadcast(ids) if is_small(ids) else ids, "id", "left_semi")
@@ -701,7 +714,8 @@ def similar_documents(
             hot = sharing.where("b is null").select("h", F.col("a").alias("id"), "pos")
             before, now = now, hot.count()
         ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-        pairs = keep(_possible(union_all(alike).select(*ends).distinct(), marks, similarity), "pairs")
+        candidates = keep(union_all(alike).select(*ends).distinct(), "candidates")
+        pairs = keep(_possible(candidates, marks, similarity), "pairs")
         members = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
         sets = whole_sets(keep(members.distinct(), "members"), "sets")
         links = keep(_measured(pairs, sets).where(F.col("s") >= similarity).select("a", "b"), "links")
