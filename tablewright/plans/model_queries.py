@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import one_row
 from tablewright.operators import blend as blending
-from tablewright.operators import metrics, models
+from tablewright.operators import metrics, models, tuning
 from tablewright.operators.encode import LabelEncoding
 from tablewright.operators.split import train_test_split
 from tablewright.plans.automl import Recipe, automl_loop
@@ -626,6 +626,41 @@ def tune(spark, folder):
     return models.tune(train, valid, "quality", "classification", ["doc_id"], grid)
 
 
+_KEY = "length(doc_id::VARCHAR) || '=' || doc_id"
+_RACE_SQL = f"""
+WITH learnt AS (
+  SELECT ('0x' || substr(md5('43:' || {_KEY}), 1, 8))::BIGINT AS place
+  FROM documents JOIN labels USING (doc_id)
+  WHERE ('0x' || substr(md5('42:' || {_KEY}), 1, 8))::BIGINT % 5 <> 0),
+rungs (rung, trials, divisor, rounds, kept) AS (VALUES (0, 16, 16, 2, 4), (1, 4, 4, 8, 1), (2, 1, 1, 32, 1))
+SELECT rung, trials, (SELECT count(*) FROM learnt WHERE place < 4294967296 // divisor) AS rows, rounds, kept,
+  TRUE AS best_kept
+FROM rungs"""
+
+
+@query(_RACE_SQL)
+def tune_race(spark, folder):
+    """A race of 16 option sets over 32 rounds; ``best_kept``: no trial that left a rung was better than one that stayed."""
+    folded = models.cross_validation_folds(_documents(spark, folder), ["doc_id"], 5)
+    train, valid = (folded.where(c).drop("fold") for c in ("fold <> 0", "fold = 0"))
+    grid = [
+        {"depth": depth, "learning_rate": rate, "subsample": share}
+        for depth in (2, 3, 4, 5) for rate in (0.1, 0.3) for share in (0.7, 1.0)
+    ]
+    log = tuning.successive_halving(
+        train, valid, "quality", "classification", ["doc_id"], grid, "accuracy", rounds=32
+    ).log
+    of_rung = Window.partitionBy("rung").orderBy(F.desc_nulls_last("value"), "trial")
+    ranked = log.withColumn("place", F.row_number().over(of_rung))
+    return ranked.groupBy("rung").agg(
+        F.count("trial").alias("trials"),
+        F.max("rows").alias("rows"),
+        F.max("rounds").alias("rounds"),
+        F.count_if("kept").alias("kept"),
+        F.bool_and(F.col("kept") == (F.col("place") <= F.when(F.col("rung") == 0, 4).otherwise(1))).alias("best_kept"),
+    )
+
+
 @query()
 def automl_run(spark, folder):
     train, test = train_test_split(_documents(spark, folder), 0.3, ["doc_id"])
