@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
+from operator import add
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,10 +28,8 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import materialise
+from tablewright.session import Rounds, materialise
 
-#: Rounds between two writings of the margins, which keep plans short.
-_WRITE_EVERY = 5
 #: Trees of one round grown at the same time.
 _AT_ONCE = 4
 _LEAST_CURVATURE = 1e-6
@@ -111,10 +111,13 @@ class NewtonModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_prediction`` (class number, or a number) and ``_probability`` (an array)."""
 
-        @F.pandas_udf("array<double>")
-        def output(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def output(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pd.Series(list(self.outputs(batch.to_numpy(float, na_value=np.nan))))
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.flatten()]  # NULL becomes NaN
+                found = self.outputs(np.column_stack(columns).astype(float))
+                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
         inputs = F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(self.features)])
         scored = df.withColumn("_probability", output(inputs))
@@ -147,7 +150,7 @@ def _steps(classes: int) -> tuple[list[Column], list[Column]]:
         share = 1 / (1 + F.exp(-margin(0)))
         return [share - label], [F.greatest(share * (1 - share), F.lit(_LEAST_CURVATURE))]
     top = F.array_max("_margin")
-    total = F.aggregate("_margin", F.lit(0.0), lambda done, m: done + F.exp(m - top))
+    total = reduce(add, [F.exp(margin(c) - top) for c in range(classes)])
     shares = [F.exp(margin(c) - top) / total for c in range(classes)]
     gradients = [share - (label == c).cast("double") for c, share in enumerate(shares)]
     return gradients, [F.greatest(share * (1 - share), F.lit(_LEAST_CURVATURE)) for share in shares]
@@ -155,8 +158,9 @@ def _steps(classes: int) -> tuple[list[Column], list[Column]]:
 
 def _start(rows: DataFrame, classes: int) -> list[float]:
     if classes == 0:
-        return [rows.agg(F.avg("_label")).first()[0]]
-    counts = {int(r["_label"]): r["count"] for r in rows.groupBy("_label").count().collect()}
+        return [rows.agg(F.sum(F.col("_label") * F.col("_weight")) / F.sum("_weight")).first()[0]]
+    counted = rows.groupBy("_label").agg(F.sum("_weight").alias("n"))
+    counts = {int(r["_label"]): r["n"] for r in counted.collect()}
     if classes == 2:
         return [math.log(counts[1] / counts[0])]
     total = sum(counts.values())
@@ -171,7 +175,8 @@ def fit_newton(
     l1: float = 0.0,
     l2: float = 0.0,
 ) -> NewtonModel:
-    """Boost on ``features`` and ``_label`` (a number; with ``classes``, the class number as a double).
+    """Boost on ``features``, ``_label`` (a number; with ``classes``, the class number as a double) and
+    ``_weight`` (how many rows the row stands for).
 
     ``params`` are those of ``pyspark.ml`` boosting: ``maxIter``, ``stepSize``, ``seed``, the shape of the
     trees, ``subsamplingRate`` and ``featureSubsetStrategy``.
@@ -181,17 +186,27 @@ def fit_newton(
     shape = {k: v for k, v in params.items() if k not in ("maxIter", "stepSize", "seed")}
     shape.setdefault("featureSubsetStrategy", "all")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
-    rows = materialise(assembler.transform(ready).select("_features", "_label"))
+    rows = materialise(assembler.transform(ready).select("_features", "_label", "_weight"))
     start = _start(rows, classes)
-    state = rows.withColumn("_margin", F.array(*[F.lit(float(m)) for m in start]))
     gradients, curvatures = _steps(classes)
-    trees: list[Tree] = []
     width = len(start)
+    trees: list[Tree] = []
+    rounds = Rounds(ready.sparkSession)
+
+    def stepped(state: DataFrame) -> DataFrame:
+        """The margins written with the gradients that they give: every tree reads them, more than once."""
+        found = state.select(
+            "*",
+            *[g.alias(f"_g{c}") for c, g in enumerate(gradients)],
+            *[h.alias(f"_h{c}") for c, h in enumerate(curvatures)],
+        )
+        steps = {f"_step{c}": -F.col(f"_g{c}") / F.col(f"_h{c}") for c in range(width)}
+        return found.withColumns({**steps, **{f"_weight{c}": F.col("_weight") * F.col(f"_h{c}") for c in range(width)}})
+
+    state = rounds.write(stepped(rows.withColumn("_margin", F.array(*[F.lit(float(m)) for m in start]))))
     for turn in range(params["maxIter"]):
-        steps = {f"_step{c}": -gradients[c] / curvatures[c] for c in range(width)}
-        stepped = state.withColumns({**steps, **{f"_weight{c}": curvatures[c] for c in range(width)}})
 
-        def grow(c: int, rows: DataFrame = stepped, turn: int = turn) -> RandomForestRegressionModel:
+        def grow(c: int, rows: DataFrame = state, turn: int = turn) -> RandomForestRegressionModel:
             grower = RandomForestRegressor(
                 featuresCol="_features", labelCol=f"_step{c}", weightCol=f"_weight{c}", predictionCol=f"_grown{c}",
                 leafCol=f"_leaves{c}", numTrees=1, bootstrap=False, **{**shape, "seed": params["seed"] + turn},
@@ -209,8 +224,13 @@ def fit_newton(
         leaf = [F.get(vector_to_array(f"_leaves{c}"), 0).cast("int").alias(f"_leaf{c}") for c in range(width)]
         placed = placed.select(*state.columns, *leaf)
         parts = [
-            F.struct(F.lit(c).alias("tree"), F.col(f"_leaf{c}").alias("leaf"), g.alias("g"), h.alias("h"))
-            for c, (g, h) in enumerate(zip(gradients, curvatures))
+            F.struct(
+                F.lit(c).alias("tree"),
+                F.col(f"_leaf{c}").alias("leaf"),
+                (F.col("_weight") * F.col(f"_g{c}")).alias("g"),
+                F.col(f"_weight{c}").alias("h"),
+            )
+            for c in range(width)
         ]
         sums = placed.select(F.inline(F.array(*parts))).groupBy("tree", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         found = {(r["tree"], r["leaf"]): (r["g"], r["h"]) for r in sums.collect()}  # one row per leaf
@@ -220,7 +240,7 @@ def fit_newton(
             values = [leaf_value(*found.get((c, k), (0.0, 1.0)), l1, l2, params["stepSize"]) for k in range(text.count("Predict:"))]
             trees.append(parse_tree(text, [[v if i == c else 0.0 for i in range(width)] for v in values]))
             moved.append(F.get("_margin", c) + F.get(F.array(*map(F.lit, values)), F.col(f"_leaf{c}")))
-        state = placed.select("_features", "_label", F.array(*moved).alias("_margin"))
-        if turn % _WRITE_EVERY == _WRITE_EVERY - 1:
-            state = materialise(state)
+        if turn + 1 < params["maxIter"]:
+            state = rounds.write(stepped(placed.select("_features", "_label", "_weight", F.array(*moved).alias("_margin"))))
+    rounds.close()
     return NewtonModel(list(features), classes, start, trees)

@@ -25,7 +25,7 @@ from tablewright.functions.columns import (
 from tablewright.functions.expressions import key_hash
 from tablewright.operators.boosting import NewtonModel, fit_newton
 from tablewright.operators.metrics import evaluate, roc_auc
-from tablewright.session import checkpoint_dir
+from tablewright.session import checkpoint_dir, materialise
 
 TASKS = ("classification", "regression")
 
@@ -168,6 +168,37 @@ def target_classes(df: DataFrame, target: str) -> list[Any]:
     return sorted(values)
 
 
+def _collapses(params: dict[str, Any], task_type: str, newton: bool) -> bool:
+    """Whether equal rows can be learnt from as one row with a weight.
+
+    Not where rows are drawn one by one, and not where leaves need a number of rows
+    that weights do not show (those of a Newton step for classes are curvatures).
+    """
+    if params.get("subsamplingRate", 1.0) < 1:
+        return False
+    return params["minInstancesPerNode"] <= 1 or not (newton and task_type == "classification")
+
+
+def collapsed(ready: DataFrame, features: Sequence[str], task_type: str) -> DataFrame:
+    """One row per set of equal features: ``features``, ``_label`` and the number of rows as ``_weight``.
+
+    Classes stay apart.  Of numbers the mean is kept: squared errors around it are the
+    same for every tree, so sums, splits and leaf values stay as they are (up to the
+    rounding of sums).  A NULL label stays NULL.  Counted before the shuffle, so that
+    many equal rows do not meet in one task; placed and sorted by value.
+    """
+    names = [col(f) for f in features]
+    rows = F.count(F.lit(1))
+    if task_type == "classification":
+        names.append(F.col("_label"))
+        counted = ready.groupBy(*names).agg(rows.cast("double").alias("_weight"))
+    else:
+        mean = F.when(F.count("_label") == rows, F.avg("_label"))
+        counted = ready.groupBy(*names).agg(mean.alias("_label"), rows.cast("double").alias("_weight"))
+    # placed by a hash of its own, so that small tables become few partitions and large ones many
+    return materialise(counted.repartition(F.xxhash64(*names)).sortWithinPartitions(*names))
+
+
 def fit(
     train_df: DataFrame,
     target: str,
@@ -180,8 +211,9 @@ def fit(
 ) -> TabularModel:
     """Fit one model.  Every column but the target is a feature unless excluded.
 
-    With ``key_cols`` the rows are placed by key first, so the same data gives
-    the same model however its files are cut.  Nulls are an error: impute first.
+    Rows with equal features are learnt from as one weighted row (``collapsed``) where
+    that changes nothing.  Other rows are placed by key first with ``key_cols``, so the
+    same data gives the same model however its files are cut.  Nulls are an error: impute first.
     Penalties on leaf values, and more than two classes, are learnt by Newton
     boosting (``boosting``), the classes jointly; all else by ``pyspark.ml``.
     """
@@ -208,15 +240,24 @@ def fit(
         index = col(target)
     ready = ready.withColumn("_label", index.cast("double"))
     checkpoint_dir(train_df.sparkSession)  # tree growing cuts its lineage there
-    if key_cols:
-        keys = [col(k) for k in key_cols]
-        parts = int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ready = ready.repartition(parts, *keys).sortWithinPartitions(*keys)
     penalties = {k: params.pop(k) for k in ("l1", "l2") if k in params}
-    if penalties or len(classes) > 2:
+    newton = bool(penalties) or len(classes) > 2
+    fewest = params["minInstancesPerNode"]
+    if _collapses(params, task_type, newton):
+        ready = collapsed(ready, features, task_type)
+        if fewest > 1:  # rows are weights now; half a row less, for sums are rounded
+            share = (fewest - 0.5) / (ready.agg(F.sum("_weight")).first()[0] or 1)
+            params |= {"minInstancesPerNode": 1, "minWeightFractionPerNode": min(share, 0.4999999)}
+    else:
+        ready = ready.withColumn("_weight", F.lit(1.0))
+        if key_cols:
+            keys = [col(k) for k in key_cols]
+            parts = int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            ready = ready.repartition(parts, *keys).sortWithinPartitions(*keys)
+    if newton:
         booster = fit_newton(ready, features, len(classes), params, **penalties)
         return TabularModel(None, family, task_type, target, features, classes, booster)
-    names = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
+    names = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction", "weightCol": "_weight"}
     if classes:
         estimator = GBTClassifier(cacheNodeIds=True, **names, **params)
         estimator = estimator.setProbabilityCol("_probability").setRawPredictionCol("_raw")

@@ -91,9 +91,13 @@ def train_test_split(
     seed: int = 42,
     stratify: str | None = None,
     small: int = SMALL_ROWS,
+    store: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test frames; test has exactly ``int(n * test_size)`` rows.
 
+    ``store`` writes the rows with their digests once and reads both frames from there: for
+    frames that are read many times, as training does, and for rows that are dear to make.
+
     ``key_cols`` identify a row (all columns by default).  With ``stratify`` the
     sizes hold within every value of that column.
     """
@@ -109,6 +113,7 @@ def train_test_split(
     if stratify is not None:  # NULL is a group of its own
         group = F.coalesce(F.concat(F.lit("="), col(stratify).cast("string")), F.lit("null"))
     marked = df.withColumns({"_group": group, "_digest": key_hash([col(k) for k in keys], seed)})
+    marked = materialise(marked) if store else marked
     cuts = find_cuts(marked.select("_group", "_digest"), test_size, small)
     tied = not cuts.where(F.col("_take") < F.col("_same")).isEmpty()
     if stratify is None:

@@ -55,6 +55,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Successive states of one table, of which only the newest stays on disk."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._path: str | None = None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; what was written before is deleted."""
+        path = scratch_path(self._spark, "round")
+        df.write.parquet(path)
+        self.close()
+        self._path = path
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        if self._path is not None:
+            place = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+            place.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            self._path = None
+
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 64
 

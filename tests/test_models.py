@@ -355,3 +355,46 @@ def test_a_run_is_visible_only_when_it_is_whole(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="no table scored"):
         runs.read_run(spark, place, blind, "scored")
     assert runs.read_run(spark, place, blind, "predictions").count() == 60
+
+
+def test_equal_rows_are_learnt_from_as_one(spark):
+    """A tall table of few different rows gives the model of its rows, and trains on the few."""
+    few = numbers(spark, 60)
+    tall = few.crossJoin(spark.range(1, 40).withColumnRenamed("id", "copy")).where("copy <= 1 + id % 30")
+    tall = tall.withColumn("id", F.col("id") * 100 + F.col("copy")).drop("copy").repartition(5)
+    x = few.orderBy("id").select("a", "b", "c").toPandas().to_numpy()
+    counts = 1 + np.arange(60) % 30
+    for target, task in (("y", "regression"), ("two", "classification"), ("three", "classification")):
+        ready = tall.withColumn("_label", F.col(target).cast("double"))
+        single = models.collapsed(ready, ["a", "b", "c"], task)
+        assert single.count() == 60 and single.agg(F.sum("_weight")).first()[0] == tall.count() == counts.sum()
+        others = [c for c in ("id", "y", "two", "three") if c != target]
+        model = models.fit(tall, target, task, "gbt_a", others, ["id"], iterations=2, depth=2, l2_leaf_reg=1.0).booster
+        label = few.orderBy("id").toPandas()[target].to_numpy(float)
+        margins = np.tile(np.array(model.start), (60, 1))
+        for at in range(0, len(model.trees), len(model.start)):
+            if task == "regression":
+                g, h = margins - label[:, None], np.ones_like(margins)
+            elif target == "two":
+                p = 1 / (1 + np.exp(-margins))
+                g, h = p - label[:, None], p * (1 - p)
+            else:
+                p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+                g, h = p - (label[:, None] == np.arange(3)), p * (1 - p)
+            for c, tree in enumerate(model.trees[at : at + len(model.start)]):
+                leaf = tree.leaves(x)
+                for k in np.unique(leaf):
+                    n = counts * (leaf == k)
+                    assert tree.values[k][c] == pytest.approx(-0.1 * (n * g[:, c]).sum() / ((n * h[:, c]).sum() + 1), abs=1e-9)
+                margins = margins + np.array(tree.values)[leaf]
+
+
+def test_collapsing_keeps_leaf_sizes_and_null_labels(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 15, 1.0).otherwise(2.0).alias("x"), (F.col("id") < 15).cast("double").alias("y"))
+    model = models.fit(rows, "y", "regression", "gbt_b", ["id"], ["id"], num_iterations=1)  # leaves of 20 rows
+    assert model.score(rows, ["id"]).select("prediction").distinct().count() == 1
+    model = models.fit(rows.where("id < 35").unionByName(rows.where("id < 5")), "y", "regression", "gbt_b", ["id"], ["id"], num_iterations=1)
+    assert model.score(rows, ["id"]).select("prediction").distinct().count() == 2
+    holes = rows.withColumn("y", F.when(F.col("id") != 3, F.col("y")))
+    with pytest.raises(Exception, match="(?i)null"):
+        models.fit(holes, "y", "regression", "gbt_a", ["id"], ["id"], iterations=1)
