@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import ranking
 from tablewright.operators.ranking import ordered_codes, running_before
 
 
@@ -36,3 +37,15 @@ def test_keys_with_a_long_common_prefix(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
     codes = ordered_codes(df, "k", len(keys), small=100)
     assert [r["code"] for r in codes.orderBy("k").collect()] == list(range(len(keys)))
+
+
+def test_drawn_keys_are_bounded_by_bytes(spark, monkeypatch):
+    """Codes of long keys in many small ranges; fewer ranges where drawing keys for all would be too much."""
+    values = spark.range(3000).select(F.concat(F.lit("path/" * 60), F.col("id").cast("string")).alias("v"))
+    assert ranking.range_count(values, "v", 3000, 10) == 300
+    assert ranking.range_count(values, "v", 3_000_000_000, 100) <= ranking.SAMPLE_BYTES // (100 * 300)
+    monkeypatch.setattr(ranking, "SAMPLE_BYTES", 1_000_000)
+    assert 1 < ranking.range_count(values, "v", 3000, 10) < 30
+    coded = ranking.ordered_codes(values, "v", 3000, small=10).orderBy("code").collect()
+    assert [(r["v"], r["code"]) for r in coded] == [(v, i) for i, v in enumerate(sorted(r["v"] for r in coded))]
+    assert len(coded) == 3000
