@@ -14,7 +14,7 @@ from tablewright.operators.encode import LabelEncoding
 from tablewright.operators.split import train_test_split
 from tablewright.plans.automl import Recipe, automl_loop
 from tablewright.plans.registry import query, rounded, table
-from tablewright.session import scratch_path
+from tablewright.session import materialise, scratch_path
 from tablewright.sources import files, runs
 from tablewright.sources import models as model_files
 from tablewright.sources import predictions as prediction_files
@@ -356,7 +356,8 @@ def prediction_round_trip(spark, folder):
 
 def _documents(spark, folder, labelled: bool = True) -> DataFrame:
     """Documents with a few counts of their text, language as a code, and their label;
-    those without a label too if asked."""
+    those without a label too if asked.  Written once, for training reads them many times
+    and would count the texts anew each time."""
     text = F.col("text")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     documents = table(spark, folder, "documents").join(labels, "doc_id", "inner" if labelled else "left")
@@ -369,7 +370,8 @@ def _documents(spark, folder, labelled: bool = True) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^\p{Punct}]", "")).alias("n_marks"),
         "quality",
     )
-    return LabelEncoding.fit(counted, ["lang"]).transform(counted)
+    counted = materialise(counted)
+    return materialise(LabelEncoding.fit(counted, ["lang"]).transform(counted))
 
 
 def _trained(spark, folder, family: str, **options):
@@ -500,7 +502,7 @@ def _numbers(spark, folder, *names: str) -> DataFrame:
 )
 def train_multiclass(spark, folder):
     numbers = _numbers(spark, folder, "l_returnflag")
-    train, test = train_test_split(numbers, 0.3, ["row_id"], stratify="l_returnflag")
+    train, test = train_test_split(numbers, 0.3, ["row_id"], stratify="l_returnflag", store=True)
     result = models.train(
         train, test, "l_returnflag", "classification", ["row_id"], "gbt_a", iterations=20, depth=3
     )
@@ -520,7 +522,7 @@ _ROW_ID = (
 )
 def train_regression(spark, folder):
     numbers = _numbers(spark, folder, "l_extendedprice")
-    train, test = train_test_split(numbers, 0.3, ["row_id"])
+    train, test = train_test_split(numbers, 0.3, ["row_id"], store=True)
     unlabelled = test.drop("l_extendedprice")  # production mode: nothing to measure
     result = models.train(
         train, unlabelled, "l_extendedprice", "regression", ["row_id"], "gbt_b",

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import blend, boosting, metrics, models
+from tablewright.operators.split import train_test_split
+from tablewright.plans import model_queries
 from tablewright.plans.automl import Recipe, automl_loop
 from tablewright.sources import files, runs
 from tablewright.sources import models as model_files
@@ -398,3 +400,15 @@ def test_collapsing_keeps_leaf_sizes_and_null_labels(spark):
     holes = rows.withColumn("y", F.when(F.col("id") != 3, F.col("y")))
     with pytest.raises(Exception, match="(?i)null"):
         models.fit(holes, "y", "regression", "gbt_a", ["id"], ["id"], iterations=1)
+
+
+def test_training_reads_texts_and_digests_once(spark):
+    """The counts of texts, and rows with their split digest, are read from what was written once."""
+    folder = "/root/testdata/sf0.001"
+    counted = model_queries._documents(spark, folder)
+    assert not any("documents" in f for f in counted.inputFiles())
+    plain = train_test_split(counted, 0.3, ["doc_id"])
+    stored = train_test_split(counted, 0.3, ["doc_id"], store=True)
+    for one, two in zip(plain, stored):
+        assert one.count() == two.count() and one.exceptAll(two).count() == 0
+    assert not set(stored[0].inputFiles()) & set(counted.inputFiles())
