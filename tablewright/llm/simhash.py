@@ -308,6 +308,20 @@ def near_duplicates(
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
+def _close_prints(heads: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``heads (id, fp)`` whose fingerprints differ in at most ``DISTANCE`` bits.
+
+    Documents of one fingerprint are tied to the first of them, and the first ones of
+    linked fingerprints to each other, so that many equal fingerprints stay linear.
+    """
+    first = stored(heads.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
+    same = heads.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = links(first.select("fp"))
+    ends = ends.join(first.select(F.col("fp").alias("a"), F.col("first").alias("i")), "a")
+    ends = ends.join(first.select(F.col("fp").alias("b"), F.col("first").alias("j")), "b")
+    return same.unionByName(ends.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Distinct hashes of the runs of ``words`` words; of the whole text when it has fewer."""
     found = text.encode("utf-8", "replace").lower().split()
@@ -382,14 +396,16 @@ def marks_apart(a: bytes, b: bytes) -> int:
 
 
 def _shingle_rows(texts: DataFrame, words: int, similarity: float, order: Order | None) -> DataFrame:
-    """``id, n, d1, d2`` (size and digest of the shingle set), ``marks`` and ``shingles``.
+    """``id, n, d1, d2`` (size and digest of the shingle set), ``fp`` (fingerprint), ``marks`` and ``shingles``.
 
     With an ``order`` the shingles are only the first ones, see ``_prefixes``.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            sets = [shingle_set(t, words) for t in texts]
+            prints = [fingerprint(t, words) if order is not None else 0 for t in texts]
             sizes = np.array([len(s) for s in sets], np.int64)
             digests = np.array(
                 [[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64
@@ -403,13 +419,14 @@ def _shingle_rows(texts: DataFrame, words: int, similarity: float, order: Order
                     pa.array(sizes, pa.int32()),
                     pa.array(np.ascontiguousarray(digests[:, 0])),
                     pa.array(np.ascontiguousarray(digests[:, 1])),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                     pa.array([marks_of(s) for s in sets], pa.binary()),
                     _lists(whole, taken),
                 ],
-                ["id", "n", "d1", "d2", "marks", "shingles"],
+                ["id", "n", "d1", "d2", "fp", "marks", "shingles"],
             )
 
-    kinds = "id bigint, n int, d1 bigint, d2 bigint, marks binary, shingles array<bigint>"
+    kinds = "id bigint, n int, d1 bigint, d2 bigint, fp bigint, marks binary, shingles array<bigint>"
     return texts.mapInArrow(work, kinds)
 
 
@@ -665,8 +682,10 @@ def similar_documents(
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word
     shingles is at least ``similarity``; a group is all that links reach, and
-    ``keep_id`` its smallest id.  No link is missed: in any fixed order of shingles, two
-    such sets share one of their first ``n - ceil(similarity * n) + 1``.  Documents of
+    ``keep_id`` its smallest id.  Candidates are first the documents whose SimHash fingerprints
+    (of the same shingles) are at most ``DISTANCE`` bits apart, found as in
+    ``near_duplicates``.  What fingerprints cannot see is added exactly: in any fixed order of shingles, two
+    such sets share one of their first ``n - ceil(similarity * n) + 1``, so no link is missed.  Documents of
     equal sets count once.  Pairs that share such a shingle, and whose sizes, marks and
     places of the shingle allow it, are measured on the whole sets.
 
@@ -702,7 +721,7 @@ def similar_documents(
 
         marks = once(heads).select("id", "n", "marks")
         sharing = keep(_sharing(once(heads), similarity), "sharing")
-        alike = [sharing.where("b is not null").select("a", "b")]
+        alike = [_close_prints(once(heads).select("id", "fp")), sharing.where("b is not null").select("a", "b")]
         hot = sharing.where("b is null").select("h", F.col("a").alias("id"), "pos")
         before, now = None, hot.count()
         while now and (before is None or 2 * now <= before):

@@ -191,3 +191,17 @@ def test_odd_and_empty_tables(spark):
     assert None in ids and ids.count(60) == 2 and {4, 5, 7, 10} <= set(ids)
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
     assert simhash.keep_one_of_each(no_documents(spark)).count() == 0
+
+
+def test_close_fingerprints_are_candidates(spark, monkeypatch):
+    """The stage takes candidates from fingerprints too, and measures them: no link below the similarity stays."""
+    base = words(400, 7)
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(words(300, 8)), " ".join(["a"] * 300 + base[:8]), " ".join(["a"] * 300 + base[20:28])]
+    df = documents(spark, texts, range(5))
+    heads = spark.createDataFrame([(i, signed(plain_fingerprint(t, 5))) for i, t in enumerate(texts)], "id bigint, fp bigint")
+    pairs = {(r["a"], r["b"]) for r in simhash._close_prints(heads).collect()}
+    assert (0, 1) in pairs and (3, 4) in pairs and jaccard(texts[3], texts[4]) < 0.8
+    nothing = spark.createDataFrame([], "h bigint, a bigint, b bigint, pos int")
+    monkeypatch.setattr(simhash, "_sharing", lambda heads, similarity: nothing)  # fingerprints alone
+    found = {(r["id"], r["keep_id"]) for r in simhash.similar_documents(df).collect()}
+    assert found == {(1, 0)}
