@@ -63,6 +63,16 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
 
 
+def joinable(df: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """``df`` as one side of a join: broadcast when it, or the table ``sized`` that bounds it, is
+    small as measured, else merged.
+
+    Without a mark Spark goes by its own estimate, which is far too low after an explode and for
+    files that compress well, and may put millions of rows into the driver.
+    """
+    return F.broadcast(df) if is_small(df if sized is None else sized) else df.hint("merge")
+
+
 def semi_join_early(
     rows: DataFrame,
     keys: DataFrame,

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, union_all
-from tablewright.llm.common import Scratch, id_and_text, is_small, scratch, slices, stored, without
+from tablewright.llm.common import Scratch, id_and_text, is_small, joinable, scratch, slices, stored, without
 from tablewright.session import row_bytes
 
 SEED = 42
@@ -145,10 +145,13 @@ def _indexed(members: DataFrame, keys: list[str], level: int, width: int, parts:
 
 
 def _pairs(indexed: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """Verified links among members with equal signatures, each pair once per signature."""
+    """Verified links among members with equal signatures, each pair once per signature.
+
+    Spark sizes the signatures like the fingerprints before their explode, and would broadcast them.
+    """
     left = indexed.select(F.col("fp").alias("a"), *keys)
     right = indexed.select(F.col("fp").alias("b"), *keys)
-    joined = left.join(right, keys).where("a < b")
+    joined = left.join(right.hint("merge"), keys).where("a < b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return joined.where(near).select("a", "b")
 
@@ -237,7 +240,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if hot.isEmpty():
             found.append(_pairs(indexed, keys, distance))
             break
-        hot = F.broadcast(hot) if is_small(hot) else hot
+        hot = joinable(hot)
         found.append(_pairs(indexed.join(hot, keys, "left_anti"), keys, distance))
         members = indexed.join(hot, keys, "left_semi")
         if max(widths) <= FREE:

@@ -3,6 +3,7 @@ import pytest
 import xxhash
 
 from tablewright.llm import simhash
+from tablewright.llm.common import stored
 from tests.llm.samples import components, documents, no_documents, odd_documents, words
 
 
@@ -58,6 +59,20 @@ def test_links_with_hot_signatures(spark, monkeypatch, bucket):
         assert pairs == {(a, b) for a in prints for b in prints if a < b and near(a, b)}
 
 
+def executed_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_are_not_broadcast(spark):
+    """33 signatures a part and fingerprint, which Spark sizes like the fingerprints themselves."""
+    draw = np.random.default_rng(9)
+    prints = [(int(f),) for f in draw.integers(-(1 << 62), 1 << 62, 3_000)]
+    distinct = stored(spark.createDataFrame(prints, "fp bigint"), "prints")
+    plan = executed_plan(simhash.links(distinct))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 300), (5, 5)]
     found = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
