@@ -87,7 +87,7 @@ def semi_join_early(
     """
     if is_small(keys):
         return narrow(rows.join(F.broadcast(keys), on, "left_semi"))
-    return narrow(rows).join(keys, on, "left_semi")
+    return narrow(rows).join(keys.hint("merge"), on, "left_semi")
 
 
 def without(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -100,7 +100,7 @@ def without(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataF
     names = {name: f"{name}_{mark}" for name in keys}
     left = df.select("*", *[expr.alias(names[name]) for name, expr in keys.items()])
     right = dropped.select(*[F.col(name).alias(names[name] + "r") for name in keys]).distinct()
-    right = F.broadcast(right) if is_small(right) else right
+    right = joinable(right)
     match = F.lit(True)
     for name in keys:
         match = match & F.col(names[name]).eqNullSafe(F.col(names[name] + "r"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
-from tablewright.llm.common import id_and_text, is_small, semi_join_early, stored, text_or_empty, without
+from tablewright.llm.common import id_and_text, is_small, joinable, semi_join_early, stored, text_or_empty, without
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -71,7 +71,7 @@ def exact_duplicates(
     else:
         marked = (
             keyed.select("id", "length", "prefix", full.alias("all_content"), *reported)
-            .join(prefixes, ["length", "prefix"], "left")
+            .join(prefixes.hint("merge"), ["length", "prefix"], "left")
             .withColumn("content", F.when(F.col("shared"), F.col("all_content")))
             .drop("length", "prefix", "shared", "all_content")
         )
@@ -86,7 +86,7 @@ def exact_duplicates(
     alone = marked.where("content is null").withColumns(
         {"keep_id": F.col("id"), "group_size": F.lit(1).cast("bigint")}
     )
-    together = marked.where("content is not null").join(groups, "content")
+    together = marked.where("content is not null").join(joinable(groups), "content")
     both = alone.drop("content").unionByName(together.drop("content"))
     return both.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 

@@ -263,14 +263,15 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = 0
     while True:
         rounds += 1
+        sized = (lambda df: df) if is_small(edges) else (lambda df: df.hint("merge"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(lowest, "u")
+            large.join(sized(lowest), "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e"))
             .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")
@@ -318,10 +319,10 @@ def _close_prints(heads: DataFrame) -> DataFrame:
     linked fingerprints to each other, so that many equal fingerprints stay linear.
     """
     first = stored(heads.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
-    same = heads.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    same = heads.join(joinable(first), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     ends = links(first.select("fp"))
-    ends = ends.join(first.select(F.col("fp").alias("a"), F.col("first").alias("i")), "a")
-    ends = ends.join(first.select(F.col("fp").alias("b"), F.col("first").alias("j")), "b")
+    ends = ends.join(joinable(first.select(F.col("fp").alias("a"), F.col("first").alias("i"))), "a")
+    ends = ends.join(joinable(first.select(F.col("fp").alias("b"), F.col("first").alias("j"))), "b")
     return same.unionByName(ends.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
 
 
@@ -577,7 +578,7 @@ def _neighbours(hot: DataFrame, known: DataFrame, seed: int, similarity: float)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     order = ["h", f"key{seed}", "id"]
-    rows = hot.join(known, "id").select(*order, "n", "marks").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = joinable(hot).join(known, "id").select(*order, "n", "marks").repartitionByRange(*order).sortWithinPartitions(*order)
     return rows.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
@@ -659,11 +660,11 @@ def _hot_links(
     members = hot.select("id").distinct()
     known = keep(_only(marks, members).join(_keys(_only(sets, members)), "id"), "keys")
     for seed in range(SEEDS):
-        near = keep(_neighbours(hot, known, seed, similarity).join(links, ["a", "b"], "left_anti"), "near")
+        near = keep(_neighbours(hot, known, seed, similarity).join(joinable(links), ["a", "b"], "left_anti"), "near")
         linked = _measured(near, sets).where(F.col("s") >= similarity).select("a", "b")
         links = keep(links.unionByName(linked), "links")
     group = components(links)
-    labelled = hot.join(group, hot["id"] == group["node"], "left").join(known.select("id", "n"), "id")
+    labelled = hot.join(joinable(group), hot["id"] == group["node"], "left").join(joinable(known.select("id", "n")), "id")
     labelled = keep(labelled.select("h", "id", "n", "pos", F.coalesce("component", "id").alias("g")), "labelled")
     largest = labelled.groupBy("h", "g").count().groupBy("h").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
     labelled = labelled.join(known.select("id", "marks"), "id")
@@ -672,7 +673,7 @@ def _hot_links(
     for block in range(blocks):
         asked = outside.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         rest = _tried(labelled, asked.collect(), similarity).distinct()
-        rest = keep(rest.join(links, ["a", "b"], "left_anti"), "rest")
+        rest = keep(rest.join(joinable(links), ["a", "b"], "left_anti"), "rest")
         linked = _measured(rest, sets).where(F.col("s") >= similarity).select("a", "b")
         links = links.unionByName(keep(linked, "linked"))
     return links
@@ -708,18 +709,18 @@ def similar_documents(
         own = keep(own, "own")
         repeated = heads.count() != own.count()
         least = keep(own.groupBy(*of_set).agg(F.min("id").alias("keep")), "distinct")
-        equal = own.join(least, of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
+        equal = own.join(joinable(least), of_set).where("id <> keep").select(F.col("keep").alias("a"), F.col("id").alias("b"))
         equal = keep(equal, "equal")
         spare = equal.select(F.col("b").alias("id"))  # stands for the set already: far fewer than those that stay
-        spare = F.broadcast(spare) if is_small(equal) else spare
+        spare = joinable(spare, equal)
 
         def once(rows: DataFrame) -> DataFrame:
             if repeated:
-                rows = rows.join(own, ["id", *of_set], "left_semi").dropDuplicates(["id"])
+                rows = rows.join(joinable(own), ["id", *of_set], "left_semi").dropDuplicates(["id"])
             return rows.join(spare, "id", "left_anti")
 
         def whole_sets(ids: DataFrame, name: str) -> DataFrame:
-            wanted = texts.join(F.broadcast(ids) if is_small(ids) else ids, "id", "left_semi")
+            wanted = texts.join(joinable(ids), "id", "left_semi")
             return keep(once(_shingle_rows(wanted, words, similarity, None)).select("id", "n", "shingles"), name)
 
         marks = once(heads).select("id", "n", "marks")

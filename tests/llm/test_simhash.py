@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tablewright.llm import simhash
-from tablewright.llm.common import stored
+from tablewright.llm.common import stored, without
 from tests.llm.samples import components, documents, no_documents, odd_documents, words
 
 
@@ -73,6 +74,13 @@ def test_signatures_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_many_rows_to_leave_out_are_not_broadcast(spark):
+    """Ids without gaps take little room in files, so that Spark takes their table for a small one."""
+    rows = stored(spark.range(400_000), "rows")
+    plan = executed_plan(without(rows, stored(spark.range(300_000), "gone"), {"id": F.col("id")}))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 300), (5, 5)]
     found = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
