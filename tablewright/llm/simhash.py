@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ SEED = 42
 DISTANCE = 3
 BUCKET = 200
 FREE = 8
-#: Documents whose shingles are counted to find frequent ones, the count that makes one
-#: frequent, and how many are taken.  They decide the order of shingles, never the result.
+#: Least number of documents whose shingles are counted to find frequent ones, the count that makes
+#: one frequent, and about how many are taken.  They decide the order of shingles, never the result.
 ORDER_SAMPLE = 8_000
 ORDER_COUNT = 4
 ORDER_LIMIT = 200_000
@@ -337,25 +338,44 @@ def shingle_set(text: str, words: int) -> np.ndarray:
 Order = tuple[np.ndarray, np.ndarray]
 
 
-def _frequent_first_out(counted: DataFrame) -> Order:
-    """The order that ``counted (h, count)`` asks for, of its ``ORDER_LIMIT`` most frequent shingles."""
-    rows = counted.orderBy(F.desc("count"), "h").limit(ORDER_LIMIT).collect()
-    rows.sort(key=lambda r: r["h"])
-    return np.array([r["h"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+def _frequent_first_out(counted: DataFrame, keep: Scratch) -> Order:
+    """The order that ``counted (h, count)`` asks for, of about its ``ORDER_LIMIT`` most frequent shingles.
 
-
-def _sampled_order(texts: DataFrame, words: int) -> Order:
-    """Frequent shingles of a sample of ``texts (id, text)``."""
+    Numbers of shingles by frequency say which these are, and no others reach the driver (a sort with a
+    limit would send that many from each task).  Of the last frequency the leading bits of the hash decide.
+    """
+    counted = keep(counted.select("h", "count"), "counted")
+    if counted.count() > ORDER_LIMIT:
+        # each frequency up to 4,096 by itself, above in 256 steps for each doubling
+        above = (4096 + 256 * F.log2(F.col("count") / 4096)).cast("bigint")
+        step = F.when(F.col("count") < 4096, F.col("count")).otherwise(above)
+        steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()  # some 10,000 at most
+        last, room = 0, ORDER_LIMIT
+        for last, rows in sorted(map(tuple, steps), reverse=True):
+            if rows > room:
+                break
+            room -= rows
+        leading = F.shiftrightunsigned("h", 48) < room * (1 << 16) // rows
+        counted = counted.where((step > last) | ((step == last) & leading))
+    found = counted.toArrow()
+    late, counts = (found.column(name).to_numpy() for name in ("h", "count"))
+    order = np.argsort(late)
+    return late[order], counts[order]
+
+
+def _sampled_order(texts: DataFrame, words: int, keep: Scratch) -> Order:
+    """Frequent shingles of a sample of ``texts (id, text)``, large enough to hold
+    most of those that over ``BUCKET`` documents share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words))], ["h"])
 
-    share = min(1.0, ORDER_SAMPLE / max(1, texts.count()))
+    share = min(1.0, max(ORDER_SAMPLE / max(1, texts.count()), 2 * ORDER_COUNT / BUCKET))
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     counted = sample.mapInArrow(work, "h bigint").groupBy("h").count().where(F.col("count") >= ORDER_COUNT)
-    return _frequent_first_out(counted)
+    return _frequent_first_out(counted, keep)
 
 
 def _prefixes(whole: np.ndarray, sizes: np.ndarray, similarity: float, order: Order) -> tuple[np.ndarray, np.ndarray]:
@@ -608,35 +628,53 @@ def _folds(marks: bytes) -> dict[int, np.ndarray]:
     return {len(words): words, **({half: words[:half] ^ words[half:]} if half else {})}
 
 
-def _tried(rows: DataFrame, asked: list, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of ``rows (h, id, n, pos, g, marks)`` and the ``asked`` ones that share ``h`` but not
-    ``g``, and whose sizes, places and marks allow the similarity."""
+def _by_marks(asked: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
+    """Columns of ``asked (h, id, n, pos, g, marks)`` in order of ``h``, by the number of words of the
+    marks, which come as they are and folded once."""
+    columns = [asked.column(c).to_numpy().astype(np.int64) for c in ("h", "id", "n", "pos", "g")]
+    marks = asked.column("marks").to_pylist()
+    lengths = np.fromiter(map(len, marks), np.int64, len(marks)) // 8
+    parts: dict[int, list] = {}
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        words = np.frombuffer(b"".join(marks[i] for i in at.tolist()), np.uint64).reshape(len(at), size)
+        parts.setdefault(size, []).append((at, words))
+        if half := size // 2:
+            parts.setdefault(half, []).append((at, words[:, :half] ^ words[:, half:]))
+    found = {}
+    for size, own in parts.items():
+        at, words = (np.concatenate(x) for x in zip(*own))
+        order = np.argsort(columns[0][at], kind="stable")
+        found[size] = (*(c[at[order]] for c in columns), words[order])
+    return found
+
+
+def _tried(rows: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of ``rows (h, id, n, pos, g, marks)`` and the ``shared`` ones of ``_by_marks`` that
+    share ``h`` but not ``g``, and whose sizes, places and marks allow the similarity."""
     share, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
-    held: dict[tuple[int, int], list] = {}
-    for row in asked:
-        for size, words in _folds(bytes(row["marks"])).items():
-            held.setdefault((row["h"], size), []).append((row["id"], row["n"], row["pos"], row["g"], words))
-    table = {
-        key: (*np.array([r[:4] for r in found], np.int64).T, np.stack([r[4] for r in found]))
-        for key, found in held.items()
-    }
-    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             found = set()
-            for h, i, n, pos, g, marks in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "n", "pos", "g", "marks"))):
-                for size, words in _folds(marks).items():
-                    if (h, size) not in table:
+            h = batch.column("h").to_numpy()
+            ids, ns, places, groups = (batch.column(c).to_numpy().tolist() for c in ("id", "n", "pos", "g"))
+            folds = [_folds(m) for m in batch.column("marks").to_pylist()]
+            for size, (hs, *others, marks) in table.items():
+                begins, ends = hs.searchsorted(h, "left"), hs.searchsorted(h, "right")
+                for k in np.flatnonzero(begins < ends).tolist():
+                    words = folds[k].get(size)
+                    if words is None:
                         continue
-                    ids, ns, places, groups, others = table[h, size]
-                    fits = (np.minimum(ns, n) >= similarity * np.maximum(ns, n) - 1e-9) & (groups != g)
-                    fits &= np.minimum(ns - places, n - pos) >= share * (ns + n) - 1e-9
+                    own = slice(begins[k], ends[k])
+                    their, m, pos, g = (c[own] for c in others)
+                    fits = (np.minimum(m, ns[k]) >= similarity * np.maximum(m, ns[k]) - 1e-9) & (g != groups[k])
+                    fits &= np.minimum(m - pos, ns[k] - places[k]) >= share * (m + ns[k]) - 1e-9
                     at = np.flatnonzero(fits)
-                    differ = np.bitwise_count(others[at] ^ words).sum(axis=1)
-                    for j in ids[at[differ <= (ns[at] + n) * apart + 1e-6]].tolist():
-                        found.add((min(i, j), max(i, j)))
+                    differ = np.bitwise_count(marks[own][at] ^ words).sum(axis=1)
+                    for j in their[at[differ <= (m[at] + ns[k]) * apart + 1e-6]].tolist():
+                        found.add((min(ids[k], j), max(ids[k], j)))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -672,10 +710,12 @@ def _hot_links(
     blocks = -(-(outside.agg(F.sum(row_bytes(outside))).first()[0] or 0) // OUTSIDE_BYTES)
     for block in range(blocks):
         asked = outside.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        rest = _tried(labelled, asked.collect(), similarity).distinct()
+        shared = asked.sparkSession.sparkContext.broadcast(_by_marks(asked.toArrow()))
+        rest = _tried(labelled, shared, similarity).distinct()
         rest = keep(rest.join(joinable(links), ["a", "b"], "left_anti"), "rest")
         linked = _measured(rest, sets).where(F.col("s") >= similarity).select("a", "b")
         links = links.unionByName(keep(linked, "linked"))
+        shared.destroy()
     return links
 
 
@@ -704,7 +744,7 @@ def similar_documents(
     with scratch(df.sparkSession) as keep:
         texts = id_and_text(df, id_col, text_col).where("id is not null")
         of_set = ["n", "d1", "d2"]
-        heads = keep(_shingle_rows(texts, words, similarity, _sampled_order(texts, words)), "heads")
+        heads = keep(_shingle_rows(texts, words, similarity, _sampled_order(texts, words, keep)), "heads")
         own = heads.groupBy("id").agg(F.min(F.struct(*of_set)).alias("own")).select("id", "own.*")
         own = keep(own, "own")
         repeated = heads.count() != own.count()
@@ -731,7 +771,7 @@ def similar_documents(
         while now and (before is None or 2 * now <= before):
             sets = whole_sets(keep(hot.select("id").distinct(), "hot-members"), "hot-sets")
             counted = sets.select(F.explode("shingles").alias("h")).groupBy("h").count()
-            order = _frequent_first_out(counted.where(F.col("count") > 1))
+            order = _frequent_first_out(counted.where(F.col("count") > 1), keep)
             sharing = keep(_sharing(_ordered_anew(sets, similarity, order), similarity), "sharing")
             alike.append(sharing.where("b is not null").select("a", "b"))
             hot = sharing.where("b is null").select("h", F.col("a").alias("id"), "pos")

@@ -160,6 +160,25 @@ def test_links_are_verified(spark):
     assert simhash.keep_one_of_each(documents(spark, texts)).count() == 8
 
 
+def test_only_the_order_reaches_the_driver(spark, monkeypatch):
+    """Two million shingles in many tasks, with little room for results: about the limit is taken, the most frequent first."""
+    rows = spark.range(0, 2_000_000, 1, 24).selectExpr("xxhash64(id) AS h", "if(id % 100 = 0, 9000 + id % 7, 2 + id % 2) AS count")
+    settings = spark.sparkContext._jsc.sc().conf()
+    settings.set("spark.driver.maxResultSize", "20m")
+    try:
+        late, counts = simhash._frequent_first_out(rows, stored)
+    finally:
+        settings.set("spark.driver.maxResultSize", "1g")
+    assert (late[1:] > late[:-1]).all() and (counts >= 9000).sum() == 20_000 and counts.min() == 3
+    assert abs(len(late) - simhash.ORDER_LIMIT) < 3_000
+    few = spark.createDataFrame([(5, 2), (-3, 9), (4, 1 << 40)], "h bigint, count bigint")
+    late, counts = simhash._frequent_first_out(few, stored)
+    assert late.tolist() == [-3, 4, 5] and counts.tolist() == [9, 1 << 40, 2]
+    monkeypatch.setattr(simhash, "ORDER_LIMIT", 2)
+    late, counts = simhash._frequent_first_out(few, stored)
+    assert late.tolist() == [-3, 4] and counts.tolist() == [9, 1 << 40]
+
+
 def test_marks_bound_the_difference():
     draw = np.random.default_rng(5)
     for n in (1, 2, 63, 64, 65, 500, 513, 3_000):
